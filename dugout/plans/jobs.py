@@ -69,7 +69,6 @@ def _named_games(source: Landing) -> DataFrame:
             {
                 "home_team_name": F.coalesce("info_home", "home_team_name"),
                 "away_team_name": F.coalesce("info_away", "away_team_name"),
-                "game_date": F.coalesce("info_date", "game_date"),
                 "stadium": F.coalesce("stadium", F.lit("")),
             }
         )
