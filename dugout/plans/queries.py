@@ -522,7 +522,7 @@ def position_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def role_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boards.filter_pitchers(b.board_rows(spark, sf_dir), "kia", RELIEVER).select("row_id", "name", "lp")
+    return tidy(boards.filter_pitchers(b.board_rows(spark, sf_dir), "kia", RELIEVER).select("row_id", "name", "lp"))
 
 
 def month_and_cost_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -664,9 +664,10 @@ def live_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = tempfile.mkdtemp(prefix="live-") if not spark.conf.get("spark.checkpoint.dir", None) else (
         f"{folder}/live-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
     )
-    mart, source = f"{work}/mart", f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source).select(F.to_date("ts").alias("game_date"))
+    mart = f"{work}/mart"
+    schema = b.table(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = files.select(F.to_date("ts").alias("game_date"))
 
     def recompute(session: SparkSession, days: list[str]) -> None:
         lines = b.relay_events(session, sf_dir, extra=[F.to_date("ts").alias("game_date")])
