@@ -21,10 +21,11 @@ def hit_class(code: Column) -> Column:
 
 
 def plate_class(code: Column) -> Column:
-    """Class of one code. The order of the branches is the rule."""
+    """Class of one code; no code, no class. The order of the branches is the rule."""
     sacrifice = code.contains("희")
     return (
-        F.when(code == "삼진", "K")
+        F.when(code.isNull(), F.lit(None).cast("string"))
+        .when(code == "삼진", "K")
         .when(code == "4구", "BB")
         .when(code == "사구", "HBP")
         .when(code.contains("병"), "GDP")

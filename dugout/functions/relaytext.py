@@ -44,21 +44,36 @@ def _group(text: Column, pattern: str, index: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
 
 
+def is_mark(text: Column) -> Column:
+    return text.endswith("공격") & text.rlike(MARK)
+
+
+def is_substitution(text: Column) -> Column:
+    return text.endswith("교체") & text.rlike(SUBSTITUTION)
+
+
 def line_kind(text: Column) -> Column:
-    """First format that fits, in the order the rules are tried."""
+    """First format that fits, in the order the rules are tried.
+
+    A literal every match must hold is looked for first; that is far cheaper than the pattern.
+    """
     return (
-        F.when(text.rlike(MARK), "mark")
-        .when(text.rlike(SUBSTITUTION), "sub")
-        .when(text.rlike(STEAL), "steal")
-        .when(text.rlike(RUN), "run")
-        .when(text.rlike(CAUGHT), "caught")
-        .when(text.rlike(PICKOFF), "pickoff")
-        .when(text.rlike(RUNNER_OUT), "runner_out")
+        F.when(is_mark(text), "mark")
+        .when(is_substitution(text), "sub")
+        .when(text.contains("도루로") & text.rlike(STEAL), "steal")
+        .when(text.endswith("홈인") & text.rlike(RUN), "run")
+        .when(text.contains("도루실패아웃") & text.rlike(CAUGHT), "caught")
+        .when(text.contains("견제사아웃") & text.rlike(PICKOFF), "pickoff")
+        .when((text.contains("포스아웃") | text.contains("태그아웃")) & text.rlike(RUNNER_OUT), "runner_out")
         .when(text.rlike(PLAY), "play")
         .otherwise("other")
     )
 
 
+def is_plain_home(text: Column) -> Column:
+    return text.endswith("홈인") & text.rlike(PLAIN_HOME)
+
+
 def line_name(text: Column, kind: Column) -> Column:
     """Runner, batter or incoming player named by the line."""
     return (
@@ -153,7 +168,8 @@ def is_unmarked_advance(text: Column, markers: tuple[str, ...] = ADVANCE_MARKERS
     marked = F.lit(False)
     for marker in markers:
         marked = marked | text.contains(marker)
-    return text.rlike(PLAIN_ADVANCE) & ~marked
+    likely = text.endswith("진루") | text.endswith("홈인")
+    return likely & ~marked & text.rlike(PLAIN_ADVANCE)
 
 
 def chain_positions(chain: Column) -> Column:
@@ -186,10 +202,10 @@ def assist_tag(position: Column) -> Column:
 def line_kind_b(text: Column) -> Column:
     """Second league. An error line falls through to ``play``; see :func:`error_position_b`."""
     return (
-        F.when(text.rlike(SUBSTITUTION_B), "sub")
-        .when(text.rlike(STEAL_B), "steal")
-        .when(text.rlike(CAUGHT_B), "caught")
-        .when(text.rlike(PICKOFF_B), "pickoff")
+        F.when(text.endswith("교체") & text.rlike(SUBSTITUTION_B), "sub")
+        .when(text.contains("도루로") & text.rlike(STEAL_B), "steal")
+        .when(text.contains("도루실패") & text.rlike(CAUGHT_B), "caught")
+        .when(text.contains("견제사") & text.rlike(PICKOFF_B), "pickoff")
         .when(text.rlike(PLAY), "play")
         .otherwise("other")
     )
@@ -208,5 +224,5 @@ def line_name_b(text: Column, kind: Column) -> Column:
 def error_position_b(text: Column, kind: Column) -> Column:
     """Position charged with an error on a line that is a play or nothing else."""
     return F.when(
-        kind.isin("play", "other") & ~text.contains("견제실책"), _group(text, ERROR_B, 1)
+        kind.isin("play", "other") & text.contains("수 실책") & ~text.contains("견제실책"), _group(text, ERROR_B, 1)
     )

@@ -38,17 +38,30 @@ class RelayFacts:
     advances: DataFrame  # productive outs per batter
 
 
-def parse_lines(events: DataFrame, groups_per_chunk: int = GROUPS_PER_CHUNK) -> DataFrame:
-    """Kind, names, outcome class and chain of every line; computed once, before the shuffle."""
+def by_chunk(events: DataFrame, groups_per_chunk: int = GROUPS_PER_CHUNK) -> DataFrame:
+    """Lines placed by game and chunk: the one placement everything below keeps.
+
+    The raw lines move, which are smaller than the parsed ones; parsing follows the shuffle.
+    """
+    chunk = F.floor(F.col("no") / groups_per_chunk).cast("int")
+    return events.withColumn("chunk", chunk).repartition("game_id", "chunk")
+
+
+def parse_lines(events: DataFrame) -> DataFrame:
+    """Kind, names, outcome class and chain of every line."""
     text = F.col("text")
     kind = F.col("kind")
     play_line = text.rlike(rt.PLAY)
     return (
         events.withColumn("kind", rt.line_kind(text))
-        .withColumn("play_desc", F.when(play_line, F.regexp_extract(text, rt.PLAY, 2)))
         .withColumns(
             {
-                "chunk": F.floor(F.col("no") / groups_per_chunk).cast("int"),
+                "play_desc": F.when(play_line, F.regexp_extract(text, rt.PLAY, 2)),
+                "play_name": F.when(play_line, F.regexp_extract(text, rt.PLAY, 1)),
+            }
+        )
+        .withColumns(
+            {
                 "name": rt.line_name(text, kind),
                 "label": rt.line_label(text, kind),
                 "from_base": rt.run_base(text, kind),
@@ -58,7 +71,7 @@ def parse_lines(events: DataFrame, groups_per_chunk: int = GROUPS_PER_CHUNK) ->
                 "chain": F.when(kind == "play", rt.play_chain(F.col("play_desc"))).when(
                     kind == "runner_out", rt.runner_out_chain(text)
                 ),
-                "home_line": text.rlike(rt.PLAIN_HOME),
+                "home_line": rt.is_plain_home(text),
                 "advance_line": rt.is_unmarked_advance(text),
                 "double_line": text.contains("병살"),
                 "triple_line": text.contains("삼중살"),
@@ -69,8 +82,10 @@ def parse_lines(events: DataFrame, groups_per_chunk: int = GROUPS_PER_CHUNK) ->
 
 def with_group_facts(lines: DataFrame) -> DataFrame:
     """Facts about the plate appearance a line belongs to."""
-    group = Window.partitionBy("game_id", "chunk", "no")
-    ordered = group.orderBy("sub").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    group = (
+        Window.partitionBy("game_id", "chunk", "no").orderBy("sub")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     first_out = F.when(
         F.col("play_desc").isNotNull(),
         F.col("raw_bunt_out")
@@ -83,17 +98,16 @@ def with_group_facts(lines: DataFrame) -> DataFrame:
             "group_double": F.max("double_line").over(group),
             "group_triple": F.max("triple_line").over(group),
             "group_out_rose": F.coalesce(F.max("out").over(group) > F.min("out").over(group), F.lit(False)),
-            "group_batter_out": F.coalesce(F.first(first_out, ignorenulls=True).over(ordered), F.lit(False)),
+            "group_batter_out": F.coalesce(F.first(first_out, ignorenulls=True).over(group), F.lit(False)),
         }
     )
 
 
 def productive_outs(lines: DataFrame) -> DataFrame:
     """One credit per appearance whose out moved another runner with nothing else to explain it."""
-    batter = F.regexp_extract("text", rt.PLAY, 1)
     productive = F.coalesce(rt.is_productive_out(F.col("play_desc")), F.lit(False))
     per_group = lines.groupBy("game_id", "chunk", "no").agg(
-        F.min_by(batter, F.when(productive, F.col("sub"))).alias("name"),
+        F.min_by("play_name", F.when(productive, F.col("sub"))).alias("name"),
         F.max("advance_line").alias("advanced"),
     )
     return (
@@ -128,7 +142,7 @@ def relay_state(lines: DataFrame, starting: DataFrame | None = None) -> DataFram
         )
     return scan(
         rows, ["game_id", "half"], ["no", "sub"], "chunk", fills,
-        {"epoch": (mark.cast("int"), True)}, initial,
+        {"epoch": (mark.cast("int"), True)}, initial, fold="half",
     ).withColumns(
         {
             "slot": F.when(
@@ -408,7 +422,7 @@ def starting_lineup(batters: DataFrame, pitchers: DataFrame, events: DataFrame)
     from dugout.functions.plate import position_of_char
 
     replaced = (
-        events.filter(F.col("text").rlike(rt.SUBSTITUTION))
+        events.filter(rt.is_substitution(F.col("text")))
         .select("game_id", F.regexp_extract("text", rt.SUBSTITUTION, 3).alias("name"))
         .distinct()
     )
@@ -439,10 +453,10 @@ def relay_facts(
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
     groups_per_chunk: int = GROUPS_PER_CHUNK,
 ) -> RelayFacts:
-    """One pass over the relay. ``keep`` stores the state that four consumers read."""
-    lines = parse_lines(events, groups_per_chunk).repartition("game_id", "chunk")
+    """One pass over the relay. ``keep`` stores the parsed lines and the state, which are read often."""
+    lines = keep(parse_lines(by_chunk(events, groups_per_chunk)).drop("text"))
     advances = productive_outs(lines)
-    state = keep(relay_state(with_group_facts(lines).drop("text"), starting))
+    state = keep(relay_state(with_group_facts(lines), starting))
     finals = final_states(events)
     credits = reduce(
         DataFrame.unionByName, [line_credits(state), inherited_runners(state, finals)]

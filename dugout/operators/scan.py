@@ -20,12 +20,15 @@ def scan(
     fills: Mapping[str, tuple[Column, bool]] | None = None,
     totals: Mapping[str, tuple[Column, bool]] | None = None,
     initial: DataFrame | None = None,
+    fold: str | None = None,
 ) -> DataFrame:
     """Add the last non-null value (``fills``) and the running sum (``totals``) of a group.
 
     Each entry is ``name -> (value, inclusive)``; with ``inclusive`` false the row itself does not
     count. ``chunk`` must grow with ``order`` inside a group. ``initial`` holds one row per key
-    with the values to use before the first one is seen.
+    with the values to use before the first one is seen. ``fold`` names a key with a few values:
+    its summaries travel in one row per remaining key and chunk, so rows that are already
+    partitioned by those are joined without moving again.
     """
     fills, totals = dict(fills or {}), dict(totals or {})
     keys, order = list(keys), list(order)
@@ -68,7 +71,16 @@ def scan(
             for n, (_, inc) in totals.items()
         }
     )
-    joined = local.join(carry, [*keys, chunk])
+    if fold is None:
+        joined = local.join(carry, [*keys, chunk])
+    else:
+        outer = [k for k in keys if k != fold]
+        carried = F.struct(*[f"__c_{n}" for n in (*fills, *totals)])
+        folded = carry.groupBy(*outer, chunk).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.col(fold), carried))).alias("__carry")
+        )
+        joined = local.join(folded, [*outer, chunk]).withColumn("__own", F.col("__carry")[F.col(fold)])
+        joined = joined.withColumns({f"__c_{n}": F.col("__own")[f"__c_{n}"] for n in (*fills, *totals)})
     return joined.select(
         *[F.col(c) for c in df.columns if c not in fills and c not in totals],
         *[F.coalesce(f"__l_{n}", f"__c_{n}").alias(n) for n in fills],

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dugout.functions import relaytext as rt, scoring
 from dugout.model import BATTER_COUNTERS, BATTER_FLAGS, NON_FIELDING_B
+from dugout.operators.relay import by_chunk
 from dugout.operators.scan import scan
 
-GROUPS_PER_CHUNK = 16384
 PLAYER = ["game_id", "name"]
 BATTER_ADDED = ("2B", "3B", "GDP", "SACFLY", "CS", "PICKOFF", "GRANDSLAM")
 PITCHER_ADDED = ("2B_A", "3B_A", "CS_A", "SB_ALLOWED", "PICKOFF_A")
@@ -39,15 +39,14 @@ def batter_counters(batters: DataFrame) -> DataFrame:
     )
 
 
-def parse_lines(events: DataFrame, groups_per_chunk: int = GROUPS_PER_CHUNK) -> DataFrame:
+def parse_lines(events: DataFrame) -> DataFrame:
     text, kind = F.col("text"), F.col("kind")
     return events.withColumn("kind", rt.line_kind_b(text)).withColumns(
         {
-            "chunk": F.floor(F.col("no") / groups_per_chunk).cast("int"),
             "name": rt.line_name_b(text, kind),
             "play_desc": F.when(kind == "play", F.regexp_extract(text, rt.PLAY, 2)),
             "error_pos": rt.error_position_b(text, kind),
-            "home_line": text.rlike(rt.PLAIN_HOME),
+            "home_line": rt.is_plain_home(text),
             "advance_line": rt.is_unmarked_advance(text, rt.ADVANCE_MARKERS_B),
         }
     )
@@ -65,6 +64,7 @@ def outcome_state(lines: DataFrame, starters: DataFrame | None) -> DataFrame:
     return scan(
         facts, ["game_id", "half"], ["no", "sub"], "chunk",
         {"pitcher": (F.when(F.col("kind") == "sub", F.col("name")), True)}, initial=starters,
+        fold="half",
     )
 
 
@@ -78,7 +78,7 @@ def outcome_counts(
 
     ``starters`` is (game_id, half, pitcher); ``fielders`` is (game_id, half, position, name).
     """
-    lines = parse_lines(events).repartition("game_id", "chunk")
+    lines = parse_lines(by_chunk(events))
     state = keep(outcome_state(lines, starters))
     kind, desc, play = F.col("kind"), F.col("play_desc"), F.col("play")
     rows = state.withColumn("play", rt.play_class(desc))

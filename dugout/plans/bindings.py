@@ -8,6 +8,7 @@ names, codes and numbers come from fixed lists indexed by the tables' own column
 from __future__ import annotations
 
 from collections.abc import Sequence
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -94,6 +95,11 @@ def _int(value: Column) -> Column:
     return value.cast("int")
 
 
+def computed(value: Column, name: str) -> Column:
+    """A column the optimiser treats as stored: a filter on it does not repeat its expression."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def line_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One box-score batter line per lineitem row."""
     part, supp, line, order = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey"))
@@ -196,8 +202,10 @@ def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers every play-by-play binding builds on."""
     k = F.get_json_object("props", "$.k").cast("int")
     event = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("game_id"), "event_id", "ts", k.alias("k"),
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", computed(k, "k"))
+    k = F.col("k")
+    return events.select(
+        F.col("user_id").cast("string").alias("game_id"), "event_id", "ts", "k",
         F.expr("event_id div 400").cast("int").alias("no"), event.cast("int").alias("sub"),
         (F.expr("event_id div 1200") % 9 + 1).cast("int").alias("inn"),
         (F.expr("event_id div 400") % 2).cast("string").alias("half"),
@@ -214,16 +222,26 @@ def relay_events(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) ->
     """Play-by-play lines: one per event."""
     k = F.col("k")
     names = {
-        "{i}": F.col("inn").cast("string"),
-        "{b}": F.concat("bat_side", (k % 9 + 1).cast("string")),
-        "{r}": F.concat("bat_side", (F.expr("k div 9") % 9 + 1).cast("string")),
-        "{f}": F.concat("field_side", (k % 9 + 1).cast("string")),
-        "{p}": F.concat("field_side", F.lit("P"), (k % 4).cast("string")),
-        "{q}": F.concat("field_side", F.lit("P"), (F.expr("k div 4") % 4).cast("string")),
+        "i": F.col("inn").cast("string"),
+        "b": F.concat("bat_side", (k % 9 + 1).cast("string")),
+        "r": F.concat("bat_side", (F.expr("k div 9") % 9 + 1).cast("string")),
+        "f": F.concat("field_side", (k % 9 + 1).cast("string")),
+        "p": F.concat("field_side", F.lit("P"), (k % 4).cast("string")),
+        "q": F.concat("field_side", F.lit("P"), (F.expr("k div 4") % 4).cast("string")),
     }
-    text = pick(SENTENCES, F.col("t"))
-    for mark, value in names.items():
-        text = F.replace(text, F.lit(mark), value)
+    # A sentence is text, a name, text, perhaps another name, text.
+    pieces = [(re.split(r"\{(\w)\}", sentence) + [""] * 4)[:5] for sentence in SENTENCES]
+
+    def piece(n: int) -> Column:
+        return pick([p[n] for p in pieces], F.col("t"))
+
+    def name(n: int) -> Column:
+        out = F.lit("")
+        for mark, value in names.items():
+            out = F.when(piece(n) == mark, value).otherwise(out)
+        return out
+
+    text = F.concat(piece(0), name(1), piece(2), name(3), piece(4))
     return event_fields(spark, sf_dir).select(
         "game_id", "no", "sub", "inn", "half", (F.col("sub") % 3).alias("out"),
         F.array(
@@ -231,7 +249,7 @@ def relay_events(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) ->
         ).alias("base"),
         F.expr("event_id div 700").cast("int").alias("home_score"),
         (F.expr("event_id div 900") + k % 5).cast("int").alias("away_score"),
-        text.alias("text"), *extra,
+        *extra, computed(text, "text"),
     )
 
 

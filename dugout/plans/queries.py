@@ -228,7 +228,7 @@ def cost_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relay.parse_lines(b.relay_events(spark, sf_dir))
+    return relay.parse_lines(relay.by_chunk(b.relay_events(spark, sf_dir)))
 
 
 def _starting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +238,7 @@ def _starting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).repartition("game_id", "chunk")
-    return relay.relay_state(relay.with_group_facts(lines).drop("text"), _starting(spark, sf_dir))
+    return relay.relay_state(relay.with_group_facts(_lines(spark, sf_dir)).drop("text"), _starting(spark, sf_dir))
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> relay.RelayFacts:
@@ -268,7 +267,7 @@ def chain_assist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = relay.with_group_facts(_lines(spark, sf_dir).repartition("game_id", "chunk"))
+    facts = relay.with_group_facts(_lines(spark, sf_dir))
     return tidy(
         facts.select(
             "game_id", "no", "sub", "group_homes", "group_double", "group_triple", "group_out_rose",
@@ -674,7 +673,7 @@ def live_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         wanted = lines.filter(F.col("game_date").isin(*[F.to_date(F.lit(d)) for d in days]))
         keyed = wanted.withColumn("game_id", F.concat_ws("/", "game_date", "game_id"))
         state = relay.relay_state(
-            relay.with_group_facts(relay.parse_lines(keyed).repartition("game_id", "chunk")).drop("text")
+            relay.with_group_facts(relay.parse_lines(relay.by_chunk(keyed))).drop("text")
         )
         credits = relay.line_credits(state)
         totals = credits.groupBy("game_id", "name", "role").agg(F.sum("points").alias("points"))
