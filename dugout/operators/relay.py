@@ -453,12 +453,20 @@ def relay_facts(
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
     groups_per_chunk: int = GROUPS_PER_CHUNK,
 ) -> RelayFacts:
-    """One pass over the relay. ``keep`` stores the parsed lines and the state, which are read often."""
-    lines = keep(parse_lines(by_chunk(events, groups_per_chunk)).drop("text"))
-    advances = productive_outs(lines)
-    state = keep(relay_state(with_group_facts(lines), starting))
+    """One pass over the relay.
+
+    ``keep`` stores what is read several times: the state of the lines that matter (most lines of a
+    relay are single pitches and end here) and the credits.
+    """
+    lines = parse_lines(by_chunk(events, groups_per_chunk)).drop("text")
+    told = relay_state(with_group_facts(lines), starting)
+    matters = (F.col("kind") != "other") & ((F.col("kind") != "sub") | (F.col("label") == PITCHER))
+    unused = ("raw_class", "home_line", "double_line", "triple_line", "prev_base", "own_half", "out")
+    state = keep(told.filter(matters | F.col("advance_line")).drop(*unused))
     finals = final_states(events)
-    credits = reduce(
-        DataFrame.unionByName, [line_credits(state), inherited_runners(state, finals)]
+    credits = keep(
+        reduce(DataFrame.unionByName, [line_credits(state), inherited_runners(state, finals)])
+    )
+    return RelayFacts(
+        credits, earned_candidates(state), entry_margins(state), finals, productive_outs(state)
     )
-    return RelayFacts(credits, earned_candidates(state), entry_margins(state), finals, advances)

@@ -88,7 +88,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(values: Sequence[str], index: Column) -> Column:
     place = F.pmod(index, F.lit(len(values))).cast("int")
-    return F.element_at(F.array(*[F.lit(v) for v in values]), place + 1)
+    listed = ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+    return F.element_at(F.expr(f"array({listed})"), place + 1)
 
 
 def _int(value: Column) -> Column:
@@ -236,9 +237,9 @@ def relay_events(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) ->
         return pick([p[n] for p in pieces], F.col("t"))
 
     def name(n: int) -> Column:
-        out = F.lit("")
+        which, out = piece(n), F.lit("")
         for mark, value in names.items():
-            out = F.when(piece(n) == mark, value).otherwise(out)
+            out = F.when(which == mark, value).otherwise(out)
         return out
 
     text = F.concat(piece(0), name(1), piece(2), name(3), piece(4))
