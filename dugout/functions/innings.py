@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from dugout.functions.text import strip
+from dugout.functions.text import BLANK, strip
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Innings formats; blanks around the text are part of the pattern.
+_FRACTION = rf"^{BLANK}*(\d+)?\s*([⅓⅔])?{BLANK}*$"
+_NUMBER = rf"^{BLANK}*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?{BLANK}*$"
 
 
 def outs_from_fraction(inn: Column) -> Column:
     """``5 ⅔`` -> 17; decimals round half to even; anything else is 0."""
-    text = F.coalesce(strip(inn), F.lit(""))
-    whole = F.coalesce(F.regexp_extract(text, r"^(\d+)", 1).try_cast("int"), F.lit(0))
-    part = F.when(text.endswith("⅓"), 1).when(text.endswith("⅔"), 2).otherwise(0)
-    decimal = F.bround(text.try_cast("double") * 3).cast("int")
+    # try_cast is slow on text that is no number, so it only sees digits
+    digits = F.regexp_extract(inn, _FRACTION, 1)
+    whole = F.when(digits != "", digits.try_cast("int")).otherwise(F.lit(0))
+    part = F.when(inn.contains("⅓"), 1).when(inn.contains("⅔"), 2).otherwise(0)
+    decimal = F.bround(strip(inn).try_cast("double") * 3).cast("int")
     return (
-        F.when(text == "", F.lit(0))
-        .when(text.rlike(r"^(\d+)?\s*([⅓⅔])?$"), whole * 3 + part)
-        .when(text.rlike(_NUMBER), F.coalesce(decimal, F.lit(0)))
+        F.when(F.coalesce(inn == "", F.lit(True)), F.lit(0))
+        .when(inn.rlike(_FRACTION), whole * 3 + part)
+        .when(inn.rlike(_NUMBER), F.coalesce(decimal, F.lit(0)))
         .otherwise(F.lit(0))
     )
 

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_BLANK = r"[\s 　]"
+# Characters counted as blank: ASCII blanks, no-break space, ideographic space.
+BLANK = r"[\s\u00a0\u3000]"
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of blank; ``F.trim`` removes only U+0020."""
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    """Trim every kind of blank; ``trim`` removes only U+0020. Clean text is not rewritten."""
+    edged = text.rlike(f"^{BLANK}|{BLANK}$")
+    return F.when(edged, F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == ""
+    return F.coalesce(text == "", F.lit(True)) | ~text.rlike(r"[^\s\u00a0\u3000]")
 
 
 def counter(value: Column) -> Column:
     """Box-score number: absent or blank is zero, junk is NULL (the game is then quarantined)."""
-    text = F.coalesce(strip(value.cast("string")), F.lit(""))
-    return F.when(text == "", F.lit(0)).otherwise(text.try_cast("int"))
+    text = value.cast("string")
+    return F.when(is_blank(text), F.lit(0)).otherwise(strip(text).try_cast("int"))

@@ -20,10 +20,11 @@ def batter_appeared() -> Column:
 
 
 def pitcher_appeared(outs: Column) -> Column:
-    any_number = outs != 0
+    """Cheap tests come first: the innings text is parsed only where nothing else decides."""
+    any_number = F.lit(False)
     for name in ("hit", "er", "hr", "bb", "bbhp", "kk"):
         any_number = any_number | (F.coalesce(F.col(name), F.lit(0)) != 0)
-    return any_number | ~is_blank(F.col("wls"))
+    return any_number | ~is_blank(F.col("wls")) | (outs != 0)
 
 
 def class_counts(rows: DataFrame, keys: list[str], code: str = "code") -> DataFrame:

@@ -138,7 +138,7 @@ def line_pitchers(spark: SparkSession, sf_dir: str, second: bool = False) -> Dat
         order.cast("string").alias("game_id"), part.alias("part"), line.alias("line"),
         F.when(F.col("l_linestatus") == "F", "home").otherwise("away").alias("side"),
         (line - 1).alias("pos_idx"), F.concat(F.lit("P"), supp.cast("string")).alias("name"),
-        pick(texts, part + line).alias("inn"),
+        computed(pick(texts, part + line), "inn"),
         _int(part % 5).alias("hit"), _int(part % 3).alias("r"), _int((part + supp) % 5).alias("er"),
         _int((part % 17 == 0).cast("int")).alias("hr"), _int(supp % 3).alias("bb"),
         _int(supp % 3 + part % 2 - (part % 10 == 0).cast("int")).alias("bbhp"), _int(part % 8).alias("kk"),
