@@ -122,24 +122,22 @@ def cap_once(credits: DataFrame) -> DataFrame:
 
     The first share is found with an aggregate, so a player with very many lines needs no window.
     """
-    tags = ("DP_FIELD", "TP_FIELD")
+    shared = F.col("tag").isin("DP_FIELD", "TP_FIELD")
     place = F.struct("no", "sub", "ord")
-    first = (
-        credits.filter(F.col("tag").isin(*tags)).groupBy(*PLAYER, "role", "tag")
-        .agg(F.min(place).alias("__first"))
-    )
-    later = F.col("__first").isNotNull() & (place > F.col("__first"))
-    return (
-        credits.join(first, [*PLAYER, "role", "tag"], "left")
+    shares = credits.filter(shared)
+    first = shares.groupBy(*PLAYER, "role", "tag").agg(F.min(place).alias("__first"))
+    later = place > F.col("__first")
+    capped = (
+        shares.join(first, [*PLAYER, "role", "tag"])
         .withColumns(
             {
                 "text": F.when(later, F.concat("text", F.lit(CAP_TEXT))).otherwise(F.col("text")),
                 "points": F.when(later, 0).otherwise(F.col("points")),
             }
         )
-        .drop("__first")
         .select(*CREDIT_COLUMNS)
     )
+    return credits.filter(~shared).select(*CREDIT_COLUMNS).unionByName(capped)
 
 
 def earned_lines(earned: DataFrame, pitchers: DataFrame, groups_per_chunk: int = 16384) -> DataFrame:

@@ -95,16 +95,18 @@ def ranked(
     ties: Sequence[str],
     name: str = "rank",
     spread: Column | None = None,
-    buckets: int = 64,
+    buckets: int = 1024,
 ) -> DataFrame:
     """1..n per group by ``value`` descending, for groups (and ties) of any size.
 
-    Equal values are ordered by a spread bucket and then by ``ties``. Counts per
-    (group, value, bucket) are aggregated map-side; only those counts are scanned per group.
+    Equal values are ordered by ``spread`` and then by ``ties``. ``spread`` cuts equal values into
+    parts of bounded size; ``id div 1000000`` does so without changing the order of the ids, the
+    default is a hash of the ties. Counts per (group, value, part) are aggregated map-side; only
+    those counts are scanned per group.
     """
     keys = list(keys)
     bucket = spread if spread is not None else F.pmod(F.xxhash64(*ties), F.lit(buckets))
-    spreaded = df.withColumn("__bucket", bucket.cast("int"))
+    spreaded = df.withColumn("__bucket", bucket.cast("bigint"))
     cell = [*keys, value, "__bucket"]
     ahead = (
         Window.partitionBy(*keys)

@@ -11,22 +11,29 @@ REFRESH_SECONDS = 3600
 
 
 def build_calendar(games: DataFrame) -> DataFrame:
-    """Per day: the round of its first game that is not cancelled, and all such games.
+    """Per day: the round of its first game that is not cancelled, and how many such games.
 
-    A day has at most a few dozen games, so its id list is small; a day whose games are all
-    cancelled keeps an empty list.
+    The games themselves stay rows, see :func:`calendar_games`; no day is collected into a list.
     """
     held = ~F.coalesce("cancel", F.lit(False))
-    place = F.when(held, F.struct("game_seq", "game_id"))
     return games.groupBy("game_date").agg(
-        F.min_by("round_code", place).alias("round"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(held, F.struct("game_seq", "game_id")))),
-            lambda g: g["game_id"],
-        ).alias("game_ids"),
+        F.min_by("round_code", F.when(held, F.struct("game_seq", "game_id"))).alias("round"),
+        F.count_if(held).alias("games"),
     )
 
 
+def calendar_games(games: DataFrame) -> DataFrame:
+    """Games of the calendar, one row each."""
+    return games.filter(~F.coalesce("cancel", F.lit(False))).select("game_date", "game_id", "game_seq")
+
+
+def listed_games(calendar_file: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A calendar file (game_date, round, game_ids) as the two tables above."""
+    days = calendar_file.select("game_date", "round", F.size("game_ids").cast("bigint").alias("games"))
+    rows = calendar_file.select("game_date", F.posexplode("game_ids").alias("game_seq", "game_id"))
+    return days, rows.select("game_date", "game_id", "game_seq")
+
+
 def round_summary(calendar: DataFrame) -> DataFrame:
     return calendar.groupBy("round").agg(
         F.count(F.lit(1)).alias("days"), F.min("game_date").alias("first_day"),
@@ -36,7 +43,7 @@ def round_summary(calendar: DataFrame) -> DataFrame:
 
 def season_days(calendar: DataFrame) -> DataFrame:
     """Days of official rounds with at least one game."""
-    return calendar.filter(F.col("round").isin(*SEASON_ROUNDS) & (F.size("game_ids") > 0))
+    return calendar.filter(F.col("round").isin(*SEASON_ROUNDS) & (F.col("games") > 0))
 
 
 def todo(targets: DataFrame, done: DataFrame, keys: list[str] = ["game_date"]) -> DataFrame:
@@ -44,19 +51,13 @@ def todo(targets: DataFrame, done: DataFrame, keys: list[str] = ["game_date"]) -
     return targets.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def games_of_days(days: DataFrame, calendar: DataFrame, games: DataFrame) -> DataFrame:
-    """Games to process per day: the calendar's list, else the schedule without cancelled games."""
-    listed = (
-        days.select("game_date").join(calendar, "game_date", "left")
-        .withColumn("has_list", F.coalesce(F.size("game_ids") > 0, F.lit(False)))
-    )
-    from_calendar = listed.filter("has_list").select("game_date", F.explode("game_ids").alias("game_id"))
-    from_schedule = (
-        listed.filter(~F.col("has_list")).select("game_date")
-        .join(games.filter(~F.coalesce("cancel", F.lit(False))), "game_date")
-        .select("game_date", "game_id")
-    )
-    return from_calendar.unionByName(from_schedule)
+def games_of_days(days: DataFrame, listed: DataFrame, games: DataFrame) -> DataFrame:
+    """Games to process per day: those listed, else the schedule without cancelled games."""
+    wanted = days.select("game_date").distinct()
+    from_calendar = listed.join(wanted, "game_date", "left_semi").select("game_date", "game_id")
+    unlisted = wanted.join(listed, "game_date", "left_anti")
+    from_schedule = calendar_games(games).join(unlisted, "game_date", "left_semi")
+    return from_calendar.unionByName(from_schedule.select("game_date", "game_id"))
 
 
 def active_window(games: DataFrame, now: Column, hours: int = 2) -> DataFrame:

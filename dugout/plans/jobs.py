@@ -255,7 +255,7 @@ def season_calendar(spark: SparkSession, games: DataFrame, first: str, last: str
     built = schedule.build_calendar(games)
     return (
         schedule.date_range(spark, first, last).join(built, "game_date", "left")
-        .withColumn("game_ids", F.coalesce("game_ids", F.array().cast("array<string>")))
+        .withColumn("games", F.coalesce("games", F.lit(0)))
     )
 
 

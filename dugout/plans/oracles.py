@@ -591,7 +591,7 @@ def roster_sql(budget: int) -> str:
 
 CALENDAR = f"""{ORDER_GAMES},
 cal AS (SELECT game_date, arg_min(round, game_seq) FILTER (NOT cancel) round,
-    coalesce(list(game_id ORDER BY game_seq) FILTER (NOT cancel), []) game_ids FROM og GROUP BY ALL)
+    count(*) FILTER (NOT cancel) games FROM og GROUP BY ALL)
 """
 PRE = f"""{ORDER_GAMES},
 pg AS (SELECT *, 'home' side, home_code code, home_name team FROM og UNION ALL SELECT *, 'away', away_code, away_name FROM og),
@@ -760,7 +760,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT no, sub, length(regexp_replace(ln,'^{blank}+|{blank}+$','','g')) AS chars FROM l WHERE regexp_replace(ln,'^{blank}+|{blank}+$','','g')<>''"""
 
     sql["leaderboard"] = f"""WITH {BOARD} SELECT strftime(game_date,'%Y-%m-%d') game_date, kind,
-      row_number() OVER (PARTITION BY game_date, kind ORDER BY lp DESC, row_id%64, row_id) AS "rank", row_id, name, lp FROM bd"""
+      row_number() OVER (PARTITION BY game_date, kind ORDER BY lp DESC, row_id) AS "rank", row_id, name, lp FROM bd"""
     sql["kth_threshold"] = f"WITH {POOLS} SELECT strftime(game_date,'%Y-%m-%d') game_date, pool, pool_key, kth FROM thr"
     sql["player_history"] = f"""WITH {HISTORY} SELECT strftime(game_date,'%Y-%m-%d') game_date, name, team, lp, pool, threshold, relative_value,
       round(coalesce(cost_value,-1.0),6) cost_value, round(shown,6) shown FROM his"""
@@ -797,12 +797,12 @@ def oracle_sql() -> dict[str, str]:
     sql["optimal_roster_check"] = f"""WITH {roster_sql(40)} SELECT day, v total_lp, c total_cost, 14 players, 11 slots FROM hr
       QUALIFY row_number() OVER (PARTITION BY day ORDER BY v DESC, c)=1"""
 
-    sql["calendar_days"] = f"WITH {CALENDAR} SELECT strftime(game_date,'%Y-%m-%d') game_date, coalesce(round,'-') AS \"round\", array_to_string(game_ids,',') game_ids FROM cal"
+    sql["calendar_days"] = f"WITH {CALENDAR} SELECT strftime(game_date,'%Y-%m-%d') game_date, coalesce(round,'-') AS \"round\", games FROM cal"
     sql["calendar_rounds"] = f"""WITH {CALENDAR} SELECT coalesce(round,'-') AS "round", count(*) AS days, strftime(min(game_date),'%Y-%m-%d') first_day,
       strftime(max(game_date),'%Y-%m-%d') last_day FROM cal GROUP BY ALL"""
     sql["todo_dates"] = f"""WITH {CALENDAR}, dn AS (SELECT CAST(l_shipdate AS DATE) d FROM lineitem WHERE l_returnflag='A' GROUP BY ALL HAVING count(*)>=5)
       SELECT strftime(game_date,'%Y-%m-%d') game_date, round AS "round" FROM cal WHERE round IN ('kbo_r','kbo_ps_wd','kbo_ps_sp','kbo_ps_po','kbo_ps_ks')
-        AND len(game_ids)>0 AND game_date NOT IN (SELECT d FROM dn)"""
+        AND games>0 AND game_date NOT IN (SELECT d FROM dn)"""
     sql["games_of_days"] = f"WITH {ORDER_GAMES} SELECT strftime(game_date,'%Y-%m-%d') game_date, game_id FROM og WHERE NOT cancel"
     sql["active_window"] = f"""WITH {ORDER_GAMES} SELECT strftime(game_date,'%Y-%m-%d') game_date,
       CAST(TIMESTAMP '{NOW}' >= min(start_utc) - INTERVAL 2 HOUR AND bool_or(status_code<>'RESULT') AS INT) active FROM og GROUP BY game_date"""

@@ -470,7 +470,7 @@ def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.board_rows(spark, sf_dir)
-    ranked = boards.leaderboard(rows, ["game_date", "kind"], ["row_id"], F.col("row_id") % 64)
+    ranked = boards.leaderboard(rows, ["game_date", "kind"], ["row_id"], F.expr("row_id div 1000000"))
     return tidy(ranked.select("game_date", "kind", "rank", "row_id", "name", "lp"))
 
 
@@ -588,7 +588,7 @@ def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _calendar(spark, sf_dir)
     return tidy(
         rows.select(
-            "game_date", F.coalesce("round", F.lit("-")).alias("round"), F.concat_ws(",", "game_ids").alias("game_ids")
+            "game_date", F.coalesce("round", F.lit("-")).alias("round"), "games"
         )
     )
 
@@ -611,9 +611,9 @@ def todo_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def games_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     games = b.order_games(spark, sf_dir)
-    listed = schedule.build_calendar(games).filter(F.col("round").isin("kbo_e", "kbo_r"))
-    days = games.select("game_date").distinct()
-    return tidy(schedule.games_of_days(days, listed, games))
+    official = schedule.build_calendar(games).filter(F.col("round").isin("kbo_e", "kbo_r"))
+    listed = schedule.calendar_games(games).join(official, "game_date", "left_semi")
+    return tidy(schedule.games_of_days(games.select("game_date"), listed, games))
 
 
 def active_window(spark: SparkSession, sf_dir: str) -> DataFrame:
