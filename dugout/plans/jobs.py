@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+from dugout.model import POSITIONS
 from dugout.operators import box, cost, merge, positions as pos, pregame, relay, schedule, second_league as sl
 from dugout.session import cut
 from dugout.sources import landed, sinks
@@ -227,6 +228,42 @@ def refresh_positions(source: Landing, previous: DataFrame, end_date: str, days:
     return pos.merge_overrides(pos.position_table(window), previous)
 
 
+def refresh_if_due(
+    spark: SparkSession, source: Landing, mart: str, end_date: str, now: str, days: int = 14
+) -> DataFrame:
+    """Registered positions, recomputed at most once an hour.
+
+    Each refresh is written under its own time, so readers keep the earlier one until it is whole.
+    """
+    marker = sinks.read_refresh_marker(spark, f"{mart}/position_refresh")
+    at = F.to_timestamp(F.lit(now))
+    latest = marker.agg(F.date_format(F.max("refreshed_at"), "yyyyMMddHHmmss").alias("v")).first()["v"]
+    current = (
+        spark.read.parquet(f"{mart}/positions/refresh={latest}") if latest
+        else spark.createDataFrame([], POSITIONS)
+    )
+    if not schedule.refresh_due(marker, at).first()["due"]:
+        return current
+    version = spark.range(1).select(F.date_format(at, "yyyyMMddHHmmss").alias("v")).first()["v"]
+    out = f"{mart}/positions/refresh={version}"
+    refresh_positions(source, current, end_date, days).write.mode("overwrite").parquet(out)
+    sinks.mark_refreshed(spark, f"{mart}/position_refresh", now)
+    return spark.read.parquet(out)
+
+
+def run_day(
+    spark: SparkSession, root: str, mart: str, day: str, now: str, costs: DataFrame, packed: bool = False
+) -> bool:
+    """One tick of a live day: nothing outside the active window, else positions and a full rescore."""
+    today = landed.read_schedule(spark, f"{root}/kbo/schedule", "kbo", packed, [day])
+    window = schedule.active_window(today, F.to_timestamp(F.lit(now))).first()
+    if window is None or not window["active"]:
+        return False
+    positions = refresh_if_due(spark, read_landing(spark, root, "kbo", None, packed), mart, day, now)
+    score_days(spark, root, mart, "kbo", [day], positions, costs, packed)
+    return True
+
+
 def backfill_costs(spark: SparkSession, mart: str, costs: DataFrame, out: str) -> DataFrame:
     """Add the roster cost to stored days. Scores are left alone. Returns the match rate."""
     batters = cost.attach_batter_cost(spark.read.parquet(f"{mart}/batters"), costs)

@@ -77,7 +77,7 @@ agg AS (SELECT rid, {cnt('1B')} s1, {cnt('2B')} s2, {cnt('3B')} s3,
     {cnt('FO', 'SACFLY')} fo, {cnt('GO', 'SACBUNT', 'GDP')} go_, {cnt('LD')} ld, {cnt('GDP')} gdp,
     {cnt('SACFLY')} sacfly, {cnt('SACBUNT')} sacbunt, {cnt('HBP')} hbp
   FROM lk GROUP BY ALL),
-bat AS (SELECT lb.game_id, lb.part, lb.line, lb.supp, lb.name, run "R", hit "H", bb "BB", s2 "2B", s3 "3B", hr "HR",
+bat AS (SELECT lb.rid, lb.game_id, lb.part, lb.line, lb.supp, lb.name, run "R", hit "H", bb "BB", s2 "2B", s3 "3B", hr "HR",
     rbi "RBI", fo "FO", go_ "GO", ld "LD", gdp "GDP", sacfly "SACFLY", sacbunt "SACBUNT", sb "SB", 0 "CS",
     hbp "HBP", kk "K", 0 "PICKOFF", CAST(s1>0 AND s2>0 AND s3>0 AND hr>0 AS INT) "CYCLE", 0 "GRANDSLAM", 0 "E",
     0 "ASSIST", 0 "OF_ASSIST", 0 "DP_FIELD", 0 "TP_FIELD", 0 "CS_CATCHER", 0 "SB_ALLOWED_CATCHER", 0 "ADVANCE_OUT"
@@ -608,6 +608,7 @@ nm AS (SELECT pgw.game_id, pgw.side, ros.name, pgw.team, category, bat_order, co
 
 # Columns DuckDB derives as 32-bit numbers; the Spark side returns BIGINT.
 WIDE: dict[str, tuple[str, ...]] = {
+    "batter_export": ("HR", "RBI", "SB", "CS", "E", "CYCLE", "GRANDSLAM"),
     "batter_lp": ("line", "HR", "CYCLE",),
     "pitcher_lp": ("pos_idx", "OUT", "QS", "QSPLUS", "CG", "SHO", "NOHIT", "PERFECT", "HOLD", "SAVE", "BLOWN",),
     "pitcher_lp_second": ("pos_idx", "OUT", "QS", "QSPLUS", "CG", "SHO", "NOHIT", "PERFECT",),
@@ -789,6 +790,21 @@ def oracle_sql() -> dict[str, str]:
     sql["group_board"] = f"WITH {LINE_COUNTED} SELECT name, {totals} FROM bat GROUP BY ALL"
     sql["date_facts"] = f"""WITH {BOARD} SELECT year(max(game_date)) AS "year", 'latest' fact FROM bd UNION ALL SELECT DISTINCT year(game_date), 'year' FROM bd"""
 
+    letters = "CASE left(pos,1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LETTER_POS.items()) + " ELSE '' END"
+    named = f"""{LINE_COUNTED},{ORDER_GAMES},
+      bp AS (SELECT *, {BAT_LP} lp FROM bat), ls AS (SELECT rid, side, pos, ab FROM lb),
+      nb AS (SELECT bp.*, {letters} AS "position", ls.ab, og.game_date gd, CASE WHEN side='home' THEN home_name ELSE away_name END team,
+        CASE WHEN side='home' THEN away_name ELSE home_name END opponent
+      FROM bp JOIN ls USING (rid) JOIN og ON og.game_id=bp.game_id)"""
+    export = ("H", "2B", "3B", "HR", "RBI", "R", "BB", "HBP", "K", "SB", "CS", "GDP", "SACBUNT", "E", "CYCLE", "GRANDSLAM")
+    sql["batter_export"] = f"""WITH {named} SELECT row_number() OVER (PARTITION BY gd ORDER BY lp DESC, part&255, game_id, part, line, name) AS "rank", name, "position",
+      team, opponent, strftime(gd,'%Y-%m-%d') game_date, lp, ab, {", ".join(q(c) for c in export)} FROM nb"""
+    sql["pitcher_export"] = f"""WITH {a},{ORDER_GAMES} SELECT strftime(og.game_date,'%Y-%m-%d') game_date, CASE WHEN side='home' THEN home_name ELSE away_name END team,
+      CASE WHEN side='home' THEN away_name ELSE home_name END opponent, "role", count(*) AS "rows", CAST(sum({PIT_LP}) AS BIGINT) lp, CAST(max({PIT_LP}) AS BIGINT) best
+      FROM pit JOIN og USING (game_id) GROUP BY ALL"""
+    sql["date_index"] = f"""WITH {named} SELECT 'kbo' league, strftime(gd,'%Y-%m-%d') game_date, count(*)//2 games FROM (SELECT DISTINCT gd, team, opponent FROM nb) GROUP BY ALL"""
+    sql["date_labels"] = f"""WITH {ORDER_GAMES} SELECT strftime(game_date,'%Y-%m-%d') game_date, count(*) games, strftime(game_date,'%m월 %d일') AS label,
+      strftime(game_date,'%Y-%m') AS "month", day(last_day(game_date)) days_in_month FROM og GROUP BY og.game_date"""
     counts = ", ".join(f"count(*) FILTER (pool='{s}')" for s in ROSTER_FIELD_SLOTS)
     sql["roster_feasibility"] = f"""WITH {POOL}, f AS (SELECT day, least({counts})=0 e, count(*) FILTER (pool='선발')<2 OR count(*) FILTER (pool='구원')<3 w FROM rp GROUP BY ALL)
       SELECT day, CAST(NOT e AND NOT w AS INT) feasible, CASE WHEN e THEN 'empty_slot' WHEN w THEN 'few_pitchers' ELSE '' END reason FROM f"""

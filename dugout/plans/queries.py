@@ -16,7 +16,7 @@ from dugout.operators import (
 )
 from dugout.plans import bindings as b
 from dugout.session import cut
-from dugout.sources import landed, tables
+from dugout.sources import landed, sinks, tables
 from dugout.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,7 +307,7 @@ def prev_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inherited_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = b.relay_events(spark, sf_dir)
-    credits = relay.inherited_runners(_state(spark, sf_dir), relay.final_states(events))
+    credits = relay.inherited_runners(cut(_state(spark, sf_dir)), relay.final_states(events))
     return tidy(
         credits.groupBy("game_id", "name", "tag", "inn", "text").agg(
             F.count(F.lit(1)).alias("runners"), F.sum("points").alias("points")
@@ -316,7 +316,7 @@ def inherited_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def earned_run_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(relay.earned_candidates(_state(spark, sf_dir)).select("game_id", "name", "sub", "inn", "runner"))
+    return tidy(relay.earned_candidates(cut(_state(spark, sf_dir))).select("game_id", "name", "sub", "inn", "runner"))
 
 
 def entry_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,6 +545,44 @@ def group_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.groupBy("name").agg(*[F.sum(c).cast("bigint").alias(c) for c in groups])
 
 
+def _named_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = box.batter_counters(b.line_batters(spark, sf_dir), None)
+    named = box.attach_game(rows, b.order_games(spark, sf_dir))
+    position = F.coalesce(plate.position_of_char(F.substring("pos", 1, 1)), F.lit(""))
+    return named.withColumns({"position": position, "lp": scoring.batter_lp()})
+
+
+def batter_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = boards.leaderboard(
+        _named_batters(spark, sf_dir), ["game_date"], ["game_id", "part", "line", "name"], F.col("part").bitwiseAND(255)
+    )
+    return tidy(boards.export(ranked, boards.BATTER_EXPORT).drop("stadium"))
+
+
+def pitcher_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = box.attach_game(_line_pitcher_rows(spark, sf_dir, "kbo"), b.order_games(spark, sf_dir))
+    totals = rows.groupBy("game_date", "team", "opponent", "role").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("lp").cast("bigint").alias("lp"), F.max("lp").alias("best")
+    )
+    return tidy(totals)
+
+
+def date_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(sinks.date_index(_named_batters(spark, sf_dir)))
+
+
+def date_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("game_date")
+    rows = b.order_games(spark, sf_dir).groupBy("game_date").agg(F.count(F.lit(1)).alias("games"))
+    compact = rules.compact_date(F.date_format(day, "yyyyMMdd"))
+    return tidy(
+        rows.select(
+            "game_date", "games", rules.date_label(compact).alias("label"), rules.month_of(day).alias("month"),
+            F.dayofmonth(F.last_day(day)).alias("days_in_month"),
+        )
+    )
+
+
 def date_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.board_rows(spark, sf_dir)
     latest = boards.latest_date(rows).select(F.year("latest").alias("year"), F.lit("latest").alias("fact"))
@@ -702,6 +740,7 @@ ALL: dict[str, Query] = {
         second_league_batters, second_league_pitchers, split_lines,
         leaderboard, kth_threshold, player_history, history_scale, daily_tiles, text_search, position_filter,
         role_filter, month_and_cost_filter, hidden_columns, group_board, date_facts,
+        batter_export, pitcher_export, date_index, date_labels,
         roster_feasibility, optimal_roster_value, optimal_roster_check,
         calendar_days, calendar_rounds, todo_dates, games_of_days, active_window, status_gate,
         pregame_batters, pregame_pitchers, roster_pages, live_refresh,

@@ -157,3 +157,14 @@ def test_refresh_marker(spark, tmp_path):
     assert not schedule.refresh_due(sinks.read_refresh_marker(spark, path), now).first().due
     later = F.to_timestamp(F.lit("2026-05-05 10:30:00"))
     assert schedule.refresh_due(sinks.read_refresh_marker(spark, path), later).first().due
+
+
+def test_live_tick(spark, landing, tmp_path):
+    mart = str(tmp_path / "mart")
+    costs = cost.read_costs(spark.createDataFrame([], "hint STRING, position STRING, name STRING, cost STRING"))
+    assert not jobs.run_day(spark, landing, mart, DAY, f"{DAY} 07:00:00", costs)  # 16:00 in Korea
+    assert jobs.run_day(spark, landing, mart, DAY, f"{DAY} 10:00:00", costs)
+    rows = {r["name"]: r for r in spark.read.parquet(f"{mart}/batters").collect()}
+    assert rows["유격"].position == "유격수" and rows["유격"].roster_cost is None
+    again = jobs.refresh_if_due(spark, jobs.read_landing(spark, landing, "kbo"), mart, DAY, f"{DAY} 10:30:00")
+    assert {r.player_code: r.effective_position for r in again.collect()}["2"] == "1루수"
