@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
@@ -15,7 +15,7 @@ from dugout.operators import (
     boards, box, cost, merge, positions as pos, pregame, relay, roster, schedule, second_league as sl,
 )
 from dugout.plans import bindings as b
-from dugout.session import cut
+from dugout.session import cut, shared_folder
 from dugout.sources import landed, sinks, tables
 from dugout.streaming import live
 
@@ -697,10 +697,7 @@ def roster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream the events table in; every day touched is recomputed whole and replaced."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    work = tempfile.mkdtemp(prefix="live-") if not spark.conf.get("spark.checkpoint.dir", None) else (
-        f"{folder}/live-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    )
+    work = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     mart = f"{work}/mart"
     schema = b.table(spark, sf_dir, "events").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

@@ -27,17 +27,22 @@ def build_session(app: str = "dugout", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared checkpoint folder so that a lost executor costs no recompute.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is set
-    only where that is unset, which is the case in local tests.
+    A temporary one is used only where that is unset and Spark runs in one process, as in tests.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="dugout-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Store ``df`` in the shared checkpoint folder so that a lost executor costs no recompute."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="dugout-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
