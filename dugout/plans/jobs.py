@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -259,7 +260,8 @@ def run_day(
     window = schedule.active_window(today, F.to_timestamp(F.lit(now))).first()
     if window is None or not window["active"]:
         return False
-    positions = refresh_if_due(spark, read_landing(spark, root, "kbo", None, packed), mart, day, now)
+    recent = [str(date.fromisoformat(day) - timedelta(days=i)) for i in range(pos.WINDOW_DAYS)]
+    positions = refresh_if_due(spark, read_landing(spark, root, "kbo", recent, packed), mart, day, now)
     score_days(spark, root, mart, "kbo", [day], positions, costs, packed)
     return True
 
