@@ -11,8 +11,8 @@ Every step is exact: what is set aside cannot have a link. Sets are worked on on
    found no link) by the smallest token of another order. A group larger than ``GROUP`` is cut, and the cuts
    share a few leaders. Inside a group the links are found by counting owners of common tokens; a spanning
    forest of them is kept, not the pairs.
-4. *Token-group matrix*: rows (token, group) over the first tokens of the members. A token that leads from one
-   component to another brings the query set to the group. The group holds the union of its members' tokens; a
+4. *Token-group matrix*: rows (token, group) over the first tokens of the members, those that the fewest components
+   hold first. A token that leads from one component to another brings the query set to the group. The group holds the union of its members' tokens; a
    query whose overlap with the union is too small for any link stops there, and only qualifying groups are
    opened and compared member by member. Sets of one component need no further link between them.
 """
@@ -268,10 +268,9 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     labels = components(links)
     label = F.coalesce("root", "digest").alias("component")
-    known = near.select("digest", "n", F.expr(f"slice(tokens, 1, n - int(ceil({SHARE} * n / {WHOLE}D)) + 1)").alias("first"))
-    known = known.join(labels, known["digest"] == labels["node"], "left").select("digest", "n", "first", label)
-    known = stored(known.join(homes.select("digest", "home"), "digest").dropDuplicates(["digest"]), "labels")
-    links = links.unionByName(_cross_links(near, known, homes))
+    known = near.join(labels, near["digest"] == labels["node"], "left").select("digest", "n", "tokens", label)
+    known = known.join(homes.select("digest", "home"), "digest").dropDuplicates(["digest"])
+    links = links.unionByName(_cross_links(known.withColumn("component", F.xxhash64("component")), near, homes))
 
     labels = components(links)
     each = ids.join(labels, ids["digest"] == labels["node"], "left").select("digest", "doc_id", label)
@@ -282,13 +281,20 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
 
 
-def _cross_links(near: DataFrame, known: DataFrame, homes: DataFrame) -> DataFrame:
-    """Links between sets of different components, through the token-group matrix."""
-    rows = known.select("digest", "n", "component", "home", F.explode("first").alias("token"))
+def _cross_links(known: DataFrame, near: DataFrame, homes: DataFrame) -> DataFrame:
+    """Links between sets of different components, through the token-group matrix.
+
+    Tokens go by the number of components that hold them, fewest first; two linked sets share one of the first
+    ``n - least_overlap(n) + 1`` of each. A token of one component leads nowhere and only takes up a place.
+    """
+    rows = known.select("digest", "n", "component", "home", F.explode("tokens").alias("token"))
+    spread = rows.select("token", "component").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
+    own = Window.partitionBy("digest")
+    rows = rows.join(spread, "token").withColumn("place", F.row_number().over(own.orderBy("spread", "token")))
+    rows = rows.withColumn("crossing", F.count(F.lit(1)).over(own))
+    rows = stored(rows.where(f"place <= crossing - int(ceil({SHARE} * n / {WHOLE}D)) + 1").select("digest", "n", "component", "home", "token"), "crossing")
     matrix = rows.groupBy("token", "home", "component").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
-    crossing = matrix.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    matrix = matrix.join(crossing, "token", "left_semi")
-    queries = rows.join(crossing, "token", "left_semi").select("token", "digest", "n", F.col("component").alias("own"))
+    queries = rows.select("token", "digest", "n", F.col("component").alias("own"))
     meets = queries.join(matrix, "token").where(
         f"component < own and {WHOLE} * largest >= {SHARE} * n and {WHOLE} * n >= {SHARE} * smallest")
     meets = stored(meets.select("home", "digest").distinct(), "meets")
