@@ -126,6 +126,7 @@ def nearest(rows: DataFrame, k: int, query_every: int, vec_id: str = "vec_id", v
     seen = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas().sort_values("vec_id")
     known, known_ids = np.array(seen["v"].tolist(), np.float64), seen["vec_id"].to_numpy()
     forest = grow(known, trees, leaf)
+    known_leaves = [leaves_of(tree, known) for tree in forest]
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -140,8 +141,15 @@ def nearest(rows: DataFrame, k: int, query_every: int, vec_id: str = "vec_id", v
             for name, v in zip(part["vec_id"], part["v"], strict=True):
                 x = np.asarray(v, np.float64)
                 leaves.append(probe(forest, x, probes))
-                # The k-th best of the sample is never above the k-th best of all rows: what is below it cannot be returned.
-                score = (known @ x)[known_ids != name]
+                # Sample rows in the opened leaves are found for sure, so the k-th best found is not below their k-th best.
+                inside = known_ids != name
+                at = [x - (x >> 32 << 32) for x in leaves[-1]]
+                hit = np.zeros(len(known), bool)
+                for t, assigned in enumerate(known_leaves):
+                    opened = np.zeros(int(forest[t]["leaves"]), bool)
+                    opened[[leaf for leaf, x in zip(at, leaves[-1], strict=True) if x >> 32 == t]] = True
+                    hit |= opened[assigned]
+                score = known[hit & inside] @ x
                 floors.append(np.partition(score, len(score) - k)[len(score) - k] - 1e-9 if len(score) >= k else -np.inf)
             asked = pd.DataFrame({"leaf": leaves, "query_id": part["vec_id"].to_numpy(), "q": part["v"].to_numpy(), "floor": floors})
             yield asked.explode("leaf").astype({"leaf": "int64"})
