@@ -199,11 +199,11 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _open(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """Links from queries to members of one group: first the bound by the union, then the members themselves."""
+    """Links from queries to members of one group, one for each component: first the bound by the union, then the members."""
     if not len(members) or not len(queries):
         return pd.DataFrame([], columns=["src", "dst"])
     sets = [np.asarray(t).view(np.uint64) for t in members["held"]]
-    names = members["member"].tolist()
+    names, component = members["member"].tolist(), members["component"].to_numpy()
     tokens, owner, sizes = _matrix(sets)
     union = tokens[np.concatenate(([True], tokens[1:] != tokens[:-1]))]
     out = []
@@ -212,7 +212,9 @@ def _open(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         at = np.minimum(np.searchsorted(union, query), len(union) - 1)
         if int((union[at] == query).sum()) < least_overlap(len(query)):
             continue
-        out += [(name, names[k]) for k in np.flatnonzero(_links_of(tokens, owner, sizes, query)).tolist()]
+        linked = np.flatnonzero(_links_of(tokens, owner, sizes, query))
+        first = np.unique(component[linked], return_index=True)[1]
+        out += [(name, names[k]) for k in linked[first].tolist()]
     return pd.DataFrame(out, columns=["src", "dst"])
 
 
@@ -270,7 +272,7 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     label = F.coalesce("root", "digest").alias("component")
     known = near.join(labels, near["digest"] == labels["node"], "left").select("digest", "n", "tokens", label)
     known = known.join(homes.select("digest", "home"), "digest").dropDuplicates(["digest"])
-    links = links.unionByName(_cross_links(known.withColumn("component", F.xxhash64("component")), near, homes))
+    links = links.unionByName(_cross_links(known.withColumn("component", F.xxhash64("component")), near))
 
     labels = components(links)
     each = ids.join(labels, ids["digest"] == labels["node"], "left").select("digest", "doc_id", label)
@@ -281,7 +283,7 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
 
 
-def _cross_links(known: DataFrame, near: DataFrame, homes: DataFrame) -> DataFrame:
+def _cross_links(known: DataFrame, near: DataFrame) -> DataFrame:
     """Links between sets of different components, through the token-group matrix.
 
     Tokens go by the number of components that hold them, fewest first; two linked sets share one of the first
@@ -294,16 +296,17 @@ def _cross_links(known: DataFrame, near: DataFrame, homes: DataFrame) -> DataFra
     rows = rows.withColumn("crossing", F.count(F.lit(1)).over(own))
     rows = stored(rows.where(f"place <= crossing - int(ceil({SHARE} * n / {WHOLE}D)) + 1").select("digest", "n", "component", "home", "token"), "crossing")
     matrix = rows.groupBy("token", "home", "component").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
-    queries = rows.select("token", "digest", "n", F.col("component").alias("own"))
-    meets = queries.join(matrix, "token").where(
-        f"component < own and {WHOLE} * largest >= {SHARE} * n and {WHOLE} * n >= {SHARE} * smallest")
-    meets = stored(meets.select("home", "digest").distinct(), "meets")
+    # Groups meet groups: sets of one home were compared when its forest was made.
+    asking = matrix.select("token", F.col("home").alias("asking"), F.col("component").alias("own"), F.col("smallest").alias("low"), F.col("largest").alias("high"))
+    meets = matrix.join(asking, "token").where(
+        f"component < own and home <> asking and {WHOLE} * largest >= {SHARE} * low and {WHOLE} * high >= {SHARE} * smallest")
+    meets = stored(meets.select("home", "asking").distinct(), "meets")
+    meets = meets.join(rows.select("digest", F.col("home").alias("asking")).distinct(), "asking").select("home", "digest")
     busy = meets.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
     asks = meets.join(busy, "home").select("home", F.expr("cast(pmod(xxhash64(digest, 3), blocks) as int)").alias("block"), "digest")
     asks = asks.join(near.select("digest", "tokens"), "digest")
-    members = homes.select("home", F.col("digest").alias("member")).join(busy, "home")
-    members = members.select(F.col("home").alias("at"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), "member")
-    members = members.join(near.select(F.col("digest").alias("member"), F.col("tokens").alias("held")), "member")
+    members = known.select("home", F.col("digest").alias("member"), "component", F.col("tokens").alias("held")).join(busy, "home")
+    members = members.select(F.col("home").alias("at"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), "member", "component", "held")
     return stored(
         members.groupBy("at", "part").cogroup(asks.groupBy("home", "block")).applyInPandas(_open, "src binary, dst binary"), "links")
 
