@@ -77,9 +77,20 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     return {"languages": [*languages, UNKNOWN], "log": np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)}
 
 
-def text_scores(docs: DataFrame, model: dict, text: str = "text", column: str = "text_log") -> DataFrame:
-    """``docs`` with an array of log likelihoods, one for each of the model's languages; zeros without letters."""
-    names = [c for c in docs.columns if c != column]
+def _normal(logs: np.ndarray) -> np.ndarray:
+    """Probabilities of each row from log weights."""
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _arrays(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def text_scores(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """``docs`` with two arrays, a place for each of the model's languages: log likelihoods ``text_log`` (zeros without
+    letters), and ``own``, the probabilities by them alone."""
+    names = [c for c in docs.columns if c not in ("text_log", "own")]
     docs = docs.select(*names)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,16 +101,44 @@ def text_scores(docs: DataFrame, model: dict, text: str = "text", column: str =
             seen = np.bincount(owner, minlength=n)
             total = np.stack([np.bincount(owner, row[cell], n) for row in log], axis=1)
             total *= (np.minimum(1, EVIDENCE / np.maximum(seen, 1)))[:, None]
-            values = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), total.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _arrays(total), _arrays(_normal(total))], [*names, "text_log", "own"])
 
-    return docs.mapInArrow(scored, docs.withColumn(column, F.array().cast("array<double>")).schema)
+    empty = F.array().cast("array<double>")
+    return docs.mapInArrow(scored, docs.withColumns({"text_log": empty, "own": empty}).schema)
 
 
-def _normal(logs: Column) -> Column:
-    """Probabilities from an array of log weights."""
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+def _fused(languages: list[str], share: np.ndarray):
+    """The fusion of all evidence of a batch of rows."""
+    n = len(languages)
+
+    def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).flatten().to_numpy().reshape(-1, n)
+
+    def named(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return np.array([bool(x) for x in batch.column(name).to_pylist()], bool)[:, None]
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, log = matrix(batch, "own"), matrix(batch, "text_log")
+            prior = np.broadcast_to(share, own.shape)
+            for sums, level in (("at_suffix", "suffix"), ("at_domain", "domain"), ("at_host", "host")):
+                rest = np.maximum(matrix(batch, sums) - own, 0)
+                narrow = (rest + PULL * prior) / (rest.sum(axis=1, keepdims=True) + PULL)
+                prior = np.where(named(batch, level), narrow, prior)
+            # How often the declared value stands with each language, the row's own share taken out.
+            rest = np.maximum(matrix(batch, "said") - own, 0)
+            given = np.log((rest + PULL * share) / (rest.sum(axis=1, keepdims=True) + PULL)) - np.log(share)
+            posterior = _normal(log + np.where(named(batch, "declared"), given, 0) + np.log(prior))
+            best, alone = posterior.argmax(axis=1), own.argmax(axis=1)
+            letters = log.max(axis=1) < 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array([languages[i] for i in best], pa.string()), pa.array(posterior[np.arange(len(best)), best]),
+                 pa.array([languages[i] if x else None for i, x in zip(alone, letters, strict=True)], pa.string()), batch.column("declared"), batch.column("host")],
+                ["key", "lang", "probability", "text_lang", "declared", "host"])
+
+    return fuse
 
 
 def _added(rows: DataFrame, keys: list[str], column: str, n: int) -> DataFrame:
@@ -130,41 +169,21 @@ def identify(rows: DataFrame, model: dict, key: str, text: str, declared: Column
     kind = rows.schema[key].dataType.simpleString()
     base = rows.select(F.col(key).cast(kind).alias("key"), F.col(text).alias("text"), F.coalesce(declared, F.lit("")).alias("declared"),
                        F.coalesce(host, F.lit("")).alias("host"))
-    base = text_scores(base, model).drop("text").withColumn("own", _normal(F.col("text_log")))
+    base = text_scores(base, model).drop("text")
     base = base.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
     base = stored(base, "evidence")
 
     whole = _added(base, [], "own", n).first()
     share = [(x or 0.0) + SMOOTH for x in (whole["sums"] if whole else [None] * n)]
-    share = F.array(*[F.lit(float(x / sum(share))) for x in share])
+    share = np.array(share) / sum(share)
     hosts = _added(base, ["host", "domain", "suffix"], "own", n)
     domains = _added(hosts, ["domain", "suffix"], "sums", n)
     suffixes = _added(domains, ["suffix"], "sums", n)
     table = hosts.withColumnRenamed("sums", "at_host")
     table = table.join(domains.withColumnRenamed("sums", "at_domain"), ["domain", "suffix"]).join(suffixes.withColumnRenamed("sums", "at_suffix"), "suffix")
 
-    def narrowed(wide: Column, sums: Column, own: Column, named: Column) -> Column:
-        """The prior of a level: its sums without the row's own share, pulled towards the wider level."""
-        rest = F.transform(sums, lambda x, i: F.greatest(x - own[i], F.lit(0.0)))
-        total = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
-        return F.when(named == "", wide).otherwise(F.transform(rest, lambda x, i: (x + PULL * wide[i]) / (total + PULL)))
-
     # How often a declared value stands with each language.
     said = _added(base, ["declared"], "own", n).select("declared", F.col("sums").alias("said"))
     fused = base.join(table.select("host", "at_host", "at_domain", "at_suffix"), "host").join(said, "declared")
-    fused = fused.withColumn("p1", narrowed(share, F.col("at_suffix"), F.col("own"), F.col("suffix")))
-    fused = fused.withColumn("p2", narrowed(F.col("p1"), F.col("at_domain"), F.col("own"), F.col("domain")))
-    fused = fused.withColumn("p3", narrowed(F.col("p2"), F.col("at_host"), F.col("own"), F.col("host")))
-    rest = F.transform("said", lambda x, i: F.greatest(x - F.col("own")[i], F.lit(0.0)))
-    total = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
-    given = F.when(F.col("declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(
-        F.transform(rest, lambda x, i: F.log((x + PULL * share[i]) / (total + PULL)) - F.log(share[i])))
-    fused = fused.withColumn("given", given)
-    logs = F.transform("text_log", lambda x, i: x + F.col("given")[i] + F.log(F.col("p3")[i]))
-    fused = fused.withColumn("posterior", _normal(logs))
-    names = F.array(*[F.lit(x) for x in languages])
-    best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    letters = F.array_max("text_log") < 0
-    return fused.select(
-        F.col("key").alias(key), best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("probability"),
-        F.when(letters, best(F.col("own"))).alias("text_lang"), "declared", "host")
+    found = fused.mapInArrow(_fused(languages, share), f"key {kind}, lang string, probability double, text_lang string, declared string, host string")
+    return found.withColumnRenamed("key", key)

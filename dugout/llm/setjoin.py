@@ -100,6 +100,8 @@ _SIEVE_FIELDS = ("digest", "n", "known", "lone", "told")
 _SIEVE = "digest binary, n int, known int, lone array<bigint>, told array<bigint>"
 #: Tokens that a task holds at once when it works on stored sets.
 _TOKENS = 1 << 20
+#: Bytes of text whose tokens are settled together by the first sieve.
+_BYTES = 4 << 20
 
 
 def _sieve_columns(sets: list[np.ndarray], keys: list[bytes], whole: bool) -> list[pa.Array]:
@@ -110,7 +112,7 @@ def _sieve_columns(sets: list[np.ndarray], keys: list[bytes], whole: bool) -> li
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every text's digest and size, with its part of the first sieve."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", _BYTES):
         sets = shingle_sets(*text_bytes(batch.column("text")))
         columns = _sieve_columns(sets, [_digest(s) for s in sets], False)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *_SIEVE_FIELDS])
@@ -118,7 +120,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every text's whole set, and its smallest token in a second order."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", _BYTES):
         sets = [s for s in shingle_sets(*text_bytes(batch.column("text"))) if len(s)]
         other = [int(mix(s ^ _SALT).min().view(np.int64)) for s in sets]
         columns = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists(sets), pa.array(other, pa.int64())]
