@@ -99,7 +99,7 @@ def text_scores(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             cell, owner = trigrams(*text_bytes(batch.column(text)))
             n = batch.num_rows
             seen = np.bincount(owner, minlength=n)
-            total = np.stack([np.bincount(owner, row[cell], n) for row in log], axis=1)
+            total = np.stack([np.bincount(owner, row[cell], n).astype(float) for row in log], axis=1)
             total *= (np.minimum(1, EVIDENCE / np.maximum(seen, 1)))[:, None]
             yield pa.RecordBatch.from_arrays([*batch.columns, _arrays(total), _arrays(_normal(total))], [*names, "text_log", "own"])
 

@@ -83,7 +83,7 @@ class Vocabulary:
         share[END] = ends
         share[2 : 2 + len(inside)] = counts[inside]
         share[OTHER] = total - share.sum()
-        self.outside = np.log10(share[OTHER] + SMOOTH * (distinct - 1 - len(inside)) + SMOOTH)
+        self.outside = np.log10(max(share[OTHER], 0) + SMOOTH * max(distinct - 1 - len(inside), 0) + SMOOTH)
         share += SMOOTH
         self.share = share / share.sum()
         self.whole = np.log10(total + SMOOTH * (distinct + 1))
