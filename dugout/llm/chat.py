@@ -72,11 +72,11 @@ def tree_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["t"]) & (rooted["id"] == parents["p"]), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), "id"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
-    path = chosen.select("tree", "branch", F.col("id").alias("leaf"), "id")
+    path = stored(chosen.select("tree", "branch", F.col("id").alias("leaf"), "id"), "path")
     for up in reversed(levels):
         up = up.select(F.col("tree").alias("t"), F.col("id").alias("u"), F.col("up").alias("next"))
         step = path.join(up, path["tree"].eqNullSafe(up["t"]) & (path["id"] == up["u"])).select("tree", "branch", "leaf", F.col("next").alias("id"))
-        path = path.unionByName(step)
+        path = stored(path.unionByName(step), "path")
     depth = rooted.select(F.col("tree").alias("t"), F.col("id").alias("u"), F.col("steps").alias("depth"))
     path = path.join(depth, path["tree"].eqNullSafe(depth["t"]) & (path["id"] == depth["u"]))
     return path.select("tree", "branch", "leaf", "id", "depth")
