@@ -315,6 +315,9 @@ def test_neighbours(spark):
         hit += len(set(best) & set(got.vec_id))
         assert got["rank"].tolist() == list(range(1, 11)) and got.score.tolist() == pytest.approx([exact_[q][v] for v in got.vec_id])
     assert hit >= 0.9 * 10 * 45
-    assert found[found.query_id == 100].sort_values("rank").vec_id.tolist() == list(range(101, 111))
+    # Equal vectors have equal products, so they come by id; a longer vector may stand before them.
+    near = found[found.query_id == 100].sort_values("rank").vec_id.tolist()
+    same = [v for v in near if 100 < v < 140]
+    assert same == list(range(101, 101 + len(same))) and len(same) >= 8
     assert ann.nearest(table.limit(0), 10, 20).count() == 0
     assert ann.nearest(table.where("vec_id in (0, 7)"), 10, 20).count() == 1
