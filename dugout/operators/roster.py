@@ -234,8 +234,10 @@ def cost_rows(pool: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
 def best_rosters(
     pool: DataFrame, budgets: Sequence[int] = (DEFAULT_BUDGET,)
 ) -> DataFrame:
-    """Highest total per (day, budget), the cheapest one on equal totals, with its players."""
-    budgets = [max(1, min(LARGEST_BUDGET, int(b))) for b in budgets]
+    """Highest total per (day, budget), the cheapest one on equal totals, with its players; budgets are 1..999."""
+    budgets = [int(b) for b in budgets]
+    if not budgets or min(budgets) < 1 or max(budgets) > LARGEST_BUDGET:
+        raise ValueError(f"budgets must be 1..{LARGEST_BUDGET}: {budgets}")
     layer = cost_rows(pool, max(budgets))
     cells = layer.select("day", F.posexplode("layer").alias("total_cost", "cell")).filter(
         F.col("cell").isNotNull()

@@ -57,3 +57,13 @@ def test_best_roster_equals_brute_force(spark):
             assert (sum(x.lp for x in r.roster), sum(x.cost for x in r.roster)) == want
             slots = sorted([*ROSTER_FIELD_SLOTS, DH] + [STARTER] * 2 + [RELIEVER] * 3)
             assert sorted(x.slot for x in r.roster) == slots
+
+
+def test_budgets_out_of_range_are_refused(spark):
+    pool = spark.createDataFrame([], "day string")
+    for bad in ([0], [1000], []):
+        try:
+            roster.best_rosters(pool, bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
