@@ -12,7 +12,8 @@ Every step is exact: what is set aside cannot have a link. Sets are worked on on
    share a few leaders. Inside a group the links are found by counting owners of common tokens; a spanning
    forest of them is kept, not the pairs.
 4. *Token-group matrix*: rows (token, group) over the first tokens of the members, those that the fewest components
-   hold first. A token that leads from one component to another brings the query set to the group. The group holds the union of its members' tokens; a
+   hold first. A token that leads from one component to another brings one group's sets as queries to the other
+   group, once for both, however many components the two hold. A group holds the union of its members' tokens; a
    query whose overlap with the union is too small for any link stops there, and only qualifying groups are
    opened and compared member by member. Sets of one component need no further link between them.
 """
@@ -297,11 +298,13 @@ def _cross_links(known: DataFrame, near: DataFrame) -> DataFrame:
     rows = rows.join(spread, "token").withColumn("place", F.row_number().over(own.orderBy("spread", "token")))
     rows = rows.withColumn("crossing", F.count(F.lit(1)).over(own))
     rows = stored(rows.where(f"place <= crossing - int(ceil({SHARE} * n / {WHOLE}D)) + 1").select("digest", "n", "component", "home", "token"), "crossing")
-    matrix = rows.groupBy("token", "home", "component").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    matrix = rows.groupBy("token", "home").agg(
+        F.min("n").alias("smallest"), F.max("n").alias("largest"), F.min("component").alias("first"), F.max("component").alias("last"))
     # Groups meet groups: sets of one home were compared when its forest was made.
-    asking = matrix.select("token", F.col("home").alias("asking"), F.col("component").alias("own"), F.col("smallest").alias("low"), F.col("largest").alias("high"))
+    asking = matrix.select("token", F.col("home").alias("asking"), *(F.col(c).alias(f"asking_{c}") for c in matrix.columns[2:]))
     meets = matrix.join(asking, "token").where(
-        f"component < own and home <> asking and {WHOLE} * largest >= {SHARE} * low and {WHOLE} * high >= {SHARE} * smallest")
+        f"home < asking and {WHOLE} * largest >= {SHARE} * asking_smallest and {WHOLE} * asking_largest >= {SHARE} * smallest"
+        " and least(first, asking_first) < greatest(last, asking_last)")
     meets = stored(meets.select("home", "asking").distinct(), "meets")
     meets = meets.join(rows.select("digest", F.col("home").alias("asking")).distinct(), "asking").select("home", "digest")
     busy = meets.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
