@@ -13,7 +13,7 @@ Every step is exact: what is set aside cannot have a link. Sets are worked on on
    forest of them is kept, not the pairs.
 4. *Token-group matrix*: rows (token, group) over the first tokens of the members, those that the fewest components
    hold first. A token that leads from one component to another brings one group's sets as queries to the other
-   group, once for both, however many components the two hold. A group holds the union of its members' tokens; a
+   group, the smaller one the larger one, however many components the two hold. A group holds the union of its members' tokens; a
    query whose overlap with the union is too small for any link stops there, and only qualifying groups are
    opened and compared member by member. Sets of one component need no further link between them.
 """
@@ -305,8 +305,15 @@ def _cross_links(known: DataFrame, near: DataFrame) -> DataFrame:
     meets = matrix.join(asking, "token").where(
         f"home < asking and {WHOLE} * largest >= {SHARE} * asking_smallest and {WHOLE} * asking_largest >= {SHARE} * smallest"
         " and least(first, asking_first) < greatest(last, asking_last)")
-    meets = stored(meets.select("home", "asking").distinct(), "meets")
-    meets = meets.join(rows.select("digest", F.col("home").alias("asking")).distinct(), "asking").select("home", "digest")
+    queries = rows.select(F.col("home").alias("asking"), "digest").distinct()
+    weight = queries.groupBy("asking").agg(F.count(F.lit(1)).alias("asking_weight"))
+    meets = meets.select("home", "asking").distinct().join(weight, "asking")
+    meets = meets.join(weight.select(F.col("asking").alias("home"), F.col("asking_weight").alias("weight")), "home")
+    # A link has no direction, so of two groups the one with fewer queries asks.
+    swap = F.expr("weight < asking_weight")
+    meets = stored(meets.select(
+        F.when(swap, F.col("asking")).otherwise(F.col("home")).alias("home"), F.when(swap, F.col("home")).otherwise(F.col("asking")).alias("asking")), "meets")
+    meets = meets.join(queries, "asking").select("home", "digest")
     busy = meets.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
     asks = meets.join(busy, "home").select("home", F.expr("cast(pmod(xxhash64(digest, 3), blocks) as int)").alias("block"), "digest")
     asks = asks.join(near.select("digest", "tokens"), "digest")
