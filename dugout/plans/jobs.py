@@ -21,6 +21,12 @@ from dugout.session import cut
 from dugout.sources import landed, sinks
 
 
+#: Tables of a mart folder that hold the rows of a day.
+MARTS = ("batters", "pitchers", "ledger", "position_events", "quarantine")
+#: Days that backfill and reprocess score and mark at a time.
+BATCH = 14
+
+
 @dataclass
 class Landing:
     """Inputs of one league, read lazily."""
@@ -160,24 +166,36 @@ def write_scored(days: ScoredDays, mart: str) -> None:
         sinks.write_lines(
             days.position_events.withColumnRenamed("tag", "type"), f"{mart}/position_events"
         )
-    days.quarantine.write.mode("append").parquet(f"{mart}/quarantine")
+    sinks.write_control(days.quarantine, f"{mart}/quarantine")
 
 
 def score_days(
     spark: SparkSession, root: str, mart: str, league: str, days: Sequence[str],
     positions: DataFrame | None = None, costs: DataFrame | None = None, packed: bool = False,
 ) -> None:
-    """Recompute whole days and replace their partitions."""
+    """Recompute whole days and replace their partitions; a day left without rows keeps none.
+
+    Files that a listed day had before and that the write did not replace belong to a day without rows now.
+    """
     source = read_landing(spark, root, league, days, packed)
     if league == "mlb":
         scored = score_second_league(source)
     else:
         scored = score_first_league(source, positions, costs)
+    day = source.games.select("game_id", F.lit(league).alias("league"), "game_date")
+    scored.quarantine = scored.quarantine.join(day, "game_id", "left").withColumn("league", F.lit(league))
+    before = [f for name in MARTS for f in sinks.day_files(spark, f"{mart}/{name}", league, days)]
     write_scored(scored, mart)
+    sinks.remove_files(before)
     done = source.games.select("league", "game_date").distinct()
     sinks.mark_done(done, f"{mart}/done")
 
 
+def _batches(days: Sequence[str]) -> list[Sequence[str]]:
+    """Days in parts; each is marked when it is written, so a job that ends early goes on after its last part."""
+    return [days[at : at + BATCH] for at in range(0, len(days), BATCH)]
+
+
 def backfill(
     spark: SparkSession, root: str, mart: str, calendar: DataFrame, positions: DataFrame,
     costs: DataFrame, packed: bool = False,
@@ -186,8 +204,8 @@ def backfill(
     done = sinks.read_done(spark, f"{mart}/done").filter(F.col("league") == "kbo")
     missing = schedule.todo(schedule.season_days(calendar), done).select("game_date").collect()
     days = sorted(str(r["game_date"]) for r in missing)
-    if days:
-        score_days(spark, root, mart, "kbo", days, positions, costs, packed)
+    for batch in _batches(days):
+        score_days(spark, root, mart, "kbo", batch, positions, costs, packed)
     return days
 
 
@@ -199,8 +217,8 @@ def backfill_range(
     done = sinks.read_done(spark, f"{mart}/done").filter(F.col("league") == "kbo")
     missing = schedule.todo(schedule.date_range(spark, first, last), done).collect()
     days = sorted(str(r["game_date"]) for r in missing)
-    if days:
-        score_days(spark, root, mart, "kbo", days, positions, costs, packed)
+    for batch in _batches(days):
+        score_days(spark, root, mart, "kbo", batch, positions, costs, packed)
     return days
 
 
@@ -213,10 +231,10 @@ def reprocess(
     if run_done:
         left -= {str(r["game_date"]) for r in sinks.read_done(spark, run_done).collect()}
     todo = sorted(left)
-    if todo:
-        score_days(spark, root, mart, "kbo", todo, positions, costs, packed)
+    for batch in _batches(todo):
+        score_days(spark, root, mart, "kbo", batch, positions, costs, packed)
         if run_done:
-            marks = spark.createDataFrame([("kbo", d) for d in todo], "league STRING, d STRING")
+            marks = spark.createDataFrame([("kbo", d) for d in batch], "league STRING, d STRING")
             sinks.mark_done(marks.select("league", F.to_date("d").alias("game_date")), run_done)
     return todo
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PARTITIONS = ("league", "game_date")
@@ -42,13 +44,40 @@ def date_index(batters: DataFrame) -> DataFrame:
     )
 
 
+def day_files(spark: SparkSession, path: str, league: str, days: Sequence[str]) -> list:
+    """(file system, file) for the data files of the listed days, on whatever store ``path`` is."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    found = []
+    for day in days:
+        folder = fs.Path(f"{path}/league={league}/game_date={day}")
+        store = folder.getFileSystem(conf)
+        if store.exists(folder):
+            found += [(store, status.getPath()) for status in store.listStatus(folder)]
+    return found
+
+
+def remove_files(files: list) -> None:
+    """Delete files that a write has left: those of a day that has no row any more."""
+    for store, file in files:
+        store.delete(file, False)
+
+
+def write_control(rows: DataFrame, path: str) -> None:
+    """Replace the (league, day) partitions present in ``rows``; a few rows a day, so one file each."""
+    (
+        rows.repartition(*PARTITIONS)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*PARTITIONS).parquet(path)
+    )
+
+
 def mark_done(days: DataFrame, path: str) -> None:
-    """Append finished days to a control table."""
-    days.select("league", "game_date").distinct().coalesce(1).write.mode("append").parquet(path)
+    """One mark for each finished day, however often it is scored."""
+    write_control(days.select("league", "game_date").distinct().withColumn("done", F.lit(True)), path)
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame:
-    return _read_or_empty(spark, path, "league STRING, game_date DATE")
+    return _read_or_empty(spark, path, "done BOOLEAN, league STRING, game_date DATE").drop("done")
 
 
 def mark_refreshed(spark: SparkSession, path: str, at: str) -> None:

@@ -123,6 +123,38 @@ def test_second_league(spark, tmp_path):
     assert arms["투수1"].QSPLUS and arms["투수2"].SB_ALLOWED == 1 and arms["투수3"].CG
     subs = [r.sub for r in landed.read_relay_second(spark, f"{root}/mlb/relay").filter("no = 1").orderBy("sub").collect()]
     assert subs == [1, 3, 4]
+    schema = spark.read.parquet(f"{mart}/batters").schema
+    record["homeBatter"][0]["hit"] = "two"
+    write(f"{root}/mlb/record/game_date={DAY}/M1.json", {"result": {"recordData": record}})
+    for _ in range(2):
+        jobs.score_days(spark, root, mart, "mlb", [DAY])
+    for table in ("batters", "pitchers"):  # the day has no row left, so none stays
+        assert spark.read.schema(schema).parquet(f"{mart}/{table}").count() == 0
+    assert [(r.game_id, r.league, str(r.game_date)) for r in spark.read.parquet(f"{mart}/quarantine").collect()] == [("M1", "mlb", DAY)]
+    assert [str(r.game_date) for r in sinks.read_done(spark, f"{mart}/done").collect()] == [DAY]
+    record["homeBatter"][0]["hit"] = 3
+    write(f"{root}/mlb/record/game_date={DAY}/M1.json", {"result": {"recordData": record}})
+    jobs.score_days(spark, root, mart, "mlb", [DAY])
+    assert {r["name"] for r in spark.read.parquet(f"{mart}/batters").collect()} == {"가", "나"}
+    assert not spark.read.schema("game_id STRING").parquet(f"{mart}/quarantine").count()
+
+
+def test_batches_resume(spark, tmp_path, monkeypatch):
+    """A reprocess that ends early keeps the marks of the parts that are written."""
+    scored = []
+
+    def score(spark, root, mart, league, days, *rest):
+        if scored:
+            raise RuntimeError("lost")
+        scored.extend(days)
+
+    monkeypatch.setattr(jobs, "score_days", score)
+    monkeypatch.setattr(jobs, "BATCH", 2)
+    days = ["2026-05-01", "2026-05-02", "2026-05-03"]
+    with pytest.raises(RuntimeError):
+        jobs.reprocess(spark, "in", "out", days, None, None, str(tmp_path / "run"))
+    scored.clear()
+    assert jobs.reprocess(spark, "in", "out", days, None, None, str(tmp_path / "run")) == ["2026-05-03"] == scored
 
 
 def test_reference_tables(spark, tmp_path):
