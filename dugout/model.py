@@ -136,8 +136,8 @@ NON_FIELDING_B = ("대타", "대주자", "지명타자")  # second league: not a
 
 # League settings that change a rule.
 LEAGUE_RULES = {
-    "kbo": {"qsplus_er": 2, "max_innings": 15, "perfect_counts_hbp": True},
-    "mlb": {"qsplus_er": 3, "max_innings": 13, "perfect_counts_hbp": False},
+    "kbo": {"qsplus_er": 2, "perfect_counts_hbp": True},
+    "mlb": {"qsplus_er": 3, "perfect_counts_hbp": False},
 }
 
 # ---------------------------------------------------------------------------

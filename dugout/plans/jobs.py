@@ -22,7 +22,7 @@ from dugout.sources import landed, sinks
 
 
 #: Tables of a mart folder that hold the rows of a day.
-MARTS = ("batters", "pitchers", "ledger", "position_events", "quarantine")
+MARTS = ("batters", "pitchers", "ledger", "position_events", "quarantine", "gaps")
 #: Days that backfill and reprocess score and mark at a time.
 BATCH = 14
 
@@ -35,6 +35,7 @@ class Landing:
     batters: DataFrame
     pitchers: DataFrame
     relay: DataFrame
+    gaps: DataFrame
     team_pitching: DataFrame | None = None
     etc_records: DataFrame | None = None
     info: DataFrame | None = None
@@ -57,11 +58,12 @@ def read_landing(
     records = landed.read_records(spark, f"{base}/record", packed, days)
     reader = landed.read_relay_second if league == "mlb" else landed.read_relay
     events = reader(spark, f"{base}/relay", packed, days)
+    gaps = landed.relay_gaps(spark, f"{base}/relay", packed, days)
     rows = (landed.batters(records, league), landed.pitchers(records, league))
     if league == "mlb":
-        return Landing(games, *rows, events)
+        return Landing(games, *rows, events, gaps)
     return Landing(
-        games, *rows, events, landed.team_pitching(records), landed.etc_records(records),
+        games, *rows, events, gaps, landed.team_pitching(records), landed.etc_records(records),
         landed.game_info(records),
     )
 
@@ -84,8 +86,8 @@ def _named_games(source: Landing) -> DataFrame:
     )
 
 
-def _settled(source: Landing) -> tuple[DataFrame, DataFrame, DataFrame]:
-    broken = landed.broken_games(source.batters, source.pitchers)
+def _settled(source: Landing, league: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    broken = landed.broken_games(source.batters, source.pitchers, league)
     return (
         source.batters.join(broken, "game_id", "left_anti"),
         source.pitchers.join(broken, "game_id", "left_anti"),
@@ -99,7 +101,7 @@ def score_first_league(
 ) -> ScoredDays:
     """Box score, relay, positions and costs to scored rows and their ledger."""
     games = _named_games(source)
-    batters, pitchers, broken = _settled(source)
+    batters, pitchers, broken = _settled(source, "kbo")
     events = source.relay.join(games.select("game_id"), "game_id", "left_semi").join(
         broken, "game_id", "left_anti"
     )
@@ -140,7 +142,7 @@ def score_second_league(
     source: Landing, keep: Callable[[DataFrame], DataFrame] = cut
 ) -> ScoredDays:
     games = _named_games(source)
-    batters, pitchers, broken = _settled(source)
+    batters, pitchers, broken = _settled(source, "mlb")
     events = source.relay.join(games.select("game_id"), "game_id", "left_semi").join(
         broken, "game_id", "left_anti"
     )
@@ -186,6 +188,7 @@ def score_days(
     scored.quarantine = scored.quarantine.join(day, "game_id", "left").withColumn("league", F.lit(league))
     before = [f for name in MARTS for f in sinks.day_files(spark, f"{mart}/{name}", league, days)]
     write_scored(scored, mart)
+    sinks.write_control(source.gaps.join(day, "game_id"), f"{mart}/gaps")
     sinks.remove_files(before)
     done = source.games.select("league", "game_date").distinct()
     sinks.mark_done(done, f"{mart}/done")

@@ -10,11 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from dugout.functions import rules
+from dugout.functions import innings, rules
 from dugout.functions.text import counter, strip
-from dugout.model import LEAGUE_RULES
 
 _GAME = (
     "STRUCT<gameId: STRING, statusCode: STRING, cancel: BOOLEAN, gameDateTime: STRING, "
@@ -22,12 +21,8 @@ _GAME = (
     "awayTeamName: STRING, roundCode: STRING>"
 )
 SCHEDULE = f"result STRUCT<games: ARRAY<{_GAME}>>"
-_SLOTS = ", ".join(f"inn{i}: STRING" for i in range(1, 26))
-_BATTER = (
-    "STRUCT<playerCode: STRING, name: STRING, pos: STRING, posName: STRING, substituteIn: BOOLEAN, "
-    "ab: STRING, hit: STRING, run: STRING, rbi: STRING, hr: STRING, bb: STRING, kk: STRING, "
-    f"so: STRING, sb: STRING, hbp: STRING, {_SLOTS}>"
-)
+# A map, as the plate-appearance slots inn1, inn2, .. have no last number.
+_BATTER = "MAP<STRING, STRING>"
 _PITCHER = (
     "STRUCT<name: STRING, inn: STRING, hit: STRING, r: STRING, er: STRING, hr: STRING, bb: STRING, "
     "bbhp: STRING, kk: STRING, so: STRING, wls: STRING>"
@@ -111,10 +106,20 @@ def game_info(records: DataFrame) -> DataFrame:
 
 
 def _sides(records: DataFrame, home: Column, away: Column) -> DataFrame:
-    def one(side: str, rows: Column) -> DataFrame:
-        return records.select("game_id", F.lit(side).alias("side"), F.posexplode(rows).alias("pos_idx", "p"))
+    """Both sides' rows from one pass over the records."""
+    def one(side: str, rows: Column) -> Column:
+        kept = F.coalesce(rows, F.array())
+        return F.transform(kept, lambda p, i: F.struct(F.lit(side).alias("side"), i.alias("pos_idx"), p.alias("p")))
+
+    return records.select("game_id", F.inline(F.concat(one("home", home), one("away", away))))
 
-    return one("home", home).unionByName(one("away", away))
+
+def _plate_slots(player: Column) -> Column:
+    """Slot texts of a batter in the order of their numbers, however many there are."""
+    number = lambda key: F.substring(key, 4, 9).try_cast("int")
+    keys = F.filter(F.map_keys(player), lambda key: key.rlike("^inn[1-9][0-9]{0,8}$"))
+    ordered = F.array_sort(F.transform(keys, lambda key: F.struct(number(key).alias("at"), key.alias("key"))))
+    return F.transform(ordered, lambda slot: player[slot["key"]])
 
 
 def batters(records: DataFrame, league: str = "kbo") -> DataFrame:
@@ -130,9 +135,9 @@ def batters(records: DataFrame, league: str = "kbo") -> DataFrame:
         "game_id", "side", "pos_idx", F.col("p.playerCode").alias("player_code"),
         F.coalesce("p.name", F.lit("")).alias("name"),
         F.coalesce("p.posName" if second else "p.pos", F.lit("")).alias("pos"),
-        F.coalesce("p.substituteIn", F.lit(False)).alias("substitute_in"),
+        F.coalesce(F.col("p.substituteIn").try_cast("boolean"), F.lit(False)).alias("substitute_in"),
         *[counter(F.col(f"p.{source}")).alias(name) for name, source in numbers.items()],
-        F.array(*[F.col(f"p.inn{i}") for i in range(1, 26)]).alias("pa_codes"),
+        _plate_slots(F.col("p")).alias("pa_codes"),
     )
 
 
@@ -153,16 +158,23 @@ def pitchers(records: DataFrame, league: str = "kbo") -> DataFrame:
     )
 
 
-def broken_games(batter_rows: DataFrame, pitcher_rows: DataFrame) -> DataFrame:
-    """Games with a counter nobody can read. The whole game is set aside, not the row."""
-    def bad(rows: DataFrame, names) -> DataFrame:
-        test = F.lit(False)
+def broken_games(batter_rows: DataFrame, pitcher_rows: DataFrame, league: str = "kbo") -> DataFrame:
+    """Games with a counter nobody can read. The whole game is set aside, not the row.
+
+    Only what the league reads counts: its batters' hit-by-pitch and its innings text are numbers in the second
+    league; the first takes the one from the plate codes and reads any innings text.
+    """
+    second = league == "mlb"
+
+    def bad(rows: DataFrame, names, test: Column) -> DataFrame:
         for name in names:
             test = test | F.col(name).isNull()
         return rows.filter(test).select("game_id")
 
-    return bad(batter_rows, ("ab", "hit", "run", "rbi", "hr", "bb", "kk", "sb", "hbp")).unionByName(
-        bad(pitcher_rows, ("hit", "r", "er", "hr", "bb", "bbhp", "kk"))
+    counters = ("ab", "hit", "run", "rbi", "hr", "bb", "kk", "sb", *(("hbp",) if second else ()))
+    junk = innings.outs_from_decimal(F.col("inn")).isNull() if second else F.lit(False)
+    return bad(batter_rows, counters, F.lit(False)).unionByName(
+        bad(pitcher_rows, ("hit", "r", "er", "hr", "bb", "bbhp", "kk"), junk)
     ).distinct()
 
 
@@ -180,16 +192,28 @@ def etc_records(records: DataFrame) -> DataFrame:
     )
 
 
-def _contiguous(docs: DataFrame, most: int) -> DataFrame:
-    """Documents of innings 1, 2, .. up to the first one missing or empty."""
-    filled = docs.filter(F.col("inning").between(1, most) & (F.size("groups") > 0))
-    reach = filled.groupBy("game_id").agg(
-        F.aggregate(
-            F.array_sort(F.collect_set("inning")), F.lit(0),
-            lambda last, inning: F.when(inning == last + 1, inning).otherwise(last),
-        ).alias("reach")
+def _kept_innings(docs: DataFrame, stop_at_gap: bool, most: int | None) -> DataFrame:
+    """Documents that hold lines: all of them, or those up to inning ``most`` or before the first gap."""
+    filled = docs.filter(F.size("groups") > 0)
+    if most is not None:
+        filled = filled.filter(F.col("inning").between(1, most))
+    if stop_at_gap:
+        cut = _gaps(filled).groupBy("game_id").agg(F.min("first_missing").alias("cut"))
+        filled = filled.join(cut, "game_id", "left").filter("cut is null or inning < cut").drop("cut")
+    return filled
+
+
+def _gaps(filled: DataFrame) -> DataFrame:
+    before = F.lag("inning", 1, 0).over(Window.partitionBy("game_id").orderBy("inning"))
+    known = filled.filter("inning is not null").select("game_id", "inning").withColumn("before", before)
+    return known.filter("inning > before + 1").select(
+        "game_id", (F.col("before") + 1).alias("first_missing"), (F.col("inning") - 1).alias("last_missing")
     )
-    return filled.join(reach, "game_id").filter(F.col("inning") <= F.col("reach")).drop("reach")
+
+
+def relay_gaps(spark: SparkSession, path: str, packed: bool = False, days: Sequence[str] | None = None) -> DataFrame:
+    """(game_id, first_missing, last_missing): innings without lines before one that has some."""
+    return _gaps(_kept_innings(_relay_documents(spark, path, packed, days), False, None))
 
 
 def _relay_documents(
@@ -204,9 +228,15 @@ def _relay_documents(
     )
 
 
-def read_relay(spark: SparkSession, path: str, packed: bool = False, days: Sequence[str] | None = None) -> DataFrame:
-    """First league: one row per line, with the game state after it."""
-    docs = _contiguous(_relay_documents(spark, path, packed, days), LEAGUE_RULES["kbo"]["max_innings"])
+def read_relay(
+    spark: SparkSession, path: str, packed: bool = False, days: Sequence[str] | None = None,
+    stop_at_gap: bool = False, most: int | None = None,
+) -> DataFrame:
+    """First league: one row per line, with the game state after it.
+
+    Every landed inning is read; ``stop_at_gap`` and ``most`` leave out those after a missing one or a number.
+    """
+    docs = _kept_innings(_relay_documents(spark, path, packed, days), stop_at_gap, most)
     groups = docs.select("game_id", "inning", F.explode("groups").alias("g"))
     lines = groups.select(
         "game_id", "inning", F.col("g.no").alias("no"), F.col("g.homeOrAway").alias("half"),
@@ -241,9 +271,11 @@ def split_lines(groups: DataFrame) -> DataFrame:
 
 
 def read_relay_second(
-    spark: SparkSession, path: str, packed: bool = False, days: Sequence[str] | None = None
+    spark: SparkSession, path: str, packed: bool = False, days: Sequence[str] | None = None,
+    stop_at_gap: bool = False, most: int | None = None,
 ) -> DataFrame:
-    docs = _contiguous(_relay_documents(spark, path, packed, days), LEAGUE_RULES["mlb"]["max_innings"])
+    """Second league; innings as in :func:`read_relay`."""
+    docs = _kept_innings(_relay_documents(spark, path, packed, days), stop_at_gap, most)
     return split_lines(
         docs.select("game_id", F.explode("groups").alias("g")).select(
             "game_id", F.col("g.no").alias("no"), F.col("g.inn").alias("inn"),

@@ -82,7 +82,8 @@ def test_score_a_day(spark, landing, tmp_path):
     sums = {(r["name"], r.role): r.s for r in ledger.groupBy("name", "role").agg(F.sum("points").alias("s")).collect()}
     for rows, role in ((batters, "bat"), (pitchers, "pitch")):
         assert all(sums.get((n, role), 0) == r.lp for n, r in rows.items())
-    assert "볼넷" not in [r.text for r in ledger.collect()]  # inning 2 is missing, so inning 3 is not read
+    gaps = spark.read.parquet(f"{mart}/gaps").collect()
+    assert [(r.game_id, r.first_missing, r.last_missing, str(r.game_date)) for r in gaps] == [("G1", 2, 2, DAY)]
     slam = ledger.filter(F.col("tag") == "GRANDSLAM").first()
     assert slam.inn == 1
     assert [r.game_id for r in spark.read.parquet(f"{mart}/quarantine").collect()] == ["G2"]
@@ -96,6 +97,39 @@ def test_score_a_day(spark, landing, tmp_path):
     assert sinks.date_index(spark.read.parquet(f"{mart}/batters")).first().games == 1
 
 
+def test_landed_innings(spark, landing):
+    """Every landed inning is read, and those after a gap or a number are left out only if that is asked for."""
+    def innings(**rule):
+        return {r.inn for r in landed.read_relay(spark, f"{landing}/kbo/relay", **rule).collect()}
+
+    last = [{"no": 90, "homeOrAway": "0", "textOptions": [line("타자 : 볼넷")]}]
+    write(f"{landing}/kbo/relay/game_date={DAY}/G1_18.json", {"result": {"textRelayData": {"textRelays": last}}})
+    write(f"{landing}/kbo/relay/game_date={DAY}/G1_2.json", {"result": {"textRelayData": {"textRelays": []}}})
+    assert innings() == {1, 3, 18}
+    assert innings(stop_at_gap=True) == {1} and innings(most=15) == {1, 3} and innings(stop_at_gap=True, most=15) == {1}
+    gaps = landed.relay_gaps(spark, f"{landing}/kbo/relay").orderBy("first_missing").collect()
+    assert [tuple(r) for r in gaps] == [("G1", 2, 2), ("G1", 4, 17)]
+
+
+def test_box_slots_and_sides(spark, tmp_path):
+    """Slots go by number without a last one; a side that is missing takes nothing from the other."""
+    rows = [man("1", "김", "유", inn30="삼진", inn2="좌안", inn10="중비", innings="x", substituteIn=True)]
+    box = {"gameInfo": {"gdate": "20260505"}, "battersBoxscore": {"away": rows}}
+    write(str(tmp_path / "G1.json"), {"result": {"recordData": box}})
+    row = landed.batters(landed.read_records(spark, str(tmp_path))).collect()
+    assert [(r.side, r.pos_idx, r.pa_codes, r.ab, r.hit, r.substitute_in) for r in row] == [("away", 0, ["좌안", "중비", "삼진"], 4, 0, True)]
+
+
+def test_broken_games(spark):
+    """Junk innings text breaks a game of the second league only, junk hit-by-pitch likewise."""
+    bat = "game_id string, ab int, hit int, run int, rbi int, hr int, bb int, kk int, sb int, hbp int"
+    arm = "game_id string, inn string, hit int, r int, er int, hr int, bb int, bbhp int, kk int"
+    hitters = spark.createDataFrame([("H", *[0] * 8, None), ("A", *[0] * 9)], bat)
+    arms = spark.createDataFrame([("I", "five", *[0] * 7), ("A", "6.2", *[0] * 7), ("N", None, *[0] * 7)], arm)
+    found = {league: {r.game_id for r in landed.broken_games(hitters, arms, league).collect()} for league in ("kbo", "mlb")}
+    assert found == {"kbo": set(), "mlb": {"H", "I"}}
+
+
 def test_second_league(spark, tmp_path):
     root, mart = str(tmp_path / "landing"), str(tmp_path / "mart")
     game = {"gameId": "M1", "statusCode": "RESULT", "gameDate": DAY, "homeTeamName": "뉴욕", "awayTeamName": "보스턴"}
