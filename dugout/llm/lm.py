@@ -1,7 +1,9 @@
 """Language-model scoring: a gated recurrent network with a class-factored output, in numpy, beside a word-count base.
 
-*Counts* come from every training row. *Vocabulary*: the most frequent words, the end mark and one entry for all
-other words; a word outside is scored as that entry times its smoothed share of the words outside. *Network*:
+*Counts* come from every training row. *Vocabulary*: it grows with the counted words. A word seen ``OWN`` times has
+an entry of its own (``HEAD`` words at most); all others share entries by their hash, one for each ``SHARED`` tokens
+of theirs, and are scored as that entry times their smoothed share of its words. So every word is context for its
+neighbours and is scored in context. Classes and words per class are the square root of the entries. *Network*:
 gated recurrent units; the output is a softmax over classes times a softmax inside the class of the word. It
 starts from the counted word shares. *Training*: truncated backpropagation through windows of ``WINDOW`` tokens,
 in rounds; in each, every task of the scan trains a copy on its rows and the copies are averaged, weighted by
@@ -12,6 +14,7 @@ the state on, and it is cleared only where a text begins, so a whole text is sco
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections.abc import Iterator
 
@@ -23,19 +26,21 @@ from pyspark.sql import DataFrame, functions as F
 from dugout.llm.common import crc_rest, slices, stored, text_bytes
 from dugout.llm.words import word_hashes
 
+#: The least classes and words per class; more words have more of both.
 CLASSES, PER_CLASS, HIDDEN = 32, 32, 32
+#: Times a word is seen that has an entry of its own beyond the least ones; tokens for each entry of the other words.
+OWN, SHARED = 32, 128
 #: Words whose counts every task holds (16 bytes each); counts of the others are joined.
 HEAD = 1 << 18
 SMOOTH = 0.1
 WINDOW, LANES, SCORE_LANES = 24, 64, 128
 ROUNDS, SHARES, STEP = 4, 8, 8e-3
-#: The end mark and all words outside the vocabulary.
+#: The end mark, and the first of the entries that words without one of their own share.
 END, OTHER = 0, 1
 _MOST_COUNTS = 1 << 22
 _LANE_BYTES = 16 << 20
 #: Far above what the network gives; keeps exp() finite without a pass for the largest.
 _MOST_LOGIT = np.float32(40)
-_ONES = np.ones(32, np.float32)
 _SHARES_OF_MODEL = 16
 
 
@@ -68,26 +73,48 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
+def sizes(counts: np.ndarray, tokens: int) -> tuple[int, int]:
+    """(words with entries of their own, entries of all others) for the counts of the frequent words and all words' tokens."""
+    own = max(min(CLASSES * PER_CLASS - 2, len(counts)), int((counts >= OWN).sum()))
+    outside = tokens - int(np.sort(counts)[::-1][:own].sum())
+    return own, 1 << int(np.log2(min(max(outside / SHARED, 1), HEAD // 4)))
+
+
 class Vocabulary:
-    """Frequent words by their hashes (sorted), their counts, and their output entries."""
+    """Frequent words by their hashes (sorted), their counts, and their output entries.
+
+    ``own`` words have entries of their own. The others share the entries from ``OTHER`` on by the low bits of their
+    hashes; ``shared`` has (tokens, words) of *all* words by these bits, and its length is a power of two.
+    """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, ends: int, total: int, distinct: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, ends: int, total: int, distinct: int, own: int = CLASSES * PER_CLASS - 2, shared: np.ndarray | None = None):
+        if shared is None:
+            shared = np.array([[total - ends, max(distinct - 1, 0)]], np.int64)
         order = np.argsort(-counts, kind="stable")
-        entries = np.full(len(words), OTHER, np.int32)
-        inside = order[: CLASSES * PER_CLASS - 2]
-        entries[inside] = np.arange(2, 2 + len(inside))
+        self.mask = np.uint64(len(shared) - 1)
+        entries = self.bits(words) + OTHER
+        inside, first = order[:own], OTHER + len(shared)
+        tokens = shared[:, 0] - np.bincount(self.bits(words[inside]), counts[inside], len(shared))
+        kinds = shared[:, 1] - np.bincount(self.bits(words[inside]), minlength=len(shared))
+        entries[inside] = np.arange(first, first + len(inside))
         sort = np.argsort(words)
-        self.words, self.counts, self.entries = words[sort], counts[sort], entries[sort]
+        self.words, self.counts, self.entries, self.first = words[sort], counts[sort], entries[sort].astype(np.int32), first
         self.ends, self.total, self.distinct = ends, total, distinct
-        share = np.zeros(CLASSES * PER_CLASS)
+        side = int(np.ceil(np.sqrt(first + len(inside))))
+        self.shape = max(CLASSES, side), max(PER_CLASS, side)
+        share = np.zeros(self.shape[0] * self.shape[1])
         share[END] = ends
-        share[2 : 2 + len(inside)] = counts[inside]
-        share[OTHER] = total - share.sum()
-        self.outside = np.log10(max(share[OTHER], 0) + SMOOTH * max(distinct - 1 - len(inside), 0) + SMOOTH)
+        share[first : first + len(inside)] = counts[inside]
+        share[OTHER:first] = np.maximum(tokens, 0)
+        self.outside = np.log10(np.maximum(tokens, 0) + SMOOTH * np.maximum(kinds, 0) + SMOOTH)
         share += SMOOTH
         self.share = share / share.sum()
         self.whole = np.log10(total + SMOOTH * (distinct + 1))
 
+    def bits(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the shared entries a word has that has none of its own."""
+        return (hashes & self.mask).astype(np.int64)
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each word among the frequent ones, whether it is there)."""
         if not len(self.words):
@@ -99,12 +126,13 @@ class Vocabulary:
 def start(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     """A network that gives every word its counted share."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    share = vocabulary.share.reshape(CLASSES, PER_CLASS)
+    classes, per_class = vocabulary.shape
+    share = vocabulary.share.reshape(classes, per_class)
     f = np.float32
     return {
-        "E": rng.normal(0, 0.3, (CLASSES * PER_CLASS, 3 * HIDDEN)).astype(f), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(f),
-        "C": np.zeros((HIDDEN, CLASSES), f), "c": np.log(share.sum(axis=1)).astype(f),
-        "W": np.zeros((CLASSES, HIDDEN, PER_CLASS), f), "w": np.log(share / share.sum(axis=1, keepdims=True)).astype(f),
+        "E": rng.normal(0, 0.3, (classes * per_class, 3 * HIDDEN)).astype(f), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(f),
+        "C": np.zeros((HIDDEN, classes), f), "c": np.log(share.sum(axis=1)).astype(f),
+        "W": np.zeros((classes, HIDDEN, per_class), f), "w": np.log(share / share.sum(axis=1, keepdims=True)).astype(f),
     }
 
 
@@ -168,36 +196,44 @@ def _forward(m, x, fresh, h, keep: bool):
     return out, h, saved
 
 
-def _output(m, h, y, grad: bool):
-    """Natural log probability of each target given its state; with ``grad`` also the gradients of their negative sum."""
-    group, inner = y // PER_CLASS, y % PER_CLASS
+def _output(m, h, y, grad: bool, each=None):
+    """Natural log probability of each target given its state; with ``grad`` also the gradients of their negative sum.
+
+    ``each``, if given, gets (class, its W gradient, its w gradient) as they come, for the classes that have targets.
+    """
+    classes, _, per_class = m["W"].shape
+    group, inner = y // per_class, y % per_class
     logits = np.minimum(h @ m["C"] + m["c"], _MOST_LOGIT)
     p = np.exp(logits)
-    total = p @ _ONES
+    total = p @ np.ones(classes, np.float32)
     row = np.arange(len(y))
     found = logits[row, group] - np.log(total)
     order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    cuts = np.searchsorted(group[order], np.arange(classes + 1))
     if grad:
         p /= total[:, None]
         p[row, group] -= 1
         back = p @ m["C"].T
-        g = {"C": h.T @ p, "c": p.sum(axis=0), "W": np.zeros_like(m["W"]), "w": np.zeros_like(m["w"])}
-    for k in range(CLASSES):
+        g = {"C": h.T @ p, "c": p.sum(axis=0)}
+        if each is None:
+            g |= {"W": np.zeros_like(m["W"]), "w": np.zeros_like(m["w"])}
+    ones = np.ones(per_class, np.float32)
+    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         at = order[cuts[k] : cuts[k + 1]]
-        if not len(at):
-            continue
         hk, target = h[at], inner[at]
         logits = np.minimum(hk @ m["W"][k] + m["w"][k], _MOST_LOGIT)
         q = np.exp(logits)
-        total = q @ _ONES
+        total = q @ ones
         pick = np.arange(len(at))
         found[at] += logits[pick, target] - np.log(total)
         if grad:
             q /= total[:, None]
             q[pick, target] -= 1
             back[at] += q @ m["W"][k].T
-            g["W"][k], g["w"][k] = hk.T @ q, q.sum(axis=0)
+            if each is None:
+                g["W"][k], g["w"][k] = hk.T @ q, q.sum(axis=0)
+            else:
+                each(k, hk.T @ q, q.sum(axis=0))
     return (found, back, g) if grad else found
 
 
@@ -232,7 +268,8 @@ def _entries(vocabulary: Vocabulary, batch: pa.RecordBatch):
     """(entries with an END after each text, bounds, word hashes, their frequent places, whether frequent, words before each text)."""
     hashes, counts = word_hashes(*text_bytes(batch.column("text")))
     at, there = vocabulary.find(hashes)
-    inner = np.where(there, vocabulary.entries[at] if len(vocabulary.entries) else OTHER, OTHER).astype(np.int32)
+    inner = (vocabulary.bits(hashes) + OTHER).astype(np.int32)
+    inner[there] = vocabulary.entries[at[there]]
     bounds = counts + np.arange(len(counts))
     entries = np.full(bounds[-1], END, np.int32)
     entries[np.arange(len(hashes)) + np.repeat(np.arange(len(counts) - 1), np.diff(counts))] = inner
@@ -266,11 +303,16 @@ def train_on(m, vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch], rate:
             out, h, saved = _forward(m, xs, new, h[:wide], True)
             live = who >= 0
             n = int(live.sum())
-            _, back, grads = _output(m, out[live], ys[live], True)
+            scale = np.float32(8 / n)
+
+            def inside(k, dW, dw, scale=scale):
+                update("W", dW * scale, k)
+                update("w", dw * scale, k)
+
+            _, back, grads = _output(m, out[live], ys[live], True, inside)
             dout = np.zeros_like(out)
             dout[live] = back
             dU, rows, dE = _backward(m, xs, new, saved, dout)
-            scale = np.float32(8 / n)
             for name, grad in (*grads.items(), ("U", dU)):
                 update(name, grad * scale)
             update("E", dE * scale, rows)
@@ -311,19 +353,25 @@ def _shaped(flat: np.ndarray, like) -> dict[str, np.ndarray]:
 
 
 def _average(parts: pd.DataFrame) -> pd.DataFrame:
-    """The token-weighted mean of copies of one piece of the network."""
+    """The token-weighted mean of copies of one piece of what the network learned."""
     weight = parts["tokens"].to_numpy(np.float64)
-    total = np.zeros(len(parts["values"].iloc[0]) // 8)
-    for v, w in zip(parts["values"], weight, strict=True):
-        total += w * np.frombuffer(v)
-    return pd.DataFrame({"piece": parts["piece"].iloc[:1], "copy": parts["copy"].iloc[:1], "tokens": [int(weight.sum())], "values": [(total / max(weight.sum(), 1)).tobytes()]})
+    total = np.zeros(len(parts["values"].iloc[0]) // 4, np.float32)
+    for v, w in zip(parts["values"], weight / max(weight.sum(), 1), strict=True):
+        total += np.float32(w) * np.frombuffer(v, np.float32)
+    return pd.DataFrame({"piece": parts["piece"].iloc[:1], "copy": parts["copy"].iloc[:1], "tokens": [int(weight.sum())], "values": [total.tobytes()]})
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shares: int = SHARES) -> dict[str, np.ndarray]:
-    """A network taught by ``rows`` (key, text); each round's copies are averaged in a tree of at most 64 a task."""
+    """A network taught by ``rows`` (key, text); each round's copies are averaged in a tree of at most 64 a task.
+
+    There are as many copies as the cores work on in two turns, not one for each split: a copy is as large as the
+    vocabulary. A round's files can go when it is over.
+    """
     m = start(vocabulary)
     schema = "piece int, copy int, tokens bigint, values binary"
-    copies = rows.rdd.getNumPartitions()
+    context = rows.sparkSession.sparkContext
+    copies = max(1, min(rows.rdd.getNumPartitions(), 2 * context.defaultParallelism))
+    rows = rows.coalesce(copies)
     for r in range(rounds):
         rate = STEP * (0.5**r)
 
@@ -333,9 +381,11 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shares:
             own = {k: v.copy() for k, v in m.items()}
             tokens = train_on(own, vocabulary, batches, rate)
             if tokens:
-                pieces = [p.astype(np.float64).tobytes() for p in np.array_split(_flat(own), _SHARES_OF_MODEL)]
-                n, task = len(pieces), TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([tokens] * n), pa.array(pieces, pa.binary())], ["piece", "copy", "tokens", "values"])
+                for k in own:
+                    own[k] -= m[k]
+                task = TaskContext.get().partitionId()
+                for n, piece in enumerate(np.array_split(_flat(own), _SHARES_OF_MODEL)):
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([task], pa.int32()), pa.array([tokens]), pa.array([piece.tobytes()], pa.binary())], ["piece", "copy", "tokens", "values"])
 
         taught = rows.where(F.pmod(F.xxhash64("key"), F.lit(shares)) == r).select("text").mapInArrow(teach, schema)
         left = copies
@@ -343,8 +393,12 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shares:
             left = (left + 63) // 64
             taught = taught.withColumn("copy", F.col("copy") % left).groupBy("piece", "copy").applyInPandas(_average, schema)
         found = {x["piece"]: x["values"] for x in taught.collect()}
+        del taught
+        gc.collect()
+        context._jvm.System.gc()
         if found:
-            m = _shaped(np.concatenate([np.frombuffer(found[i]) for i in range(_SHARES_OF_MODEL)]), m)
+            learned = _shaped(np.concatenate([np.frombuffer(found.pop(i), np.float32) for i in range(_SHARES_OF_MODEL)]), m)
+            m = {k: v + learned[k] for k, v in m.items()}
     return m
 
 
@@ -370,7 +424,13 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     total, distinct = (facts[0] or 0) + ends, facts[1] + (1 if ends else 0)
     # At most HEAD words.
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    vocabulary = Vocabulary(head["word"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), ends, total, distinct)
+    words, seen = head["word"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    own, shares = sizes(seen, total - ends)
+    # A row for each shared entry, HEAD / 4 at most.
+    bits = counts.groupBy(F.col("word").bitwiseAND(F.lit(shares - 1)).alias("bits")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toPandas()
+    shared = np.zeros((shares, 2), np.int64)
+    shared[bits["bits"].to_numpy(np.int64)] = bits[["c", "n"]].to_numpy(np.int64)
+    vocabulary = Vocabulary(words, seen, ends, total, distinct, own, shared)
     m = train(taught.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "text"), vocabulary)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,15 +440,16 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
             owner = np.repeat(np.arange(batch.num_rows), np.diff(counts))
             n = batch.num_rows
             head_log = np.bincount(owner[there], smooth[at[there]], n) if there.any() else np.zeros(n)
-            outer = there & (vocabulary.entries[at] == OTHER) if len(vocabulary.entries) else there
+            outer = there & (vocabulary.entries[at] < vocabulary.first) if len(vocabulary.entries) else there
             outer_log = np.bincount(owner[outer], smooth[at[outer]], n) if outer.any() else np.zeros(n)
-            outside = np.bincount(owner[~there], minlength=n) + np.bincount(owner[outer], minlength=n)
+            sharing = ~there | outer
+            outside = np.bincount(owner[sharing], vocabulary.outside[vocabulary.bits(hashes[sharing])], n)
             rest = np.flatnonzero(~there)
             offsets = np.searchsorted(rest, counts).astype(np.int32)
             tail = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[rest].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(counts) + 1), pa.array(np.bincount(owner[there], minlength=n)),
-                 pa.array(head_log), pa.array(log10_of(m, entries, bounds) + outer_log - outside * vocabulary.outside), tail],
+                 pa.array(head_log), pa.array(log10_of(m, entries, bounds) + outer_log - outside), tail],
                 ["doc_id", "held_out", "n_tokens", "head", "head_log", "inner", "tail"])
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, head bigint, head_log double, inner double, tail array<bigint>"

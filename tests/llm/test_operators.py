@@ -254,6 +254,29 @@ def test_language_model_counts(spark, edge, none):
     assert lm.lm_scores(none).count() == 0
 
 
+def test_language_model_knows_every_word(spark, monkeypatch):
+    # 3,000 words seen 40 times, 9,000 seen twice: all of the first have entries of their own, the others share many.
+    texts = [" ".join(f"often{i}" for i in range(a, 3000, 40)) for a in range(40)] * 40 + [" ".join(f"rare{i}" for i in range(a, 9000, 40)) for a in range(40)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "held_out", lambda _: F.lit(False))
+    seen = []
+    monkeypatch.setattr(lm, "train", lambda rows, v: seen.append(v) or lm.start(v))
+    rows = lm.lm_scores(docs).collect()
+    v = seen[0]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"often{i}" for i in range(3000)), " ".join(f"rare{i}" for i in range(9000))])], ["text"])
+    entries, bounds, *_ = lm._entries(v, batch)
+    assert len(set(entries[:3000].tolist())) == 3000
+    rare = entries[bounds[1] : bounds[2] - 1]
+    assert len(set(rare.tolist())) > 100 and not set(rare.tolist()) & set(entries[:3000].tolist())
+    # The words of a shared entry, and one unseen, share it whole.
+    for entry in set(rare.tolist()):
+        assert (rare == entry).sum() * (2 + lm.SMOOTH) + lm.SMOOTH == pytest.approx(10 ** v.outside[entry - lm.OTHER])
+    m = lm.start(v)
+    assert np.exp(lm._output(m, np.zeros((v.shape[0] * v.shape[1], lm.HIDDEN), np.float32), np.arange(v.shape[0] * v.shape[1]), False).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    # The untaught network gives every word its counted share, so its score is the counts' own.
+    assert all(r.score == pytest.approx(r.base_score, rel=0.01) for r in rows)
+
+
 def test_language_id(spark, edge, none):
     en, de = "the cat sat on the mat and then went home ", "der hund lief durch den wald und dann nach haus "
     docs = spark.createDataFrame([(i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(40)] + [(98, "x", None), (99, None, "en")], "doc_id long, text string, lang string")
