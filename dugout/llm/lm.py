@@ -7,14 +7,13 @@ neighbours and is scored in context. Classes and words per class are the square
 gated recurrent units; the output is a softmax over classes times a softmax inside the class of the word. It
 starts from the counted word shares. *Training*: truncated backpropagation through windows of ``WINDOW`` tokens,
 in rounds; in each, every task of the scan trains a copy on its rows and the copies are averaged, weighted by
-tokens. Rounds take ``ROUNDS`` of ``SHARES`` equal shares of the training rows by a hash of the id, so the gradient
-sees half of the training text at every size. *Scoring*: texts lie end to end in lanes; windows of a lane hand
+tokens. Each round takes one of ``SHARES`` = ``ROUNDS`` equal shares of the training rows by a hash of the id, so
+the gradient sees every training row once. *Scoring*: texts lie end to end in lanes; windows of a lane hand
 the state on, and it is cleared only where a text begins, so a whole text is scored however long it is.
 """
 
 from __future__ import annotations
 
-import gc
 import heapq
 from collections.abc import Iterator
 
@@ -34,7 +33,9 @@ OWN, SHARED = 32, 128
 HEAD = 1 << 18
 SMOOTH = 0.1
 WINDOW, LANES, SCORE_LANES = 24, 64, 128
-ROUNDS, SHARES, STEP = 4, 8, 8e-3
+#: As many shares as rounds: together they take every training row.
+ROUNDS, STEP = 4, 8e-3
+SHARES = ROUNDS
 #: The end mark, and the first of the entries that words without one of their own share.
 END, OTHER = 0, 1
 _MOST_COUNTS = 1 << 22
@@ -42,6 +43,8 @@ _LANE_BYTES = 16 << 20
 #: Far above what the network gives; keeps exp() finite without a pass for the largest.
 _MOST_LOGIT = np.float32(40)
 _SHARES_OF_MODEL = 16
+#: Shuffle files go when their query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -355,23 +358,32 @@ def _shaped(flat: np.ndarray, like) -> dict[str, np.ndarray]:
 def _average(parts: pd.DataFrame) -> pd.DataFrame:
     """The token-weighted mean of copies of one piece of what the network learned."""
     weight = parts["tokens"].to_numpy(np.float64)
-    total = np.zeros(len(parts["values"].iloc[0]) // 4, np.float32)
+    total = np.zeros(len(parts["values"].iloc[0]) // 2, np.float32)
     for v, w in zip(parts["values"], weight / max(weight.sum(), 1), strict=True):
-        total += np.float32(w) * np.frombuffer(v, np.float32)
-    return pd.DataFrame({"piece": parts["piece"].iloc[:1], "copy": parts["copy"].iloc[:1], "tokens": [int(weight.sum())], "values": [total.tobytes()]})
+        total += np.float32(w) * np.frombuffer(v, np.float16)
+    return pd.DataFrame({"piece": parts["piece"].iloc[:1], "copy": parts["copy"].iloc[:1], "tokens": [int(weight.sum())], "values": [total.astype(np.float16).tobytes()]})
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shares: int = SHARES) -> dict[str, np.ndarray]:
     """A network taught by ``rows`` (key, text); each round's copies are averaged in a tree of at most 64 a task.
 
     There are as many copies as the cores work on in two turns, not one for each split: a copy is as large as the
-    vocabulary. A round's files can go when it is over.
+    vocabulary. A copy sends what it learned, in half precision. A round's files go when it is over.
     """
     m = start(vocabulary)
-    schema = "piece int, copy int, tokens bigint, values binary"
     context = rows.sparkSession.sparkContext
     copies = max(1, min(rows.rdd.getNumPartitions(), 2 * context.defaultParallelism))
     rows = rows.coalesce(copies)
+    before = rows.sparkSession.conf.get(_CLEANUP, "false")
+    rows.sparkSession.conf.set(_CLEANUP, "true")
+    try:
+        return _taught(rows, vocabulary, m, copies, rounds, shares)
+    finally:
+        rows.sparkSession.conf.set(_CLEANUP, before)
+
+
+def _taught(rows: DataFrame, vocabulary: Vocabulary, m: dict, copies: int, rounds: int, shares: int) -> dict[str, np.ndarray]:
+    schema = "piece int, copy int, tokens bigint, values binary"
     for r in range(rounds):
         rate = STEP * (0.5**r)
 
@@ -385,20 +397,17 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shares:
                     own[k] -= m[k]
                 task = TaskContext.get().partitionId()
                 for n, piece in enumerate(np.array_split(_flat(own), _SHARES_OF_MODEL)):
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([task], pa.int32()), pa.array([tokens]), pa.array([piece.tobytes()], pa.binary())], ["piece", "copy", "tokens", "values"])
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([task], pa.int32()), pa.array([tokens]), pa.array([piece.astype(np.float16).tobytes()], pa.binary())], ["piece", "copy", "tokens", "values"])
 
         taught = rows.where(F.pmod(F.xxhash64("key"), F.lit(shares)) == r).select("text").mapInArrow(teach, schema)
         left = copies
         while left > 1:
             left = (left + 63) // 64
             taught = taught.withColumn("copy", F.col("copy") % left).groupBy("piece", "copy").applyInPandas(_average, schema)
-        found = {x["piece"]: x["values"] for x in taught.collect()}
-        del taught
-        gc.collect()
-        context._jvm.System.gc()
-        if found:
-            learned = _shaped(np.concatenate([np.frombuffer(found.pop(i), np.float32) for i in range(_SHARES_OF_MODEL)]), m)
-            m = {k: v + learned[k] for k, v in m.items()}
+        flat = _flat(m)
+        for x, part in zip(sorted(taught.collect()), np.array_split(flat, _SHARES_OF_MODEL), strict=False):
+            part += np.frombuffer(x["values"], np.float16)
+        m = _shaped(flat, m)
     return m
 
 

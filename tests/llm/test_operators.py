@@ -277,6 +277,16 @@ def test_language_model_knows_every_word(spark, monkeypatch):
     assert all(r.score == pytest.approx(r.base_score, rel=0.01) for r in rows)
 
 
+def test_language_model_learns_from_every_row(spark):
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1, 1)
+    rows = spark.createDataFrame([(str(i), "") for i in range(300)], "key string, text string").repartition(2)
+    m = lm.start(v)
+    for part in range(8):
+        # Rows of each eighth alone change the network.
+        found = lm.train(rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == part), v)
+        assert not np.array_equal(found["c"], m["c"]), part
+
+
 def test_language_id(spark, edge, none):
     en, de = "the cat sat on the mat and then went home ", "der hund lief durch den wald und dann nach haus "
     docs = spark.createDataFrame([(i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(40)] + [(98, "x", None), (99, None, "en")], "doc_id long, text string, lang string")
