@@ -9,11 +9,16 @@ from dugout.llm.common import stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in one of the declared languages; those that no known language explains go."""
+    """Documents that are in one of the declared languages; those that no known language explains go.
+
+    A decision is one of id, text, declared language and source: rows that share only an id are decided each alone.
+    """
     model = langid.train(docs)
-    found = langid.identify(docs, model, "doc_id", "text", F.lower(F.trim("lang")), F.lower(F.trim("source")))
-    gone = stored(found.where(F.col("lang") == langid.UNKNOWN).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    digest, declared, source = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), F.lower(F.trim("lang")), F.lower(F.trim("source"))
+    rows = docs.withColumn("_key", F.struct(F.col("doc_id"), digest.alias("digest"), declared.alias("declared"), source.alias("source")))
+    found = langid.identify(rows, model, "_key", "text", declared, source)
+    gone = stored(found.where(F.col("lang") == langid.UNKNOWN).select(F.col("_key").alias("_gone")).distinct(), "gone")
+    return rows.join(gone, rows["_key"].eqNullSafe(gone["_gone"]), "left_anti").drop("_key")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

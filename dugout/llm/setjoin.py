@@ -324,7 +324,15 @@ def _cross_links(known: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; rows that repeat an id are one document."""
-    found = similar_sets(docs, text, doc_id)
-    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` with one document of each component, all columns kept: that of the smallest id (nulls last), then digest.
+
+    A document is an id with a text; rows that repeat both are one document and stay or go together. Rows that
+    share only an id are documents of their own. A text without words is similar to nothing and stays.
+    """
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), sha.alias("sha"))
+    found = similar_sets(docs.select(key.alias("doc_id"), F.col(text).alias("text")))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.id").alias("_gone"), F.col("doc_id.sha").alias("_gone_sha"))
+    gone = stored(gone.distinct(), "gone")
+    rows = docs.withColumn("_sha", sha)
+    return rows.join(gone, rows[doc_id].eqNullSafe(gone["_gone"]) & (rows["_sha"] == gone["_gone_sha"]), "left_anti").drop("_sha")

@@ -117,6 +117,31 @@ def test_set_join(spark, none, monkeypatch):
     assert setjoin.drop_similar(none).columns == none.columns
 
 
+def test_stages_decide_by_id_and_text(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    some = lambda n: " ".join(f"w{r.randrange(4000)}" for _ in range(n))
+    base, other = some(80), some(80)
+    # Near copies of one base: without an id, under one id, and under the smallest of their ids.
+    rows = [(None, base + " x"), (None, base + " y"), (5, base + " z"), (5, base + " q"), (4, base)]
+    rows += [(None, some(60)), (5, some(60)), (None, other + " x"), (None, other + " y"), (7, ""), (7, None), (None, None)]
+    kept = setjoin.drop_similar(documents(spark, [(*x, "en", None) for x in rows])).collect()
+    assert sum((x.text or "").startswith(other) for x in kept) == 1
+    want = [x for x in rows if not (x[1] or "").startswith((base, other))] + [(4, base)]
+    assert sorted(((x.doc_id, x.text) for x in kept if not (x.text or "").startswith(other)), key=str) == sorted(want, key=str)
+    same = setjoin.drop_similar(documents(spark, [(6, base + " x", None, None), (6, base + " y", None, None)])).collect()
+    assert len(same) == 1
+
+    en, de, junk = "the cat sat on the mat and then went home ", "der hund lief durch den wald und dann nach haus ", "qzx wvk jjq zzx qwv xkq vvz kqj xzw"
+    rows = [(i if i > 9 else None if i > 4 else 3, (en if i % 2 else de) + str(i), "en" if i % 2 else "de", None) for i in range(40)]
+    rows += [(None, junk, None, None), (3, junk, None, None)]
+    docs = documents(spark, rows)
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(((x[0], x[1]) for x in rows if x[1] != junk), key=str)
+
+
 def test_shingles_of_chunks():
     texts = [LONG, "a b c", "", "A  B\tc d\x0be", "x" * 3_000_000 + " y z u v w"]
     got = shingle_sets(*text_bytes(pa.array(texts)))
