@@ -18,6 +18,9 @@ from dugout.llm.common import slices
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']*)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+#: A slash that ends an unquoted value is part of it.
+_VALUE_SLASH = re.compile(r"=\s*[^\s\"'>=][^\s>]*/>\Z")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -28,9 +31,9 @@ BLOCK = SPACED | frozenset("html body div section article main aside header foot
 _IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}), "body": ({"head"}, {"html"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th", "colgroup"}, {"tr", "table"}), "th": ({"td", "th", "colgroup"}, {"tr", "table"}),
+    "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
+    "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "colgroup": ({"colgroup"}, {"table"}), "caption": ({"colgroup"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 _CLOSES_P = SPACED | frozenset("address article aside center details dialog div figcaption footer form header hr main nav section li dt dd".split())
 _IN_HEAD = frozenset("base link meta script style template title noscript head".split())
@@ -112,7 +115,12 @@ def tree(page: str) -> Node:
             root.attributes = root.attributes or mark[3]
             continue
         imply(tag)
+        parent = stack[-1]
         add(tag, mark[3])
+        if tag in ("svg", "math") and mark[3].endswith("/>") and not _VALUE_SLASH.search(_QUOTED.sub('""', mark[3])):
+            if stack[-1] is not parent:
+                close(len(stack) - 1)
+            continue
         if tag in RAW:
             low = low or page.lower()
             end = low.find("</" + tag, at)
@@ -205,13 +213,22 @@ def _rows(table: Node) -> list[list[Node]]:
     return out
 
 
-def _table(page: _Page, node: Node) -> None:
+def _strays(page: _Page, node: Node) -> None:
+    """What stands in a table, its groups and rows outside cells; it shows before the rows."""
     for child in node.children:
         if isinstance(child, str):
             page.text(child)
-        elif child.tag not in ("thead", "tbody", "tfoot", "tr", "col", "colgroup") and seen(child):
+        elif not seen(child) or child.tag == "col" or (node.tag == "tr" and child.tag in ("td", "th")):
+            continue
+        elif child.tag == "colgroup" or (node.tag in ("table", "thead", "tbody", "tfoot") and child.tag in ("thead", "tbody", "tfoot", "tr")):
+            _strays(page, child)
+        else:
             _walk(page, child, "")
             page.block(1)
+
+
+def _table(page: _Page, node: Node) -> None:
+    _strays(page, node)
     cells = [[render_node(cell).split("\n") for cell in row] for row in _rows(node)]
     widths: list[int] = []
     for row in cells:

@@ -338,6 +338,19 @@ def test_layout(spark):
     assert [(r.page_id, r.text) for r in layout.extract(rows).orderBy("page_id").collect()] == [(1, None), (2, ""), (3, "x")]
 
 
+def test_layout_keeps_text_outside_cells():
+    assert layout.render("<table><tr>note<td>x</table>") == "note\nx"
+    assert layout.render("<table><tbody><div>above</div><tr><td>x<td>y</table>z") == "above\nx  y\n\nz"
+    assert layout.render("<table><thead>h<tr><th>a</thead><tfoot><p>foot</p><tr hidden>no<td>no</table>") == "h\n\nfoot\n\na"
+    assert layout.render("<table><colgroup><col><tr><td>x</table>") == "x"
+    assert layout.render("<table><colgroup><col><td>x<td>y</table>") == "x  y"
+    assert layout.render("<table><colgroup><col><tbody><tr><td>x</table>") == "x"
+    assert layout.render("<table><colgroup><b>text</b><col></colgroup><tr><td>x</table>") == "text\nx"
+    assert layout.render("<div><svg/>shown</div>") == layout.render("<div><math a='b=c'/>shown</div>") == "shown"
+    assert layout.render("<svg width=10/>not shown</svg>shown") == layout.render("<svg>no<svg/>no</svg>shown") == "shown"
+    assert layout.render("<div>" * 300 + "<svg/>deep<table><tr><td>cell") == "deep\n\ncell"
+
+
 def test_chat_trees(spark):
     rows = [("t", 1, None, 0.0, "user", "hi"), ("t", 2, 1, 1.0, "assistant", "a<b\\l"), ("t", 3, 1, 5.0, "assistant", "best"), ("t", 4, 3, 0.0, "user", None),
             ("t", 5, 2, 0.5, "user", "x"), ("t", 9, 77, None, None, "orphan"), ("c", 1, 2, 0.0, "user", "cycle"), ("c", 2, 1, 0.0, "user", "cycle"), ("t", None, 1, 0.0, "user", "no id")]
