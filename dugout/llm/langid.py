@@ -23,8 +23,10 @@ CELLS, EVIDENCE, SMOOTH = 1 << 14, 60, 0.5
 #: Weight of the wider level in the prior of a narrower one, in rows.
 PULL = 5.0
 UNKNOWN = "und"
-#: Most languages a model has; of more labels the most frequent ones.
-MOST_LANGUAGES = 64
+#: Labels that a driver's table can hold (64 KB each); more are an error, none is left out.
+MOST_LANGUAGES = 1024
+#: Languages whose counts a task holds at once.
+_HELD = 64
 _FOLD = np.full(256, 32, np.uint64)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -48,30 +50,43 @@ def trigrams(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cell counts by language of a task, as one row for each language."""
     total: dict[str, np.ndarray] = {}
+
+    def out():
+        cells = np.arange(CELLS)
+        for name, counts in total.items():
+            some = counts > 0
+            yield pa.RecordBatch.from_arrays([pa.array([name] * int(some.sum()), pa.string()), pa.array(cells[some], pa.int32()), pa.array(counts[some])], ["lang", "cell", "n"])
+        total.clear()
+
     for batch in slices(batches, "text"):
         names, index = np.unique(np.array([x or "" for x in batch.column("lang").to_pylist()], object), return_inverse=True)
         cell, owner = trigrams(*text_bytes(batch.column("text")))
-        counts = np.bincount(index[owner] * CELLS + cell, minlength=len(names) * CELLS).reshape(-1, CELLS)
-        for name, row in zip(names, counts, strict=True):
-            total[name] = total.get(name, 0) + row
-    if total:
-        rows = np.arange(CELLS)
-        for name, counts in total.items():
-            some = counts > 0
-            yield pa.RecordBatch.from_arrays([pa.array([name] * int(some.sum()), pa.string()), pa.array(rows[some], pa.int32()), pa.array(counts[some])], ["lang", "cell", "n"])
+        key, counts = np.unique(index[owner] * CELLS + cell, return_counts=True)
+        cuts = np.searchsorted(key, np.arange(len(names) + 1) * CELLS)
+        for i, name in enumerate(names):
+            if name not in total:
+                if len(total) >= _HELD:
+                    yield from out()
+                total[name] = np.zeros(CELLS, np.int64)
+            part = slice(cuts[i], cuts[i + 1])
+            total[name][key[part] - i * CELLS] += counts[part]
+    yield from out()
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
-    """Trigram log likelihoods by language, from every labelled row; a null or blank label teaches nothing."""
+    """Trigram log likelihoods by language, from every labelled row; a null or blank label teaches nothing.
+
+    Every label is learned. More than ``MOST_LANGUAGES`` labels raise a ``ValueError``.
+    """
     rows = docs.select(F.col(text).alias("text"), F.lower(F.trim(F.col(lang))).alias("lang")).where("lang <> ''")
-    wanted = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    counts = rows.where(F.col("lang").isin(wanted)).mapInArrow(_counted, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # MOST_LANGUAGES * CELLS rows at most
-    languages = sorted(set(wanted) - {UNKNOWN})
+    languages = sorted(r["lang"] for r in rows.where(F.col("lang") != UNKNOWN).select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} language labels; clean the labels first, none is left out here")
+    counts = rows.where(F.col("lang") != UNKNOWN).mapInArrow(_counted, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    places = docs.sparkSession.createDataFrame(list(enumerate(languages)), "at int, lang string")
+    known = counts.join(F.broadcast(places), "lang").select("at", "cell", "n").toPandas()  # MOST_LANGUAGES * CELLS rows at most
     table = np.zeros((len(languages) + 1, CELLS))
-    at = {name: i for i, name in enumerate(languages)}
-    known = found[found["lang"].isin(at)]
-    table[known["lang"].map(at).to_numpy(int), known["cell"].to_numpy(int)] = known["n"]
+    table[known["at"].to_numpy(int), known["cell"].to_numpy(int)] = known["n"]
     table += SMOOTH
     table[-1] = 1
     return {"languages": [*languages, UNKNOWN], "log": np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)}

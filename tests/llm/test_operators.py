@@ -327,6 +327,22 @@ def test_language_id(spark, edge, none):
     assert langid.identify(edge, model, "doc_id", "text", F.col("lang"), F.col("source")).count() == len(EDGE)
 
 
+def test_language_id_learns_every_label(spark, monkeypatch):
+    r = random.Random(7)
+    letters = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(80)}
+    # The last label is the rarest; all others have two rows.
+    rows = [(i, " ".join(r.sample(words, 12)), name) for i in range(2) for name, words in letters.items() if i == 0 or name != "l79"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model["languages"] == [*letters, "und"]
+    some = spark.createDataFrame([(1, " ".join(letters["l79"])), (2, " ".join(letters["l03"]))], "doc_id long, text string")
+    found = langid.identify(some, model, "doc_id", "text", F.lit(None).cast("string"), F.lit(None).cast("string")).collect()
+    assert {x.doc_id: x.lang for x in found} == {1: "l79", 2: "l03"}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 79)
+    with pytest.raises(ValueError, match="more than 79"):
+        langid.train(docs)
+
+
 def test_layout(spark):
     assert layout.render("<p>a<p>b <b>c</b>d<ul><li>x<li>y<ol start=3><li>p<li>q</ol><li>z</ul>") == "a\n\nb cd\n\n- x\n- y\n  3. p\n  4. q\n- z"
     assert layout.render("<table><tr><td>1<td>long cell<tr><td>twenty<td>3</table>") == "1       long cell\ntwenty  3"
