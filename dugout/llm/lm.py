@@ -2,7 +2,7 @@
 
 *Counts* come from every training row. *Vocabulary*: it grows with the counted words. A word seen ``OWN`` times has
 an entry of its own (``HEAD`` words at most); all others share entries by their hash, one for each ``SHARED`` tokens
-of theirs, and are scored as that entry times their smoothed share of its words. So every word is context for its
+of theirs or up to twice as many, and are scored as that entry times their smoothed share of its words. So every word is context for its
 neighbours and is scored in context. Classes and words per class are the square root of the entries. *Network*:
 gated recurrent units; the output is a softmax over classes times a softmax inside the class of the word. It
 starts from the counted word shares. *Training*: truncated backpropagation through windows of ``WINDOW`` tokens,
