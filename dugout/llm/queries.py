@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dugout.llm import ann, bpe, chat, exact, langid, layout, lm, packing, quality, setjoin
+from dugout.llm import ann, bpe, chat, exact, hardneg, importance, langid, layout, lm, outliers, packing, quality, setjoin
 from dugout.llm.common import table
 
 NEAREST, QUERY_EVERY = 20, 20
@@ -75,7 +75,24 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"), keep="largest")
 
 
-ALL = {f.__name__: f for f in (op1_quality, op2_bpe, op3_lm, op4_chat, op5_html, op6_packing, op7_language, op8_neighbours, op9_set_join, op10_exact)}
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = outliers.quality_rules(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved))
+
+
+ALL = {f.__name__: f for f in (
+    op1_quality, op2_bpe, op3_lm, op4_chat, op5_html, op6_packing, op7_language, op8_neighbours, op9_set_join, op10_exact, op11_importance,
+    op12_quality_rules, op13_hard_negatives)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -116,4 +133,40 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM d JOIN g USING (norm)
 """
 
-SQL = {"op4_chat": OP4_SQL, "op9_set_join": OP9_SQL, "op10_exact": OP10_SQL}
+# The CRC register takes one byte of a word after the other; each distinct word is hashed once.
+OP11_SQL = rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+u AS (SELECT r, unnest(w) AS w FROM d),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM u UNION SELECT w FROM b)),
+k AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2),
+    lambda i: CAST((instr('0123456789ABCDEF', substr(x, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, i + 1, 1)) - 1 AS BIGINT))),
+    lambda c, y: xor(t[xor(c % 256, y) + 1], c // 256))) % 10000 AS k FROM h, tab),
+s AS (SELECT k, count(*) AS s FROM u JOIN k USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM b JOIN k USING (w) GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1.0)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS g FROM s LEFT JOIN t USING (k)),
+v AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS weight FROM u JOIN k USING (w) JOIN g USING (k) GROUP BY r),
+x AS (SELECT d.r, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN v USING (r)),
+y AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM y) // 100 THEN rank END AS rank FROM x LEFT JOIN y USING (r)
+"""
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+SQL = {"op4_chat": OP4_SQL, "op9_set_join": OP9_SQL, "op10_exact": OP10_SQL, "op11_importance": OP11_SQL, "op13_hard_negatives": OP13_SQL}
