@@ -62,9 +62,6 @@ def products(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def best(score: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, column) of the ``k`` largest allowed scores of each line, ties to the smaller column."""
-    if score.dtype == object:
-        picked = [(q, v) for q in range(len(score)) for v in sorted(np.flatnonzero(allowed[q]), key=lambda v, q=q: (-score[q, v], v))[:k]]
-        return tuple(np.array(x, np.int64) for x in (zip(*picked, strict=True) if picked else ([], [])))
     score = np.where(allowed, score, NEVER)
     few = min(k, score.shape[1])
     last = np.partition(score, score.shape[1] - few, axis=1)[:, score.shape[1] - few, None]
@@ -73,9 +70,9 @@ def best(score: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.nonzero((above | equal) & (score > NEVER))
 
 
-def _whole(score) -> np.ndarray:
-    """As 64-bit numbers; what is beyond them is the last one."""
-    return np.array([max(NEVER + 1, min(-NEVER - 1, int(x))) for x in score], np.int64) if score.dtype == object else score
+def _held(numbers) -> np.ndarray:
+    """As 64-bit numbers; one beyond them is the last of them."""
+    return np.clip(numbers, NEVER + 1, -NEVER - 1).astype(np.int64)
 
 
 def _matrix(frame: pd.DataFrame) -> np.ndarray:
@@ -124,7 +121,7 @@ def hard_negatives(rows: DataFrame, every: int = 100, vec_id: str = "vec_id", ve
     between ``least`` and ``most`` hundredths of the positive's, both included. A positive without such a row, and an
     anchor without a positive, give no row. No part is taken by a null id, label or vector, by a vector that is
     empty, of another length than most, or holding a null or non-finite component. Rows that repeat an id are one row,
-    with the smallest (label, components). A component or a score beyond 64 bits is held at the last number of them. An
+    with the smallest (label, components). A component or a score beyond 64 bits counts as the last number of them. An
     empty table gives an empty result; other columns are not looked at.
     """
     kept = whole_vectors(rows, vec_id, vector, label, scale)
@@ -139,9 +136,9 @@ def hard_negatives(rows: DataFrame, every: int = 100, vec_id: str = "vec_id", ve
         if not len(held) or not len(seen):
             return pd.DataFrame({"anchor": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
         seen = seen.sort_values("vec_id")
-        score = products(_matrix(held), _matrix(seen))
+        score = _held(products(_matrix(held), _matrix(seen)))
         q, v = best(score, np.ones(score.shape, bool), positives + 1)
-        return pd.DataFrame({"anchor": held["anchor"].to_numpy()[q], "vec_id": seen["vec_id"].to_numpy()[v], "score": _whole(score[q, v])})
+        return pd.DataFrame({"anchor": held["anchor"].to_numpy()[q], "vec_id": seen["vec_id"].to_numpy()[v], "score": score[q, v]})
 
     near = _meetings(first.select("anchor", "label", "q"), shown.select("vec_id", "label", "q"), "label", like, "anchor bigint, vec_id bigint, score bigint")
     order = [F.desc("score"), F.asc("vec_id")]
@@ -158,18 +155,18 @@ def hard_negatives(rows: DataFrame, every: int = 100, vec_id: str = "vec_id", ve
         if not len(held) or not len(seen):
             return found[0]
         seen = seen.sort_values("vec_id")
-        score = products(_matrix(held), _matrix(seen))
+        score = _held(products(_matrix(held), _matrix(seen)))
         other = held["label"].to_numpy()[:, None] != seen["label"].to_numpy()[None, :]
         sets = held["levels"].to_numpy()
         for turn in range(max(map(len, sets))):
             lines = np.array([i for i, x in enumerate(sets) if len(x) > turn])
-            level = np.array([int(sets[i][turn]) for i in lines], object if score.dtype == object else np.int64)
+            level = [int(sets[i][turn]) for i in lines]
             # The smallest whole number no less than the lower end, and the largest no more than the upper one.
-            low, high = -(-least * level // 100), most * level // 100
+            low, high = (_held(np.array(end, object)) for end in ([-(-least * x // 100) for x in level], [most * x // 100 for x in level]))
             here = score[lines]
             q, v = best(here, other[lines] & (here >= low[:, None]) & (here <= high[:, None]), negatives)
             found.append(pd.DataFrame({
-                "anchor": held["anchor"].to_numpy()[lines][q], "level": _whole(level[q]), "vec_id": seen["vec_id"].to_numpy()[v], "score": _whole(here[q, v])}))
+                "anchor": held["anchor"].to_numpy()[lines][q], "level": np.array(level, np.int64)[q], "vec_id": seen["vec_id"].to_numpy()[v], "score": here[q, v]}))
         return pd.concat(found)
 
     far = _meetings(first.join(levels, "anchor"), shown, "all", unlike, "anchor bigint, level bigint, vec_id bigint, score bigint")
