@@ -1,9 +1,9 @@
 """Batch jobs: score days, backfill, reprocess, refresh positions, build the calendar.
 
 A landing folder holds ``schedule``, ``record``, ``relay`` and ``preview``, each with
-``game_date=YYYY-MM-DD`` folders, so a job reads only the days it works on. The mart folder holds
-``batters``, ``pitchers``, ``ledger``, ``position_events`` (all by league and day) and the control
-tables ``done``, ``quarantine`` and ``position_refresh``.
+``game_date=YYYY-MM-DD`` folders, so a job reads only the days it works on. Documents are parsed once, into the
+``staged`` folder of the mart (``sources/staging.py``). The tables of ``MARTS`` are written in versions by league and day and
+published together (``sources/published.py``); ``position_refresh`` marks when positions were made.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
 from dugout.model import POSITIONS
 from dugout.operators import box, cost, merge, positions as pos, pregame, relay, schedule, second_league as sl
 from dugout.session import cut
-from dugout.sources import landed, sinks
+from dugout.sources import landed, published, sinks, staging
 
 
 #: Tables of a mart folder that hold the rows of a day.
@@ -36,6 +36,9 @@ class Landing:
     pitchers: DataFrame
     relay: DataFrame
     gaps: DataFrame
+    lineups: DataFrame
+    stadiums: DataFrame
+    folder_days: DataFrame | None = None
     team_pitching: DataFrame | None = None
     etc_records: DataFrame | None = None
     info: DataFrame | None = None
@@ -50,22 +53,41 @@ class ScoredDays:
     quarantine: DataFrame
 
 
+def _landing(docs: Callable[[str], DataFrame], league: str) -> Landing:
+    """``docs``: the documents of a kind."""
+    kept = docs("record")
+    records, lines = landed.records_of(kept), docs("relay")
+    days = kept.select(F.col("key").alias("game_id"), "game_date") if "game_date" in kept.columns else None
+    rows = (landed.batters(records, league), landed.pitchers(records, league))
+    events = landed.second_lines_of(lines) if league == "mlb" else landed.lines_of(lines)
+    preview = docs("preview")
+    announced = (landed.lineups_of(preview), landed.preview_stadiums(preview))
+    common = (landed.games_of(docs("schedule"), league), *rows, events, landed.gaps_of(lines), *announced, days)
+    if league == "mlb":
+        return Landing(*common)
+    return Landing(*common, landed.team_pitching(records), landed.etc_records(records), landed.game_info(records))
+
+
 def read_landing(
     spark: SparkSession, root: str, league: str, days: Sequence[str] | None = None, packed: bool = False
 ) -> Landing:
-    base = f"{root}/{league}"
-    games = landed.read_schedule(spark, f"{base}/schedule", league, packed, days)
-    records = landed.read_records(spark, f"{base}/record", packed, days)
-    reader = landed.read_relay_second if league == "mlb" else landed.read_relay
-    events = reader(spark, f"{base}/relay", packed, days)
-    gaps = landed.relay_gaps(spark, f"{base}/relay", packed, days)
-    rows = (landed.batters(records, league), landed.pitchers(records, league))
-    if league == "mlb":
-        return Landing(games, *rows, events, gaps)
-    return Landing(
-        games, *rows, events, gaps, landed.team_pitching(records), landed.etc_records(records),
-        landed.game_info(records),
-    )
+    """Straight from the landed JSON, which is parsed at each use; a kind that has no folder is empty."""
+    def docs(kind: str) -> DataFrame:
+        try:
+            return landed.read_documents(spark, f"{root}/{league}/{kind}", staging.KINDS[kind], packed, days)
+        except AnalysisException:
+            return spark.createDataFrame([], f"key STRING, {staging.KINDS[kind]}")
+
+    return _landing(docs, league)
+
+
+def read_staged(
+    spark: SparkSession, root: str, mart: str, league: str, days: Sequence[str] | None = None, packed: bool = False
+) -> Landing:
+    """From the staged documents, after those that are new or changed were parsed."""
+    stage = f"{mart}/staged"
+    staging.refresh(spark, root, stage, league, days, packed)
+    return _landing(lambda kind: staging.documents(spark, stage, league, kind, days), league)
 
 
 def _named_games(source: Landing) -> DataFrame:
@@ -160,38 +182,47 @@ def score_second_league(
     )
 
 
-def write_scored(days: ScoredDays, mart: str) -> None:
-    sinks.write_days(days.batters, f"{mart}/batters")
-    sinks.write_days(days.pitchers, f"{mart}/pitchers")
+def write_scored(days: ScoredDays, gaps: DataFrame, mart: str, version: str) -> None:
+    best = ("-lp", "game_id", "name")
+    published.write(days.batters, mart, "batters", version, best)
+    published.write(days.pitchers, mart, "pitchers", version, best)
     if days.ledger is not None:
-        sinks.write_lines(days.ledger, f"{mart}/ledger")
-        sinks.write_lines(
-            days.position_events.withColumnRenamed("tag", "type"), f"{mart}/position_events"
-        )
-    sinks.write_control(days.quarantine, f"{mart}/quarantine")
+        line = ("game_id", "name", "no", "sub")
+        published.write(days.ledger, mart, "ledger", version, (*line, "ord"))
+        published.write(days.position_events.withColumnRenamed("tag", "type"), mart, "position_events", version, line)
+    published.write(days.quarantine, mart, "quarantine", version)
+    published.write(gaps, mart, "gaps", version)
+
+
+def finished(games: DataFrame, league: str, days: DataFrame) -> DataFrame:
+    """(league, game_date, final) of ``days``: final when the day has games and each one is over or called off."""
+    over = F.coalesce("cancel", F.lit(False)) | (F.col("status_code") == "RESULT")
+    ends = games.groupBy("game_date").agg(F.bool_and(F.coalesce(over, F.lit(False))).alias("final"))
+    return days.join(ends, "game_date", "left").select(F.lit(league).alias("league"), "game_date", F.coalesce("final", F.lit(False)).alias("final"))
 
 
 def score_days(
     spark: SparkSession, root: str, mart: str, league: str, days: Sequence[str],
     positions: DataFrame | None = None, costs: DataFrame | None = None, packed: bool = False,
+    roster: DataFrame | None = None, now: str | None = None,
 ) -> None:
-    """Recompute whole days and replace their partitions; a day left without rows keeps none.
+    """Recompute whole days, write them as a version and publish it; a day left without rows is empty then.
 
-    Files that a listed day had before and that the write did not replace belong to a day without rows now.
+    With ``roster`` and ``now``, games that soon begin have rows of their active rosters beside the scored ones.
     """
-    source = read_landing(spark, root, league, days, packed)
-    if league == "mlb":
-        scored = score_second_league(source)
-    else:
-        scored = score_first_league(source, positions, costs)
-    day = source.games.select("game_id", F.lit(league).alias("league"), "game_date")
-    scored.quarantine = scored.quarantine.join(day, "game_id", "left").withColumn("league", F.lit(league))
-    before = [f for name in MARTS for f in sinks.day_files(spark, f"{mart}/{name}", league, days)]
-    write_scored(scored, mart)
-    sinks.write_control(source.gaps.join(day, "game_id"), f"{mart}/gaps")
-    sinks.remove_files(before)
-    done = source.games.select("league", "game_date").distinct()
-    sinks.mark_done(done, f"{mart}/done")
+    source = read_staged(spark, root, mart, league, days, packed)
+    scored = score_second_league(source) if league == "mlb" else score_first_league(source, positions, costs)
+    if roster is not None:
+        at = F.to_timestamp(F.lit(now))
+        batters, pitchers = pregame_day(source, league, roster, positions, at)
+        scored.batters, scored.pitchers = with_pregame(scored.batters, batters), with_pregame(scored.pitchers, pitchers)
+    # A game that the schedule does not list belongs to the day of the folder it landed in.
+    scored.quarantine = scored.quarantine.join(source.folder_days, "game_id").select("game_id", F.lit(league).alias("league"), "game_date")
+    day = source.games.select("game_id", "league", "game_date")
+    version = published.new_version()
+    write_scored(scored, source.gaps.join(day, "game_id"), mart, version)
+    listed = spark.createDataFrame([(d,) for d in days], "d STRING").select(F.to_date("d").alias("game_date"))
+    published.publish(finished(source.games, league, listed), mart, version)
 
 
 def _batches(days: Sequence[str]) -> list[Sequence[str]]:
@@ -199,45 +230,46 @@ def _batches(days: Sequence[str]) -> list[Sequence[str]]:
     return [days[at : at + BATCH] for at in range(0, len(days), BATCH)]
 
 
-def backfill(
-    spark: SparkSession, root: str, mart: str, calendar: DataFrame, positions: DataFrame,
-    costs: DataFrame, packed: bool = False,
+def _fill(
+    spark: SparkSession, root: str, mart: str, league: str, wanted: DataFrame, positions: DataFrame | None, costs: DataFrame | None, packed: bool
 ) -> list[str]:
-    """Score every season day that is not done yet. One row per day reaches the driver."""
-    done = sinks.read_done(spark, f"{mart}/done").filter(F.col("league") == "kbo")
-    missing = schedule.todo(schedule.season_days(calendar), done).select("game_date").collect()
+    """Score the wanted days that are not published as final. One row per day reaches the driver."""
+    missing = schedule.todo(wanted, published.done(spark, mart, league)).select("game_date").collect()
     days = sorted(str(r["game_date"]) for r in missing)
     for batch in _batches(days):
-        score_days(spark, root, mart, "kbo", batch, positions, costs, packed)
+        score_days(spark, root, mart, league, batch, positions, costs, packed)
     return days
 
 
+def backfill(
+    spark: SparkSession, root: str, mart: str, calendar: DataFrame, positions: DataFrame | None = None,
+    costs: DataFrame | None = None, packed: bool = False, league: str = "kbo",
+) -> list[str]:
+    """Score every season day whose games were not all over when it was scored last, or that never was."""
+    return _fill(spark, root, mart, league, schedule.season_days(calendar), positions, costs, packed)
+
+
 def backfill_range(
-    spark: SparkSession, root: str, mart: str, first: str, last: str, positions: DataFrame,
-    costs: DataFrame, packed: bool = False,
+    spark: SparkSession, root: str, mart: str, first: str, last: str, positions: DataFrame | None = None,
+    costs: DataFrame | None = None, packed: bool = False, league: str = "kbo",
 ) -> list[str]:
-    """Score the days of a range that are not done yet."""
-    done = sinks.read_done(spark, f"{mart}/done").filter(F.col("league") == "kbo")
-    missing = schedule.todo(schedule.date_range(spark, first, last), done).collect()
-    days = sorted(str(r["game_date"]) for r in missing)
-    for batch in _batches(days):
-        score_days(spark, root, mart, "kbo", batch, positions, costs, packed)
-    return days
+    """The same for the days of a range."""
+    return _fill(spark, root, mart, league, schedule.date_range(spark, first, last), positions, costs, packed)
 
 
 def reprocess(
-    spark: SparkSession, root: str, mart: str, days: Sequence[str], positions: DataFrame,
-    costs: DataFrame, run_done: str | None = None, packed: bool = False,
+    spark: SparkSession, root: str, mart: str, days: Sequence[str], positions: DataFrame | None = None,
+    costs: DataFrame | None = None, run_done: str | None = None, packed: bool = False, league: str = "kbo",
 ) -> list[str]:
     """Score listed days again; with ``run_done`` a second call goes on where the first stopped."""
     left = set(days)
     if run_done:
-        left -= {str(r["game_date"]) for r in sinks.read_done(spark, run_done).collect()}
+        left -= {str(r["game_date"]) for r in sinks.read_done(spark, run_done).where(F.col("league") == league).collect()}
     todo = sorted(left)
     for batch in _batches(todo):
-        score_days(spark, root, mart, "kbo", batch, positions, costs, packed)
+        score_days(spark, root, mart, league, batch, positions, costs, packed)
         if run_done:
-            marks = spark.createDataFrame([("kbo", d) for d in batch], "league STRING, d STRING")
+            marks = spark.createDataFrame([(league, d) for d in batch], "league STRING, d STRING")
             sinks.mark_done(marks.select("league", F.to_date("d").alias("game_date")), run_done)
     return todo
 
@@ -274,23 +306,24 @@ def refresh_if_due(
 
 
 def run_day(
-    spark: SparkSession, root: str, mart: str, day: str, now: str, costs: DataFrame, packed: bool = False
+    spark: SparkSession, root: str, mart: str, day: str, now: str, costs: DataFrame, packed: bool = False, roster: DataFrame | None = None
 ) -> bool:
     """One tick of a live day: nothing outside the active window, else positions and a full rescore."""
-    today = landed.read_schedule(spark, f"{root}/kbo/schedule", "kbo", packed, [day])
+    recent = [str(date.fromisoformat(day) - timedelta(days=i)) for i in range(pos.WINDOW_DAYS)]
+    source = read_staged(spark, root, mart, "kbo", recent, packed)
+    today = source.games.where(F.col("game_date") == F.to_date(F.lit(day)))
     window = schedule.active_window(today, F.to_timestamp(F.lit(now))).first()
     if window is None or not window["active"]:
         return False
-    recent = [str(date.fromisoformat(day) - timedelta(days=i)) for i in range(pos.WINDOW_DAYS)]
-    positions = refresh_if_due(spark, read_landing(spark, root, "kbo", recent, packed), mart, day, now)
-    score_days(spark, root, mart, "kbo", [day], positions, costs, packed)
+    positions = refresh_if_due(spark, source, mart, day, now)
+    score_days(spark, root, mart, "kbo", [day], positions, costs, packed, roster, now)
     return True
 
 
 def backfill_costs(spark: SparkSession, mart: str, costs: DataFrame, out: str) -> DataFrame:
     """Add the roster cost to stored days. Scores are left alone. Returns the match rate."""
-    batters = cost.attach_batter_cost(spark.read.parquet(f"{mart}/batters"), costs)
-    pitchers = cost.attach_pitcher_cost(spark.read.parquet(f"{mart}/pitchers"), costs)
+    batters = cost.attach_batter_cost(published.read(spark, mart, "batters"), costs)
+    pitchers = cost.attach_pitcher_cost(published.read(spark, mart, "pitchers"), costs)
     sinks.write_days(batters, f"{out}/batters")
     sinks.write_days(pitchers, f"{out}/pitchers")
     both = spark.read.parquet(f"{out}/batters").select("league", "roster_cost").unionByName(
@@ -299,10 +332,14 @@ def backfill_costs(spark: SparkSession, mart: str, costs: DataFrame, out: str) -
     return cost.match_rate(both, ["league"])
 
 
-def pregame_day(
-    source: Landing, roster: DataFrame, lineups: DataFrame, positions: DataFrame, now: Column
-) -> tuple[DataFrame, DataFrame]:
-    return pregame.pregame_rows(source.games, roster, lineups, positions, now)
+def pregame_day(source: Landing, league: str, roster: DataFrame, positions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Batter and pitcher rows of the games that soon begin, with the stadium that was announced."""
+    def placed(rows: DataFrame) -> DataFrame:
+        named = rows.join(source.stadiums, "game_id", "left").withColumn("stadium", F.coalesce("stadium", F.lit("")))
+        return named.withColumn("league", F.lit(league))
+
+    batters, pitchers = pregame.pregame_rows(source.games, roster, source.lineups, positions, now)
+    return placed(batters), placed(pitchers)
 
 
 def with_pregame(scored: DataFrame, upcoming: DataFrame) -> DataFrame:

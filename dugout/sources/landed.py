@@ -56,25 +56,33 @@ DAY_FILE = f"date STRING, league STRING, batters ARRAY<STRUCT<{_ROW}>>, pitchers
 
 
 def read_documents(
-    spark: SparkSession, path: str, schema: str, packed: bool = False, days: Sequence[str] | None = None
+    spark: SparkSession, path: str | Sequence[str], schema: str, packed: bool = False, days: Sequence[str] | None = None,
+    base: str | None = None,
 ) -> DataFrame:
-    """(key, result). With ``days``, only those ``game_date=`` folders under ``path`` are read."""
+    """(key, result). With ``days``, only those ``game_date=`` folders under ``path`` are read.
+
+    With ``base``, the folder above the ``game_date=`` folders of the files in ``path``, also doc (the file) and game_date.
+    """
+    reader = spark.read if base is None else spark.read.option("basePath", base)
     if packed:
-        whole = f"key STRING, doc STRUCT<{schema.replace(' ', ': ', 1)}>"
-        docs = spark.read.schema(whole).json(path)
+        docs = reader.schema(f"key STRING, doc STRUCT<{schema.replace(' ', ': ', 1)}>").json(path)
     else:
-        docs = spark.read.schema(schema).option("multiLine", True).json(path)
+        docs = reader.schema(schema).option("multiLine", True).json(path)
     if days is not None:
         docs = docs.filter(F.col("game_date").isin(*[date.fromisoformat(d) for d in days]))
-    if packed:
-        return docs.select("key", "doc.result")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)\.json$", 1)
-    return docs.select(name.alias("key"), "result")
+    parts = [F.col("key"), F.col("doc.result").alias("result")] if packed else [name.alias("key"), F.col("result")]
+    if base is not None:
+        parts = [F.col("_metadata.file_path").alias("doc"), *parts, F.col("game_date").cast("date").alias("game_date")]
+    return docs.select(*parts)
 
 
 def read_schedule(spark: SparkSession, path: str, league: str, packed: bool = False, days: Sequence[str] | None = None) -> DataFrame:
     """Games in schedule order."""
-    docs = read_documents(spark, path, SCHEDULE, packed, days)
+    return games_of(read_documents(spark, path, SCHEDULE, packed, days), league)
+
+
+def games_of(docs: DataFrame, league: str) -> DataFrame:
     return docs.select(F.posexplode("result.games").alias("game_seq", "g")).select(
         F.col("g.gameId").alias("game_id"), F.lit(league).alias("league"),
         F.to_date("g.gameDate").alias("game_date"), F.col("g.gameDateTime").alias("game_datetime"),
@@ -87,7 +95,10 @@ def read_schedule(spark: SparkSession, path: str, league: str, packed: bool = Fa
 
 def read_records(spark: SparkSession, path: str, packed: bool = False, days: Sequence[str] | None = None) -> DataFrame:
     """(game_id, record); a game without a box score has no row."""
-    docs = read_documents(spark, path, RECORD, packed, days)
+    return records_of(read_documents(spark, path, RECORD, packed, days))
+
+
+def records_of(docs: DataFrame) -> DataFrame:
     record = F.col("result.recordData")
     started = (
         record["gameInfo"].isNotNull()
@@ -213,14 +224,15 @@ def _gaps(filled: DataFrame) -> DataFrame:
 
 def relay_gaps(spark: SparkSession, path: str, packed: bool = False, days: Sequence[str] | None = None) -> DataFrame:
     """(game_id, first_missing, last_missing): innings without lines before one that has some."""
-    return _gaps(_kept_innings(_relay_documents(spark, path, packed, days), False, None))
+    return gaps_of(read_documents(spark, path, RELAY, packed, days))
 
 
-def _relay_documents(
-    spark: SparkSession, path: str, packed: bool, days: Sequence[str] | None = None
-) -> DataFrame:
+def gaps_of(docs: DataFrame) -> DataFrame:
+    return _gaps(_kept_innings(_innings(docs), False, None))
+
+
+def _innings(docs: DataFrame) -> DataFrame:
     """Keys are ``<game id>_<inning>``."""
-    docs = read_documents(spark, path, RELAY, packed, days)
     return docs.select(
         F.regexp_extract("key", r"^(.*)_(\d+)$", 1).alias("game_id"),
         F.regexp_extract("key", r"^(.*)_(\d+)$", 2).try_cast("int").alias("inning"),
@@ -236,7 +248,11 @@ def read_relay(
 
     Every landed inning is read; ``stop_at_gap`` and ``most`` leave out those after a missing one or a number.
     """
-    docs = _kept_innings(_relay_documents(spark, path, packed, days), stop_at_gap, most)
+    return lines_of(read_documents(spark, path, RELAY, packed, days), stop_at_gap, most)
+
+
+def lines_of(docs: DataFrame, stop_at_gap: bool = False, most: int | None = None) -> DataFrame:
+    docs = _kept_innings(_innings(docs), stop_at_gap, most)
     groups = docs.select("game_id", "inning", F.explode("groups").alias("g"))
     lines = groups.select(
         "game_id", "inning", F.col("g.no").alias("no"), F.col("g.homeOrAway").alias("half"),
@@ -275,7 +291,11 @@ def read_relay_second(
     stop_at_gap: bool = False, most: int | None = None,
 ) -> DataFrame:
     """Second league; innings as in :func:`read_relay`."""
-    docs = _kept_innings(_relay_documents(spark, path, packed, days), stop_at_gap, most)
+    return second_lines_of(read_documents(spark, path, RELAY, packed, days), stop_at_gap, most)
+
+
+def second_lines_of(docs: DataFrame, stop_at_gap: bool = False, most: int | None = None) -> DataFrame:
+    docs = _kept_innings(_innings(docs), stop_at_gap, most)
     return split_lines(
         docs.select("game_id", F.explode("groups").alias("g")).select(
             "game_id", F.col("g.no").alias("no"), F.col("g.inn").alias("inn"),
@@ -286,8 +306,10 @@ def read_relay_second(
 
 def read_lineups(spark: SparkSession, path: str, packed: bool = False, days: Sequence[str] | None = None) -> DataFrame:
     """Announced starters: the pitcher, and batters with their order."""
-    docs = read_documents(spark, path, PREVIEW, packed, days)
+    return lineups_of(read_documents(spark, path, PREVIEW, packed, days))
+
 
+def lineups_of(docs: DataFrame) -> DataFrame:
     def side(name: str) -> DataFrame:
         return docs.select(
             F.col("key").alias("game_id"), F.lit(name).alias("side"),
@@ -311,6 +333,10 @@ def read_lineups(spark: SparkSession, path: str, packed: bool = False, days: Seq
     return both.withColumn("is_starting_pitcher", F.coalesce("is_starting_pitcher", F.lit(False)))
 
 
+def preview_stadiums(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("key").alias("game_id"), F.col("result.previewData.gameInfo.stadium").alias("stadium"))
+
+
 def read_day_files(spark: SparkSession, path: str, cost_field: str | None = None) -> DataFrame:
     """Stored day files to rows: kind, date from the file's content or else its name.
 

@@ -26,16 +26,6 @@ def write_days(rows: DataFrame, path: str, rows_per_file: int = 2_000_000) -> No
     )
 
 
-def write_lines(ledger: DataFrame, path: str) -> None:
-    """The ledger by day, clustered by game."""
-    (
-        ledger.repartitionByRange(*PARTITIONS, "game_id", "name", "no", "sub", "ord")
-        .sortWithinPartitions(*PARTITIONS, "game_id", "name", "no", "sub", "ord")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS).parquet(path)
-    )
-
-
 def date_index(batters: DataFrame) -> DataFrame:
     """Games per day, the light index of a calendar."""
     pairs = batters.groupBy("league", "game_date", "team", "opponent").agg(F.lit(1).alias("x"))
@@ -44,24 +34,6 @@ def date_index(batters: DataFrame) -> DataFrame:
     )
 
 
-def day_files(spark: SparkSession, path: str, league: str, days: Sequence[str]) -> list:
-    """(file system, file) for the data files of the listed days, on whatever store ``path`` is."""
-    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
-    found = []
-    for day in days:
-        folder = fs.Path(f"{path}/league={league}/game_date={day}")
-        store = folder.getFileSystem(conf)
-        if store.exists(folder):
-            found += [(store, status.getPath()) for status in store.listStatus(folder)]
-    return found
-
-
-def remove_files(files: list) -> None:
-    """Delete files that a write has left: those of a day that has no row any more."""
-    for store, file in files:
-        store.delete(file, False)
-
-
 def write_control(rows: DataFrame, path: str) -> None:
     """Replace the (league, day) partitions present in ``rows``; a few rows a day, so one file each."""
     (

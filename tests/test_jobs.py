@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dugout.model import POSITIONS
 from dugout.operators import cost, merge
 from dugout.plans import jobs
-from dugout.sources import landed, sinks, tables
+from dugout.sources import landed, published, sinks, staging, tables
 
 DAY = "2026-05-05"
 
@@ -68,33 +68,134 @@ def test_score_a_day(spark, landing, tmp_path):
     positions = spark.createDataFrame([("1", "유격", "LG", {}, 3, "유격수", None, "유격수")], POSITIONS)
     costs = cost.read_costs(spark.createDataFrame([("", "SS", "유격", "5")], "hint STRING, position STRING, name STRING, cost STRING"))
     jobs.score_days(spark, landing, mart, "kbo", [DAY], positions, costs)
-    batters = {r["name"]: r for r in spark.read.parquet(f"{mart}/batters").collect()}
+    batters = {r["name"]: r for r in published.read(spark, mart, "batters").collect()}
     assert set(batters) == {"유격", "일루", "타자"}  # nobody without an appearance, no broken game
     star = batters["유격"]
     # R15 + H20 + HR80 + RBI50 + grand slam 10 + assist 1
     assert (star.lp, star.roster_cost, star.position, star.team, star.stadium) == (176, 5, "유격수", "LG", "잠실")
     assert batters["일루"].lp == -25 and batters["타자"].lp == -10
-    pitchers = {r["name"]: r for r in spark.read.parquet(f"{mart}/pitchers").collect()}
+    pitchers = {r["name"]: r for r in published.read(spark, mart, "pitchers").collect()}
     ace = pitchers["선발"]
     assert ace.PERFECT and ace.SHO and ace.QSPLUS and ace.lp == 270 + 150 + 30 + 100 + 30
     assert pitchers["원정"].HBP == 1 and not pitchers["원정"].QS  # 24 outs, one earned run: QS+
-    ledger = spark.read.parquet(f"{mart}/ledger")
+    ledger = published.read(spark, mart, "ledger")
     sums = {(r["name"], r.role): r.s for r in ledger.groupBy("name", "role").agg(F.sum("points").alias("s")).collect()}
     for rows, role in ((batters, "bat"), (pitchers, "pitch")):
         assert all(sums.get((n, role), 0) == r.lp for n, r in rows.items())
-    gaps = spark.read.parquet(f"{mart}/gaps").collect()
+    gaps = published.read(spark, mart, "gaps").collect()
     assert [(r.game_id, r.first_missing, r.last_missing, str(r.game_date)) for r in gaps] == [("G1", 2, 2, DAY)]
     slam = ledger.filter(F.col("tag") == "GRANDSLAM").first()
     assert slam.inn == 1
-    assert [r.game_id for r in spark.read.parquet(f"{mart}/quarantine").collect()] == ["G2"]
-    assert jobs.backfill_range(spark, landing, mart, DAY, DAY, positions, costs) == []
+    assert [r.game_id for r in published.read(spark, mart, "quarantine").collect()] == ["G2"]
+    # One game is on and one has not begun: the day is scored again, until all are over.
+    assert [r.final for r in published.pointers(spark, mart).collect()] == [False]
     tagged = merge.ledger_tags(ledger).filter(F.col("tag") == "PLAY:HR").first()
     assert tagged.tags == {"H": 1, "HR": 1}
     quality = {r.role: r.players for r in jobs.ledger_quality(ledger).collect()}
     assert quality["bat"] == 3
     rate = jobs.backfill_costs(spark, mart, costs, str(tmp_path / "costed")).first()
     assert (rate.matched, rate.total) == (1, 5)
-    assert sinks.date_index(spark.read.parquet(f"{mart}/batters")).first().games == 1
+    assert sinks.date_index(published.read(spark, mart, "batters")).first().games == 1
+
+
+def shown(df):
+    return sorted(map(str, (tuple(r) for r in df.collect())))
+
+
+def test_documents_are_parsed_once(spark, landing, tmp_path, monkeypatch):
+    """Only new and changed files are read as JSON, one relation a kind; what is gone or was never finished is not seen."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    stage, reads, real = str(tmp_path / "stage"), [], DataFrameReader.json
+
+    def json_(self, path, *rest, **more):
+        reads.append(path)
+        return real(self, path, *rest, **more)
+
+    monkeypatch.setattr(DataFrameReader, "json", json_)
+
+    def source():
+        return jobs._landing(lambda kind: staging.documents(spark, stage, "kbo", kind, [DAY]), "kbo")
+
+    assert staging.refresh(spark, landing, stage, "kbo", [DAY]) == {"schedule": [DAY], "record": [DAY], "relay": [DAY]}
+    assert [len(x) for x in reads] == [1, 2, 2]  # one relation a kind, of its files
+    staged, direct = source(), jobs.read_landing(spark, landing, "kbo", [DAY])
+    reads.clear()
+    for table in ("games", "batters", "pitchers", "relay", "gaps", "team_pitching", "etc_records", "info"):
+        assert shown(getattr(staged, table)) == shown(getattr(direct, table)), table
+    assert "json" not in staged.relay._jdf.queryExecution().toString().lower().replace("jsonto", "")
+    assert staging.refresh(spark, landing, stage, "kbo", [DAY]) == {} and reads == []
+    # Another day, a corrected inning, one that is gone.
+    game = {"result": {"games": [{"gameId": "G7", "statusCode": "RESULT", "gameDate": "2026-05-06"}]}}
+    write(f"{landing}/kbo/schedule/game_date=2026-05-06/d.json", game)
+    groups = [{"no": 1, "homeOrAway": "0", "textOptions": [line("타자 : 볼넷"), line("1구 볼")]}]
+    write(f"{landing}/kbo/relay/game_date={DAY}/G1_1.json", {"result": {"textRelayData": {"textRelays": groups}}})
+    os.remove(f"{landing}/kbo/relay/game_date={DAY}/G1_3.json")
+    assert staging.refresh(spark, landing, stage, "kbo", [DAY]) == {"relay": [DAY]}
+    assert [[os.path.basename(x) for x in files] for files in reads] == [["G1_1.json"]]
+    assert [(r.inn, r.text) for r in source().relay.orderBy("no", "sub").collect()] == [(1, "타자 : 볼넷"), (1, "1구 볼")]
+    # A run that is lost before its manifest leaves what was there.
+    write(f"{landing}/kbo/record/game_date={DAY}/G2.json", {"result": {}})
+    before = shown(source().batters)
+    create = spark.createDataFrame
+    monkeypatch.setattr(spark, "createDataFrame", lambda rows, *more: 1 / 0 if rows else create(rows, *more))
+    with pytest.raises(ZeroDivisionError):
+        staging.refresh(spark, landing, stage, "kbo", [DAY])
+    monkeypatch.setattr(spark, "createDataFrame", create)
+    assert shown(source().batters) == before
+    assert staging.refresh(spark, landing, stage, "kbo", [DAY]) == {"record": [DAY]}
+    assert {r.game_id for r in source().batters.collect()} == {"G1"}
+
+
+def test_days_are_published_whole(spark, landing, tmp_path, monkeypatch):
+    """A job that is lost between writing and publishing leaves the day as it was; the next one moves all tables at once."""
+    mart = str(tmp_path / "mart")
+    positions = spark.createDataFrame([], POSITIONS)
+    costs = cost.read_costs(spark.createDataFrame([], "hint STRING, position STRING, name STRING, cost STRING"))
+    tables_ = ("batters", "pitchers", "ledger", "position_events", "quarantine", "gaps")
+    jobs.score_days(spark, landing, mart, "kbo", [DAY], positions, costs)
+    before = {t: shown(published.read(spark, mart, t)) for t in tables_}
+    assert all(before.values())
+    path = f"{landing}/kbo/record/game_date={DAY}/G1.json"
+    with open(path, encoding="utf-8") as f:
+        record = json.load(f)
+    record["result"]["recordData"]["battersBoxscore"]["home"][0]["hit"] = 3
+    write(path, record)
+    real = published.publish
+    monkeypatch.setattr(published, "publish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        jobs.score_days(spark, landing, mart, "kbo", [DAY], positions, costs)
+    assert {t: shown(published.read(spark, mart, t)) for t in tables_} == before
+    monkeypatch.setattr(published, "publish", real)
+    os.remove(f"{landing}/kbo/record/game_date={DAY}/G2.json")
+    schedule = f"{landing}/kbo/schedule/game_date={DAY}/{DAY}.json"
+    with open(schedule, encoding="utf-8") as f:
+        games = json.load(f)
+    games["result"]["games"][1]["statusCode"], games["result"]["games"][2]["cancel"] = "RESULT", True
+    write(schedule, games)
+    # The day was published with unfinished games, so a backfill takes it again, and once it is final no more.
+    assert jobs.backfill_range(spark, landing, mart, DAY, DAY, positions, costs) == [DAY]
+    assert {r["name"]: r.H for r in published.read(spark, mart, "batters").collect()}["유격"] == 3
+    assert published.read(spark, mart, "quarantine").count() == 0
+    assert jobs.backfill_range(spark, landing, mart, DAY, DAY, positions, costs) == []
+    assert published.superseded(spark, mart).count() == 1
+
+
+def test_pregame_rows_in_the_day(spark, landing, tmp_path):
+    mart = str(tmp_path / "mart")
+    positions = spark.createDataFrame([("1", "내", "LG", {}, 3, "2루수", None, "2루수")], POSITIONS)
+    costs = cost.read_costs(spark.createDataFrame([], "hint STRING, position STRING, name STRING, cost STRING"))
+    roster = spark.createDataFrame([("LG", "내", "내야수"), ("LG", "투", "투수"), ("KT", "외", "외야수")], "team_code STRING, name STRING, category STRING")
+    roster = roster.withColumn("game_date", F.to_date(F.lit(DAY)))
+    lineup = {"fullLineUp": [{"playerName": "투", "positionName": "선발투수"}, {"playerName": "내", "positionName": "2루수", "batorder": 3}]}
+    write(f"{landing}/kbo/preview/game_date={DAY}/G3.json", {"result": {"previewData": {"gameInfo": {"stadium": "수원"}, "homeTeamLineUp": lineup}}})
+    jobs.score_days(spark, landing, mart, "kbo", [DAY], positions, costs, roster=roster, now=f"{DAY} 08:00:00")
+    rows = {r["name"]: r for r in published.read(spark, mart, "batters").where("game_id = 'G3'").collect()}
+    assert {n: (r.position, r.bat_order, r.status, r.stadium, r.lp, r.roster_cost) for n, r in rows.items()} == {
+        "내": ("2루수", 3, "pregame", "수원", 0, None), "외": ("외야수", None, "pregame", "수원", 0, None)}
+    arms = published.read(spark, mart, "pitchers").where("game_id = 'G3'").collect()
+    assert [(r["name"], r.role, r.stadium) for r in arms] == [("투", "선발", "수원")]
+    assert published.read(spark, mart, "batters").where("game_id = 'G1'").count() == 3
 
 
 def test_landed_innings(spark, landing):
@@ -149,28 +250,27 @@ def test_second_league(spark, tmp_path):
     ]
     write(f"{root}/mlb/relay/game_date={DAY}/M1_1.json", {"result": {"textRelayData": {"textRelays": groups}}})
     jobs.score_days(spark, root, mart, "mlb", [DAY])
-    rows = {r["name"]: r for r in spark.read.parquet(f"{mart}/batters").collect()}
+    rows = {r["name"]: r for r in published.read(spark, mart, "batters").collect()}
     # singles: 3 hits - double - triple - homer = 0, so no cycle
     assert (rows["가"]["2B"], rows["가"]["3B"], rows["가"].CYCLE) == (1, 1, False)
     assert rows["나"].SACBUNT == 1 and rows["나"].E == 1 and rows["나"].lp == 10 + 5 - 10
-    arms = {r["name"]: r for r in spark.read.parquet(f"{mart}/pitchers").collect()}
+    arms = {r["name"]: r for r in published.read(spark, mart, "pitchers").collect()}
     assert arms["투수1"].QSPLUS and arms["투수2"].SB_ALLOWED == 1 and arms["투수3"].CG
     subs = [r.sub for r in landed.read_relay_second(spark, f"{root}/mlb/relay").filter("no = 1").orderBy("sub").collect()]
     assert subs == [1, 3, 4]
-    schema = spark.read.parquet(f"{mart}/batters").schema
     record["homeBatter"][0]["hit"] = "two"
     write(f"{root}/mlb/record/game_date={DAY}/M1.json", {"result": {"recordData": record}})
     for _ in range(2):
         jobs.score_days(spark, root, mart, "mlb", [DAY])
     for table in ("batters", "pitchers"):  # the day has no row left, so none stays
-        assert spark.read.schema(schema).parquet(f"{mart}/{table}").count() == 0
-    assert [(r.game_id, r.league, str(r.game_date)) for r in spark.read.parquet(f"{mart}/quarantine").collect()] == [("M1", "mlb", DAY)]
-    assert [str(r.game_date) for r in sinks.read_done(spark, f"{mart}/done").collect()] == [DAY]
+        assert published.read(spark, mart, table).count() == 0
+    assert [(r.game_id, r.league, str(r.game_date)) for r in published.read(spark, mart, "quarantine").collect()] == [("M1", "mlb", DAY)]
+    assert [str(r.game_date) for r in published.done(spark, mart, "mlb").collect()] == [DAY]
     record["homeBatter"][0]["hit"] = 3
     write(f"{root}/mlb/record/game_date={DAY}/M1.json", {"result": {"recordData": record}})
     jobs.score_days(spark, root, mart, "mlb", [DAY])
-    assert {r["name"] for r in spark.read.parquet(f"{mart}/batters").collect()} == {"가", "나"}
-    assert not spark.read.schema("game_id STRING").parquet(f"{mart}/quarantine").count()
+    assert {r["name"] for r in published.read(spark, mart, "batters").collect()} == {"가", "나"}
+    assert not published.read(spark, mart, "quarantine").count()
 
 
 def test_batches_resume(spark, tmp_path, monkeypatch):
@@ -230,7 +330,7 @@ def test_live_tick(spark, landing, tmp_path):
     costs = cost.read_costs(spark.createDataFrame([], "hint STRING, position STRING, name STRING, cost STRING"))
     assert not jobs.run_day(spark, landing, mart, DAY, f"{DAY} 07:00:00", costs)  # 16:00 in Korea
     assert jobs.run_day(spark, landing, mart, DAY, f"{DAY} 10:00:00", costs)
-    rows = {r["name"]: r for r in spark.read.parquet(f"{mart}/batters").collect()}
+    rows = {r["name"]: r for r in published.read(spark, mart, "batters").collect()}
     assert rows["유격"].position == "유격수" and rows["유격"].roster_cost is None
     again = jobs.refresh_if_due(spark, jobs.read_landing(spark, landing, "kbo"), mart, DAY, f"{DAY} 10:30:00")
     assert {r.player_code: r.effective_position for r in again.collect()}["2"] == "1루수"
