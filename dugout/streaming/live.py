@@ -1,53 +1,20 @@
 """Live days.
 
 A line can arrive late, out of order or corrected, and a line's credit depends on everything
-before it. So the unit of work is a whole day: each micro-batch finds the days it touched, reads
-those days again from the landing folder and replaces their partitions.
+before it. So the unit of work is a whole day: each micro-batch is kept in the line store
+(``linestore.py``), which gives back the lines of the days it touched, and those days are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from dugout.streaming.linestore import LINES
 
-from dugout.model import RELAY_EVENTS
-
-LANDED_LINES = RELAY_EVENTS + ", game_date DATE, ingested_at TIMESTAMP"
-
-
-def latest_lines(lines: DataFrame) -> DataFrame:
-    """One row per (game, no, sub): the one ingested last. Aggregated map-side, no window."""
-    body = F.struct(*[c for c in lines.columns if c not in ("game_id", "no", "sub")])
-    return lines.groupBy("game_id", "no", "sub").agg(
-        F.max_by(body, F.struct("ingested_at", "text")).alias("b")
-    ).select("game_id", "no", "sub", "b.*")
+LANDED_LINES = LINES + ", game_date DATE"
 
 
 def read_line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     return (
         spark.readStream.schema(LANDED_LINES).option("maxFilesPerTrigger", files_per_trigger).json(path)
     )
-
-
-def refresh_days(
-    stream: DataFrame, recompute: Callable[[SparkSession, list[str]], None], checkpoint: str,
-    available_now: bool = False,
-) -> StreamingQuery:
-    """Call ``recompute`` with the days each micro-batch touched. The day list is one row a day."""
-
-    def handle(batch: DataFrame, _batch_id: int) -> None:
-        days = batch.select("game_date").filter(F.col("game_date").isNotNull()).distinct().collect()
-        if days:
-            recompute(batch.sparkSession, sorted(str(r["game_date"]) for r in days))
-
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def landed_days(spark: SparkSession, path: str, days: list[str]) -> DataFrame:
-    """All lines of the days so far, the latest version of each."""
-    lines = spark.read.schema(LANDED_LINES).json(path)
-    wanted = F.to_date("game_date").isin(*[F.to_date(F.lit(d)) for d in days])
-    return latest_lines(lines.filter(wanted))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from dugout.plans import oracles, queries as q
+from dugout.plans import day_queries, oracles, queries as q
 
 FOLDER = os.environ.get("DUGOUT_SF_DIR", "/root/testdata/sf0.001")
 SLOW = {
@@ -13,7 +13,8 @@ SLOW = {
     "line_credits", "scored_batters", "scored_pitchers", "er_cut", "inning_totals", "ledger_cap",
     "position_events", "field_rule_modes", "category_totals",
 }
-SQL = oracles.oracle_sql()
+ALL = q.ALL | day_queries.ALL
+SQL = oracles.oracle_sql() | day_queries.SQL
 
 
 @pytest.fixture(scope="module")
@@ -25,14 +26,14 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(q.ALL)
+    assert set(SQL) == set(ALL)
 
 
-@pytest.mark.parametrize("name", [n for n in q.ALL if os.environ.get("DUGOUT_ALL") or n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in ALL if os.environ.get("DUGOUT_ALL") or n not in SLOW])
 def test_query_equals_sql(spark, duck, name):
     if not os.path.isdir(FOLDER):
         pytest.skip("no test data")
-    ours = q.ALL[name](spark, FOLDER).toPandas()
+    ours = ALL[name](spark, FOLDER).toPandas()
     theirs = duck.sql(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     columns = sorted(ours.columns)
