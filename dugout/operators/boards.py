@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dugout.functions import rules, scoring
 from dugout.model import (
@@ -236,6 +236,7 @@ def distinct_years(rows: DataFrame) -> DataFrame:
 # Rank whose score is the threshold of each pool.
 POOL_RANK = {"starter": 3, "reliever": 5, "outfield": 5, "DH": 5, "position": 2}
 DEEPEST = max(POOL_RANK.values())
+POOL_KEYS = ("game_date", "pool", "pool_key")
 
 
 def _normalised() -> Column:
@@ -262,8 +263,8 @@ def with_pool(rows: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rows: DataFrame) -> DataFrame:
-    """k-th best score per (day, pool, pool_key); a pool with fewer rows has none."""
+def pool_members(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per player and pool: game_date, the columns of ``keep``, lp, pool, pool_key."""
     pooled = with_pool(rows)
     norm = F.col("norm_position")
     pitcher = F.col("kind") == "pitcher"
@@ -279,13 +280,53 @@ def thresholds(rows: DataFrame) -> DataFrame:
         entry("DH", blank, F.col("kind") == "batter"),
         entry("position", norm, F.lit(True)),
     )
-    members = pooled.select(
-        "game_date", "lp", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")
-    ).select("game_date", "lp", "e.*")
-    wanted = F.lit(2)
+    return pooled.select(
+        "game_date", *keep, "lp", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")
+    ).select("game_date", *keep, "lp", "e.*")
+
+
+def _pool_rank() -> Column:
+    wanted = F.lit(POOL_RANK["position"])
     for pool, rank in POOL_RANK.items():
         wanted = F.when(F.col("pool") == pool, rank).otherwise(wanted)
-    return kth_largest(members, ["game_date", "pool", "pool_key"], "lp", wanted, DEEPEST)
+    return wanted
+
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """k-th best score per (day, pool, pool_key); a pool with fewer rows has none."""
+    return kth_largest(pool_members(rows), [*POOL_KEYS], "lp", _pool_rank(), DEEPEST)
+
+
+def _best_scores(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, top): the best scores, ``DEEPEST`` at most, the highest first."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("lp")))
+    few = members.withColumn("__place", place).filter(F.col("__place") <= DEEPEST)
+    return few.groupBy(*keys).agg(F.sort_array(F.collect_list("lp"), asc=False).alias("top"))
+
+
+def pool_states(rows: DataFrame, game: str = "game_id") -> DataFrame:
+    """What a threshold needs of each game: its best scores in every pool, a bounded list."""
+    return _best_scores(pool_members(rows, [game]), [*POOL_KEYS, game])
+
+
+def replace_states(states: DataFrame, games: DataFrame, fresh: DataFrame, game: str = "game_id") -> DataFrame:
+    """``states`` with those of the games scored again (game_date, game) taken from ``fresh``.
+
+    Scores fall as well as rise when a line is corrected, so a game's state is replaced and never merged with itself.
+    """
+    return states.join(games, ["game_date", game], "left_anti").unionByName(fresh)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """(day, pool, pool_key, top) over all games. Merged states can be merged again, in any order."""
+    members = states.select(*POOL_KEYS, F.explode("top").alias("lp"))
+    return _best_scores(members, POOL_KEYS)
+
+
+def thresholds_of(states: DataFrame) -> DataFrame:
+    """:func:`thresholds` from states, without the rows they stand for."""
+    merged = merge_states(states)
+    return merged.filter(F.size("top") >= _pool_rank()).select(*POOL_KEYS, F.element_at("top", _pool_rank()).alias("kth"))
 
 
 def player_history(rows: DataFrame, relative: bool = True, per_cost: bool = True) -> DataFrame:

@@ -10,60 +10,66 @@ from dugout.model import DH, UNKNOWN_POSITION
 WINDOW_DAYS = 14
 
 
-def position_window(
-    batters: DataFrame, team_pitching: DataFrame, games: DataFrame, end_date: str, days: int = WINDOW_DAYS
-) -> DataFrame:
-    """Fielding innings per (player, position) over the trailing window of finished games.
-
-    A game's innings are shared equally among the positions played in it. One row per player and
-    position; players without any fielding letter have a single row with a NULL position.
-    ``team`` is that of the oldest game in the window and ``name`` that of the newest.
-    """
-    end = F.to_date(F.lit(end_date))
-    recent = games.filter(
-        F.col("game_date").between(F.date_sub(end, days - 1), end) & (F.col("status_code") == "RESULT")
-    ).select("game_id", "game_date", "game_seq", "home_team_name", "away_team_name")
+def fielding_rows(batters: DataFrame, team_pitching: DataFrame, games: DataFrame) -> DataFrame:
+    """Batter lines of finished games with the innings of their side, the letters played and their place in the day."""
+    over = games.filter(F.col("status_code") == "RESULT").select(
+        "game_id", "game_date", "game_seq", "home_team_name", "away_team_name"
+    )
     outs = team_pitching.select(
         "game_id", "side", (innings.outs_from_fraction(F.col("inn")) / 3).alias("def_innings")
     )
     home = F.col("side") == "home"
-    rows = (
+    return (
         batters.filter(F.coalesce("player_code", F.lit("")) != "")
-        .join(recent, "game_id")
+        .join(over, "game_id")
         .join(outs, ["game_id", "side"], "left")
         .select(
-            "player_code", "name",
+            "game_date", "player_code", "name",
             F.when(home, F.col("home_team_name")).otherwise(F.col("away_team_name")).alias("team"),
             F.coalesce("def_innings", F.lit(0.0)).alias("def_innings"),
             plate.fielding_chars(F.col("pos")).alias("chars"),
-            # newest day first, then schedule order, home before away, box order
-            F.struct(
-                F.datediff(end, F.col("game_date")).alias("back"), "game_seq", "game_id",
-                F.when(home, 0).otherwise(1).alias("side_no"), "pos_idx",
-            ).alias("place"),
+            # schedule order, home before away, box order
+            F.struct("game_seq", "game_id", F.when(home, 0).otherwise(1).alias("side_no"), "pos_idx").alias("place"),
         )
     )
-    return rows
 
 
-def position_table(window_rows: DataFrame) -> DataFrame:
-    """One row per player: innings by position, games, and the automatic position."""
+def position_window(
+    batters: DataFrame, team_pitching: DataFrame, games: DataFrame, end_date: str, days: int = WINDOW_DAYS
+) -> DataFrame:
+    """Fielding rows of the trailing window, placed with the newest day first.
+
+    A game's innings are shared equally among the positions played in it. ``team`` is that of the oldest game
+    in the window and ``name`` that of the newest.
+    """
+    end = F.to_date(F.lit(end_date))
+    recent = games.filter(F.col("game_date").between(F.date_sub(end, days - 1), end))
+    rows = fielding_rows(batters, team_pitching, recent)
+    back = F.datediff(end, F.col("game_date")).alias("back")
+    return rows.withColumn("place", F.struct(back, "place.*")).drop("game_date")
+
+
+def _per_position(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, player and position; players without any fielding letter have one with a NULL position."""
     size = F.size("chars")
-    spread = window_rows.select(
-        "player_code", "name", "team", "place",
+    spread = rows.select(
+        *keys, "player_code", "name", "team", "place",
         F.posexplode_outer("chars").alias("char_no", "char"),
         F.when(size > 0, F.col("def_innings") / size).otherwise(F.lit(0.0)).alias("share"),
     ).withColumn("position", plate.position_of_char(F.col("char")))
-    per_position = spread.groupBy("player_code", "position").agg(
+    return spread.groupBy(*keys, "player_code", "position").agg(
         F.sum("share").alias("innings"),
         F.min(F.struct("place", "char_no")).alias("seen"),
+        # Every game row is counted once: by its first letter, or by the row without letters.
         F.count_if(F.coalesce("char_no", F.lit(0)) == 0).alias("rows"),
         F.min_by("name", "place").alias("name"), F.min("place").alias("first_place"),
         F.max_by("team", "place").alias("team"), F.max("place").alias("last_place"),
     )
-    # Every game row is counted once: by its first letter, or by the row without letters.
+
+
+def _table(per_position: DataFrame, keys: list[str]) -> DataFrame:
     fielded = F.col("position").isNotNull()
-    return per_position.groupBy("player_code").agg(
+    return per_position.groupBy(*keys, "player_code").agg(
         F.min_by("name", "first_place").alias("name"),
         F.max_by("team", "last_place").alias("team"),
         F.map_from_entries(
@@ -87,6 +93,36 @@ def position_table(window_rows: DataFrame) -> DataFrame:
     ).drop("best")
 
 
+def position_table(window_rows: DataFrame) -> DataFrame:
+    """One row per player: innings by position, games, and the automatic position."""
+    return _table(_per_position(window_rows, []), [])
+
+
+def day_partials(rows: DataFrame) -> DataFrame:
+    """What a day adds to any window that holds it: one row per (day, player, position)."""
+    return _per_position(rows, ["game_date"])
+
+
+def rolling_table(partials: DataFrame, ends: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """:func:`position_table` for the ``days`` up to each ``end_date`` of ``ends``, from day partials alone.
+
+    A day reaches ``days`` windows, so a partial is at most as many rows here, however many boxes it stands for.
+    """
+    reach = F.explode(F.sequence("game_date", F.date_add("game_date", days - 1))).alias("end_date")
+    near = partials.select("*", reach).join(ends.select("end_date").distinct(), "end_date")
+    back = F.datediff("end_date", "game_date").alias("back")
+
+    def placed(name: str):
+        return F.struct(back, F.col(name).alias("p"))
+
+    per_position = near.groupBy("end_date", "player_code", "position").agg(
+        F.sum("innings").alias("innings"), F.min(placed("seen")).alias("seen"), F.sum("rows").alias("rows"),
+        F.min_by("name", placed("first_place")).alias("name"), F.min(placed("first_place")).alias("first_place"),
+        F.max_by("team", placed("last_place")).alias("team"), F.max(placed("last_place")).alias("last_place"),
+    )
+    return _table(per_position, ["end_date"])
+
+
 def merge_overrides(table: DataFrame, previous: DataFrame) -> DataFrame:
     """Keep manual positions over a recompute; players out of the window stay only with one."""
     old = previous.select(

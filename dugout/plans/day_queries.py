@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from dugout.functions import innings
 from dugout.model import TEAMS
+from dugout.operators import boards, differ, positions as pos
 from dugout.plans import bindings as b
 from dugout.plans import oracles as o
 from dugout.plans.queries import tidy
@@ -135,8 +137,50 @@ def rescored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(known.withColumn("rows", F.coalesce("rows", F.lit(0))))
 
 
+def rolling_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered positions over the 14 days up to every month's end, from one partial a day."""
+    games = b.order_games(spark, sf_dir)
+    rows = pos.fielding_rows(b.line_batters(spark, sf_dir), b.line_team_pitching(spark, sf_dir), games)
+    ends = games.select(F.last_day("game_date").alias("end_date"))
+    table = pos.rolling_table(pos.day_partials(rows), ends)
+    return tidy(table.select(
+        "end_date", "player_code", "name", "team", "games", "dh_games", "auto_position", F.size("innings_by_position").alias("positions")))
+
+
+def live_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thresholds of kth_threshold from games' states: provisional scores, then the games one delivery after the other."""
+    rows = b.board_rows(spark, sf_dir).withColumn("game_id", F.pmod(F.xxhash64("name"), F.lit(7)))
+    provisional = rows.withColumn("lp", F.col("lp") + (F.col("row_id") % 5 * 40 - 60).cast("int"))
+    states = boards.pool_states(provisional)
+    for games in ((1, 4, 6), (5, 0), (3, 2)):
+        delivered = rows.where(F.col("game_id").isin(*games))
+        states = boards.replace_states(states, delivered.select("game_date", "game_id").distinct(), boards.pool_states(delivered))
+    # Merged in two parts, and these with each other.
+    parts = [boards.merge_states(states.where(F.col("game_id") % 2 == part)) for part in (1, 0)]
+    return tidy(boards.thresholds_of(parts[0].unionByName(parts[1])))
+
+
+def mart_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pitcher rows read by the innings rule of the first league and by that of the second."""
+    rows = b.line_pitchers(spark, sf_dir).withColumns({
+        "league": F.lit("kbo"), "game_date": _day(F.col("game_id").cast("bigint")),
+        "quick": F.col("bb") + F.col("hit") == 0})
+
+    def read(outs: Column) -> DataFrame:
+        read = rows.withColumn("OUT", F.coalesce(outs, F.lit(0))).withColumn("LONG", F.col("OUT") >= 18)
+        return read.where((F.col("OUT") > 0) | ~F.col("quick"))
+
+    before, after = (read(f(F.col("inn"))) for f in (innings.outs_from_fraction, innings.outs_from_decimal))
+    found = differ.mart_difference(
+        before, after, ("league", "game_date"), ("game_id", "side", "pos_idx", "part", "name"), ("hit", "er", "inn", "OUT", "LONG"))
+    return tidy(found.drop("league"))
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (landed_batters, landed_pitchers, landed_records, landed_relay, landed_relay_second, rescored_days)
+    f.__name__: f
+    for f in (
+        landed_batters, landed_pitchers, landed_records, landed_relay, landed_relay_second, rescored_days, rolling_positions,
+        live_threshold, mart_diff)
 }
 
 _ROW_OF_SIDE = "row_number() OVER (PARTITION BY game_id, side ORDER BY {}) - 1"
@@ -144,7 +188,38 @@ _TEXT = f"{o.lit(b.SENTENCES)}[CAST(t+1 AS INT)]"
 for _mark, _value in {"i": "CAST(inn AS VARCHAR)", "b": "bat", "r": "run", "f": "fin", "p": "pin", "q": "fs||'P'||((k//4)%4)"}.items():
     _TEXT = f"replace({_TEXT}, '{{{_mark}}}', {_value})"
 
+# By hand: a whole number is innings, a point is followed by outs, anything else is no number.
+OUTS_SECOND = {"5 ⅔": 0, "⅓": 0, "6": 18, "": 0, "4.4": 16, "abc": 0, "7": 21, "6 ⅓": 0, "8": 24, "9": 27}
+_LETTERS = "CASE chars[c.i] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in o.LETTER_POS.items()) + " END"
+
 SQL: dict[str, str] = {
+    "rolling_positions": f"""WITH {o.LINE_BATTERS},{o.ORDER_GAMES},
+      tm AS (SELECT CAST(l_orderkey AS VARCHAR) game_id, CASE WHEN l_linestatus='F' THEN 'home' ELSE 'away' END side,
+        max(CASE WHEN regexp_full_match(t,'[0-9]') THEN CAST(t AS INT) ELSE 0 END) di
+        FROM (SELECT *, {o.pick(b.INNING_TEXTS, 'l_partkey+l_linenumber')} t FROM lineitem) GROUP BY ALL),
+      ends AS (SELECT DISTINCT last_day(game_date) d FROM og),
+      pw AS (SELECT d, lb.player_code, lb.name, CASE WHEN side='home' THEN home_name ELSE away_name END team, di,
+          list_filter(string_split(pos,''), lambda c: c IN ({", ".join(f"'{c}'" for c in o.LETTER_POS)})) chars,
+          row_number() OVER (PARTITION BY d, lb.player_code ORDER BY og.game_date DESC, og.game_seq, lb.game_id,
+            CASE WHEN side='home' THEN 0 ELSE 1 END, pos_idx) ord
+        FROM lb JOIN og USING (game_id) JOIN tm USING (game_id, side) JOIN ends ON og.game_date BETWEEN d - 13 AND d WHERE og.status_code='RESULT'),
+      ps AS (SELECT d, player_code, ord, c.i char_no, {_LETTERS} position, di/len(chars) share FROM pw, unnest(range(1, len(chars)+1)) c(i)),
+      pp AS (SELECT d, player_code, position, round(sum(share),9) innings, min(ord*10+char_no) seen FROM ps GROUP BY ALL),
+      bestp AS (SELECT d, player_code, position FROM pp QUALIFY row_number() OVER (PARTITION BY d, player_code ORDER BY innings DESC, seen)=1),
+      np AS (SELECT d, player_code, count(*) positions FROM pp GROUP BY ALL),
+      pt AS (SELECT d, player_code, arg_min(pw.name, ord) "name", arg_max(team, ord) team, count(*) games, count(*) FILTER (len(chars)=0) dh_games FROM pw GROUP BY ALL)
+      SELECT strftime(pt.d,'%Y-%m-%d') end_date, player_code, "name", team, games, dh_games,
+        coalesce(bestp.position, CASE WHEN dh_games>0 THEN '지명타자' ELSE '미상' END) auto_position, coalesce(positions, 0) positions
+      FROM pt LEFT JOIN bestp USING (d, player_code) LEFT JOIN np USING (d, player_code)""",
+    "live_threshold": f"WITH {o.POOLS} SELECT strftime(game_date,'%Y-%m-%d') game_date, pool, pool_key, kth FROM thr",
+    "mart_diff": f"""WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) game_id, strftime(DATE '2026-05-01' + CAST(l_orderkey%{DAYS} AS INT), '%Y-%m-%d') game_date,
+        CASE WHEN l_linestatus='F' THEN 'home' ELSE 'away' END side, l_linenumber-1 pos_idx, l_partkey part, 'P'||l_suppkey "name",
+        l_partkey%5 hit, (l_partkey+l_suppkey)%5 er, l_suppkey%3 bb, {o.pick(b.INNING_TEXTS, 'l_partkey+l_linenumber')} inn FROM lineitem),
+      m AS (SELECT *, {o.outs_case('inn', o.OUTS_BY_TEXT)} a, {o.outs_case('inn', OUTS_SECOND)} z FROM l),
+      k AS (SELECT *, a>0 OR hit+bb<>0 ka, z>0 OR hit+bb<>0 kz FROM m)
+      SELECT game_date, game_id, side, pos_idx, part, "name", CASE WHEN NOT ka THEN 'added' WHEN NOT kz THEN 'removed' ELSE 'changed' END change,
+        CASE WHEN ka AND kz THEN CASE WHEN (a>=18)<>(z>=18) THEN 'OUT,LONG' ELSE 'OUT' END ELSE '' END changed
+      FROM k WHERE (ka AND kz AND a<>z) OR ka<>kz""",
     "landed_batters": f"""WITH {o.LINE_BATTERS} SELECT game_id, side, {_ROW_OF_SIDE.format("pos_idx, player_code, ab, subst, array_to_string(slots, '|')")} pos_idx, player_code, "name", pos,
       CAST(subst AS BIGINT) substitute_in, ab, hit, run, rbi, hr, bb, sb, CAST(0 AS BIGINT) hbp, kk, array_to_string(slots, '|') codes FROM lb""",
     "landed_pitchers": f"""SELECT CAST(l_orderkey AS VARCHAR) game_id, CASE WHEN l_linestatus='F' THEN 'home' ELSE 'away' END side,

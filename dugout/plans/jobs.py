@@ -22,7 +22,7 @@ from dugout.sources import landed, published, sinks, staging
 
 
 #: Tables of a mart folder that hold the rows of a day.
-MARTS = ("batters", "pitchers", "ledger", "position_events", "quarantine", "gaps")
+MARTS = ("batters", "pitchers", "ledger", "position_events", "quarantine", "gaps", "position_days")
 #: Days that backfill and reprocess score and mark at a time.
 BATCH = 14
 
@@ -221,6 +221,8 @@ def score_days(
     day = source.games.select("game_id", "league", "game_date")
     version = published.new_version()
     write_scored(scored, source.gaps.join(day, "game_id"), mart, version)
+    if league == "kbo":
+        published.write(_partials(source).withColumn("league", F.lit(league)), mart, "position_days", version)
     listed = spark.createDataFrame([(d,) for d in days], "d STRING").select(F.to_date("d").alias("game_date"))
     published.publish(finished(source.games, league, listed), mart, version)
 
@@ -274,6 +276,10 @@ def reprocess(
     return todo
 
 
+def _partials(source: Landing) -> DataFrame:
+    return pos.day_partials(pos.fielding_rows(source.batters, source.team_pitching, _named_games(source)))
+
+
 def refresh_positions(source: Landing, previous: DataFrame, end_date: str, days: int = 14) -> DataFrame:
     """Recompute registered positions over the trailing window, keeping manual ones."""
     window = pos.position_window(
@@ -287,7 +293,7 @@ def refresh_if_due(
 ) -> DataFrame:
     """Registered positions, recomputed at most once an hour.
 
-    Each refresh is written under its own time, so readers keep the earlier one until it is whole.
+    Days that are final give the partials that were published with them; only the others are worked out again. Each refresh is written under its own time, so readers keep the earlier one until it is whole.
     """
     marker = sinks.read_refresh_marker(spark, f"{mart}/position_refresh")
     at = F.to_timestamp(F.lit(now))
@@ -300,7 +306,16 @@ def refresh_if_due(
         return current
     version = spark.range(1).select(F.date_format(at, "yyyyMMddHHmmss").alias("v")).first()["v"]
     out = f"{mart}/positions/refresh={version}"
-    refresh_positions(source, current, end_date, days).write.mode("overwrite").parquet(out)
+    window = {str(date.fromisoformat(end_date) - timedelta(days=i)) for i in range(days)}
+    final = sorted(window & {str(r["game_date"]) for r in published.done(spark, mart, "kbo").collect()})
+    partials = _partials(source)
+    kept = published.read(spark, mart, "position_days", "kbo", final) if final else None
+    if kept is not None and "player_code" in kept.columns:
+        others = partials.where(~F.col("game_date").isin([F.to_date(F.lit(d)) for d in final]))
+        partials = others.unionByName(kept.select(*partials.columns))
+    ends = spark.createDataFrame([(end_date,)], "d STRING").select(F.to_date("d").alias("end_date"))
+    table = pos.rolling_table(partials, ends, days).drop("end_date")
+    pos.merge_overrides(table, current).write.mode("overwrite").parquet(out)
     sinks.mark_refreshed(spark, f"{mart}/position_refresh", now)
     return spark.read.parquet(out)
 
