@@ -12,8 +12,8 @@ Every step is exact: what is set aside cannot have a link. Sets are worked on on
    share a few leaders. Inside a group the links are found by counting owners of common tokens; a spanning
    forest of them is kept, not the pairs.
 4. *Token-group matrix*: rows (token, group) over the first tokens of the members, those that the fewest components
-   hold first. A token that leads from one component to another brings one group's sets as queries to the other
-   group, the smaller one the larger one, however many components the two hold. A group holds the union of its members' tokens; a
+   hold first. A token that leads from one component to another makes two groups meet; the sets of one go to the other as
+   queries if it holds a component larger than theirs. A group holds the union of its members' tokens; a
    query whose overlap with the union is too small for any link stops there, and only qualifying groups are
    opened and compared member by member. Sets of one component need no further link between them.
 """
@@ -292,28 +292,33 @@ def _cross_links(known: DataFrame, near: DataFrame) -> DataFrame:
     Tokens go by the number of components that hold them, fewest first; two linked sets share one of the first
     ``n - least_overlap(n) + 1`` of each. A token of one component leads nowhere and only takes up a place.
     """
-    rows = known.select("digest", "n", "component", "home", F.explode("tokens").alias("token"))
+    # Of two components the smaller asks, so a large one that many groups hold is asked and does not ask back.
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("sets"))
+    ranked = known.join(sizes, "component").withColumn("rank", F.struct("sets", "component"))
+    rows = ranked.select("digest", "n", "component", "rank", "home", F.explode("tokens").alias("token"))
     spread = rows.select("token", "component").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
     own = Window.partitionBy("digest")
     rows = rows.join(spread, "token").withColumn("place", F.row_number().over(own.orderBy("spread", "token")))
     rows = rows.withColumn("crossing", F.count(F.lit(1)).over(own))
-    rows = stored(rows.where(f"place <= crossing - int(ceil({SHARE} * n / {WHOLE}D)) + 1").select("digest", "n", "component", "home", "token"), "crossing")
+    rows = stored(rows.where(f"place <= crossing - int(ceil({SHARE} * n / {WHOLE}D)) + 1").select("digest", "n", "rank", "home", "token"), "crossing")
     matrix = rows.groupBy("token", "home").agg(
-        F.min("n").alias("smallest"), F.max("n").alias("largest"), F.min("component").alias("first"), F.max("component").alias("last"))
+        F.min("n").alias("smallest"), F.max("n").alias("largest"), F.min("rank").alias("low"), F.max("rank").alias("top"))
     # Groups meet groups: sets of one home were compared when its forest was made.
-    asking = matrix.select("token", F.col("home").alias("asking"), *(F.col(c).alias(f"asking_{c}") for c in matrix.columns[2:]))
-    meets = matrix.join(asking, "token").where(
-        f"home < asking and {WHOLE} * largest >= {SHARE} * asking_smallest and {WHOLE} * asking_largest >= {SHARE} * smallest"
-        " and least(first, asking_first) < greatest(last, asking_last)")
-    queries = rows.select(F.col("home").alias("asking"), "digest").distinct()
-    weight = queries.groupBy("asking").agg(F.count(F.lit(1)).alias("asking_weight"))
-    meets = meets.select("home", "asking").distinct().join(weight, "asking")
-    meets = meets.join(weight.select(F.col("asking").alias("home"), F.col("asking_weight").alias("weight")), "home")
-    # A link has no direction, so of two groups the one with fewer queries asks.
-    swap = F.expr("weight < asking_weight")
-    meets = stored(meets.select(
-        F.when(swap, F.col("asking")).otherwise(F.col("home")).alias("home"), F.when(swap, F.col("home")).otherwise(F.col("asking")).alias("asking")), "meets")
-    meets = meets.join(queries, "asking").select("home", "digest")
+    other = matrix.select("token", *(F.col(c).alias(f"o_{c}") for c in matrix.columns[1:]))
+    meets = matrix.join(other, "token").where(
+        f"home < o_home and (low < o_top or o_low < top) and {WHOLE} * largest >= {SHARE} * o_smallest and {WHOLE} * o_largest >= {SHARE} * smallest")
+
+    def way(home: str, asking: str):
+        """What an asking group has to know of a home: its largest component and the sizes of its sets."""
+        parts = [F.col(f"{home}{c}").alias(c) for c in ("home", "top", "smallest", "largest")]
+        return F.struct(*parts, F.col(f"{asking}home").alias("asking"), F.col(f"{asking}low").alias("low"))
+
+    meets = meets.select(F.inline(F.array(way("", "o_"), way("o_", "")))).where("low < top")
+    meets = meets.groupBy("home", "asking").agg(F.max("top").alias("top"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+    meets = stored(meets, "meets")
+    queries = rows.select(F.col("home").alias("asking"), "digest", "rank", "n").distinct()
+    meets = meets.join(queries, "asking").where(f"rank < top and {WHOLE} * largest >= {SHARE} * n and {WHOLE} * n >= {SHARE} * smallest")
+    meets = meets.select("home", "digest")
     busy = meets.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
     asks = meets.join(busy, "home").select("home", F.expr("cast(pmod(xxhash64(digest, 3), blocks) as int)").alias("block"), "digest")
     asks = asks.join(near.select("digest", "tokens"), "digest")
