@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dugout.llm.common import lowered, stored
 
@@ -47,22 +47,18 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "smallest") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept.
+    """``docs`` with one row of each group of equal texts, all columns kept: that of the smallest (or largest) id.
 
-    Rows that share an id and a text are one row; of rows that share only an id, those whose text stays remain.
+    Equal is as in :func:`exact_duplicates`. A null id stays only in a group without other ids, and of rows that share
+    id and text any one stays. Rows are grouped by (hash, bytes) with the row that stays as a running
+    minimum, so a task sends one row for each text it met, however many copies it has. An empty table gives an empty result; columns of any
+    name and type are kept as they are.
     """
-    found = exact_duplicates(docs, text, doc_id, keep)
-    keys = F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_id_sha")
-    gone = stored(found.where("not kept").select(*keys).distinct(), "gone")
-    again = stored(found.where("kept").groupBy(*keys).count().where("count > 1").drop("count"), "again")
-    rows = docs.withColumn("_sha", F.sha2(lowered(docs[text]), 256))
-
-    def same(other: DataFrame):
-        return rows[doc_id].eqNullSafe(other["_id"]) & (rows["_sha"] == other["_id_sha"])
-
-    kept = rows.join(gone, same(gone), "left_anti")
-    if not again.isEmpty():
-        number = F.row_number().over(Window.partitionBy(doc_id, "_sha").orderBy(F.lit(1)))
-        one = rows.join(again, same(again), "left_semi").withColumn("_number", number).where("_number = 1").drop("_number")
-        kept = kept.join(again, kept[doc_id].eqNullSafe(again["_id"]) & (kept["_sha"] == again["_id_sha"]), "left_anti").unionByName(one)
-    return kept.drop("_sha")
+    norm = lowered(docs[text])
+    named = F.col(doc_id)
+    if keep == "largest":
+        best = F.max_by(F.struct(*docs.columns), F.struct(named.isNotNull(), named))
+    else:
+        best = F.min_by(F.struct(*docs.columns), F.struct(named.isNull(), named))
+    kept = docs.groupBy(content_hash(norm).alias("__hash"), norm.alias("__norm")).agg(best.alias("__row"))
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
