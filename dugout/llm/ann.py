@@ -125,6 +125,7 @@ def nearest(rows: DataFrame, k: int, query_every: int, vec_id: str = "vec_id", v
     # At most ``sample`` vectors.
     seen = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas().sort_values("vec_id")
     known, known_ids = np.array(seen["v"].tolist(), np.float64), seen["vec_id"].to_numpy()
+    longest = np.linalg.norm(known, axis=1).max()
     forest = grow(known, trees, leaf)
     known_leaves = [leaves_of(tree, known) for tree in forest]
 
@@ -150,7 +151,10 @@ def nearest(rows: DataFrame, k: int, query_every: int, vec_id: str = "vec_id", v
                     opened[[leaf for leaf, x in zip(at, leaves[-1], strict=True) if x >> 32 == t]] = True
                     hit |= opened[assigned]
                 score = known[hit & inside] @ x
-                floors.append(np.partition(score, len(score) - k)[len(score) - k] - 1e-9 if len(score) >= k else -np.inf)
+                # Sums of another order differ by less than this.
+                slack = 4 * len(x) * np.finfo(float).eps * np.linalg.norm(x) * longest
+                floor = np.partition(score, len(score) - k)[len(score) - k] - slack if len(score) >= k else -np.inf
+                floors.append(floor if np.isfinite(floor) else -np.inf)
             asked = pd.DataFrame({"leaf": leaves, "query_id": part["vec_id"].to_numpy(), "q": part["v"].to_numpy(), "floor": floors})
             yield asked.explode("leaf").astype({"leaf": "int64"})
 

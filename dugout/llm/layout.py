@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +17,9 @@ from dugout.llm.common import slices
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']*)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_SPAN = re.compile(r"\s*(\d{1,9})")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 #: A slash that ends an unquoted value is part of it.
 _VALUE_SLASH = re.compile(r"=\s*[^\s\"'>=][^\s>]*/>\Z")
@@ -37,8 +39,13 @@ _IMPLIED = {
 }
 _CLOSES_P = SPACED | frozenset("address article aside center details dialog div figcaption footer form header hr main nav section li dt dd".split())
 _IN_HEAD = frozenset("base link meta script style template title noscript head".split())
-#: An element deeper than this adds to the one above it; a cell wider than this is not filled up.
-DEEPEST, WIDEST = 200, 40
+#: Where the raw text of an element ends; letters outside A-Z have no case here.
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
+_ROWS = frozenset("table tr td th thead tbody tfoot body html".split())
+_CELL_TAGS = ("table", "td", "th")
+_P_STOPS = ("td", "th", "li", "div", "button", "table")
+#: A cell wider than this is not filled up; indents end here; a table inside so many others has its cells one below the other.
+WIDEST, INDENT, NESTED = 40, 80, 20
 
 
 class Node:
@@ -52,41 +59,38 @@ def tree(page: str) -> Node:
     """The element tree; texts are strings among the children."""
     root = Node("html")
     stack = [root]
+    #: Places in the stack of the open elements of each tag, the innermost last; the root is not among them.
+    places: dict[str, list[int]] = {}
+
+    def innermost(tags) -> int:
+        """Place of the innermost open element of one of these tags; 0 if none is open."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(upto: int) -> None:
-        del stack[upto:]
+        while len(stack) > upto:
+            places[stack.pop().tag].pop()
 
     def imply(tag: str) -> None:
-        if tag not in _IN_HEAD:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "head":
-                    close(i)
-                    break
-        ends, stops = _IMPLIED.get(tag, (frozenset(), frozenset()))
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stops:
+        if tag not in _IN_HEAD and (i := innermost(("head",))):
+            close(i)
+        ends, stops = _IMPLIED.get(tag, ((), ()))
+        while (i := innermost(ends)) > innermost(stops):
+            close(i)
+            if tag not in ("tr", "thead", "tbody", "tfoot", "optgroup"):
                 break
-            if stack[i].tag in ends:
-                close(i)
-                if tag not in ("tr", "thead", "tbody", "tfoot", "optgroup"):
-                    break
-        if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in ("td", "th", "li", "div", "button", "table"):
-                    break
+        if tag in _CLOSES_P and (i := innermost(("p",))) > innermost(_P_STOPS):
+            close(i)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             add("tr", "")
 
     def add(tag: str, attributes: str) -> None:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEEPEST:
+        if tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
-    at, low = 0, None
+    at = 0
     while True:
         mark = _MARK.search(page, at)
         text = page[at : mark.start() if mark else len(page)]
@@ -104,12 +108,8 @@ def tree(page: str) -> Node:
         if mark[1]:
             if tag == "br":
                 add("br", "")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html"):
-                    break
+            if (i := innermost((tag,))) > (0 if tag in _ROWS else innermost(_CELL_TAGS)):
+                close(i)
             continue
         if tag == "html":
             root.attributes = root.attributes or mark[3]
@@ -122,9 +122,8 @@ def tree(page: str) -> Node:
                 close(len(stack) - 1)
             continue
         if tag in RAW:
-            low = low or page.lower()
-            end = low.find("</" + tag, at)
-            end = len(page) if end < 0 else end
+            found = _RAW_END[tag].search(page, at)
+            end = found.start() if found else len(page)
             if tag not in UNSEEN:
                 stack[-1].children.append(html.unescape(page[at:end]))
             if stack[-1].tag == tag and len(stack) > 1:
@@ -141,21 +140,43 @@ def attributes(node: Node) -> dict[str, str]:
 
 
 def seen(node: Node) -> bool:
-    """Whether an element shows: by its tag, ``hidden``, inline style, and closed ``dialog``."""
+    """Whether an element has a box: by its tag, ``hidden``, ``display``, and closed ``dialog``."""
     if node.tag in UNSEEN:
         return False
     if len(node.attributes) < 4:
         return node.tag != "dialog"
     a = attributes(node)
-    if "hidden" in a or _HIDING.search(a.get("style", "")) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+    if "hidden" in a or _NO_DISPLAY.search(a.get("style", "")) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
     return node.tag != "dialog" or "open" in a
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text shows; unlike a missing box this can be undone further in."""
+    if len(node.attributes) < 4:
+        return inherited
+    said = _VISIBILITY.findall(attributes(node).get("style", ""))
+    return said[-1].lower() == "visible" if said else inherited
+
+
+def _run(task: Generator):
+    """The result of a task that yields the tasks it waits for: pages nest deeper than Python calls may."""
+    waiting, value = [task], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+    return value
+
+
 class _Page:
     """Lines under construction: ``gap`` is what is owed before the next text (0 nothing, 1 a line end, 2 a blank line)."""
 
-    def __init__(self):
+    def __init__(self, shown: bool = True, nested: int = 0):
+        self.shown, self.nested = shown, nested
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap, self.space, self.indent, self.mark = 0, False, "", ""
@@ -179,7 +200,12 @@ class _Page:
             self.mark = ""
             self.space = False
 
+    def deeper(self, indent: str, by: int) -> str:
+        return indent + " " * by if len(indent) + by <= INDENT else indent.ljust(by)
+
     def text(self, value: str) -> None:
+        if not self.shown:
+            return
         words = _BLANK.split(value)
         if words[0] == "" and len(words) > 1 and self.now:
             self.space = True
@@ -198,81 +224,144 @@ class _Page:
                 self.now.append(line)
 
 
-def _rows(table: Node) -> list[list[Node]]:
+def _rows(table: Node, shown: bool) -> list[list[tuple[Node, bool]]]:
+    """The cells of each row that has a box, each with whether its own text shows."""
     out = []
-    todo = [iter(table.children)]
+    todo = [(iter(table.children), shown)]
     while todo:
-        child = next(todo[-1], None)
+        children, shown = todo[-1]
+        child = next(children, None)
         if child is None:
             todo.pop()
         elif isinstance(child, Node) and seen(child):
+            inside = visible(child, shown)
             if child.tag == "tr":
-                out.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and seen(c)])
+                out.append([(c, visible(c, inside)) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and seen(c)])
             elif child.tag in ("thead", "tbody", "tfoot"):
-                todo.append(iter(child.children))
+                todo.append((iter(child.children), inside))
     return out
 
 
-def _strays(page: _Page, node: Node) -> None:
+def _strays(page: _Page, node: Node) -> Generator:
     """What stands in a table, its groups and rows outside cells; it shows before the rows."""
+    before = page.shown
+    page.shown = visible(node, before)
     for child in node.children:
         if isinstance(child, str):
             page.text(child)
         elif not seen(child) or child.tag == "col" or (node.tag == "tr" and child.tag in ("td", "th")):
             continue
         elif child.tag == "colgroup" or (node.tag in ("table", "thead", "tbody", "tfoot") and child.tag in ("thead", "tbody", "tfoot", "tr")):
-            _strays(page, child)
+            yield _strays(page, child)
         else:
-            _walk(page, child, "")
+            yield _walk(page, child, "")
             page.block(1)
+    page.shown = before
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    said = _SPAN.match(attributes(cell).get(name, "")) if cell.attributes else None
+    return min(int(said[1]), most) if said else 1
+
+
+def _grid(rows: list[list[Node]]) -> list[list[int]]:
+    """The column that each cell of each row starts at, beside cells that reach over columns and down rows."""
+    out, reaching = [], []
+    for row in rows:
+        reaching = sorted((first, end, left) for first, end, left in reaching if left)
+        at, passed, here, new = 0, 0, [], []
+        for cell in row:
+            while passed < len(reaching) and reaching[passed][0] <= at:
+                at = max(at, reaching[passed][1])
+                passed += 1
+            end = at + max(1, _span(cell, "colspan", 1000))
+            if (down := _span(cell, "rowspan", 65534) or 65534) > 1:
+                new.append((at, end, down - 1))
+            here.append(at)
+            at = end
+        reaching = [(first, end, left - 1) for first, end, left in reaching] + new
+        out.append(here)
+    return out
 
 
-def _table(page: _Page, node: Node) -> None:
-    _strays(page, node)
-    cells = [[render_node(cell).split("\n") for cell in row] for row in _rows(node)]
-    widths: list[int] = []
-    for row in cells:
-        for i, cell in enumerate(row):
-            width = max((len(x) for x in cell if len(x) <= WIDEST), default=0)
-            widths[i : i + 1] = [max(width, widths[i] if i < len(widths) else 0)]
-    for row in cells:
+def _table(page: _Page, node: Node) -> Generator:
+    """Rows of cells, each under the start of its column; a cell over several columns widens none."""
+    yield _strays(page, node)
+    rows = _rows(node, page.shown)
+    if page.nested >= NESTED:
+        for row in rows:
+            for cell, shown in row:
+                page.block(1)
+                before, page.shown = page.shown, shown
+                yield _walk(page, cell, "")
+                page.shown = before
+        return
+    cells = []
+    for row in rows:
+        cells.append([])
+        for cell, shown in row:
+            cells[-1].append((yield _render(cell, shown, page.nested + 1)).split("\n"))
+    starts = _grid([[cell for cell, _ in row] for row in rows])
+    widths: dict[int, int] = {}
+    for row, texts, columns in zip(rows, cells, starts, strict=True):
+        for (cell, _), text, column in zip(row, texts, columns, strict=True):
+            width = max((len(x) for x in text if len(x) <= WIDEST), default=0) if _span(cell, "colspan", 1000) < 2 else 0
+            widths[column] = max(width, widths.get(column, 0))
+    left, offset = {}, 0
+    for column in sorted(widths):
+        left[column] = offset
+        offset += widths[column] + 2
+    before, page.shown = page.shown, True
+    for texts, columns in zip(cells, starts, strict=True):
         page.block(1)
-        for k in range(max((len(c) for c in row), default=0)):
-            line = "  ".join((c[k] if k < len(c) else "").ljust(widths[i]) for i, c in enumerate(row)).rstrip()
+        for k in range(max((len(t) for t in texts), default=0)):
+            line = ""
+            for text, column in zip(texts, columns, strict=True):
+                if k < len(text) and text[k]:
+                    line = line.ljust(left[column]) if len(line) + 2 <= left[column] or not line else line + "  "
+                    line += text[k]
             if line:
-                page.verbatim(line)
+                page.verbatim(line.rstrip())
                 page.flush()
+    page.shown = before
 
 
-def _walk(page: _Page, node: Node, kind: str) -> None:
+def _walk(page: _Page, node: Node, kind: str) -> Generator:
     """``kind``: the list a child ``li`` stands in."""
     tag = node.tag
+    outside = page.shown
+    page.shown = visible(node, outside)
     if tag == "br":
         page.flush() if page.now else page.block(2)
-        return
-    if tag == "hr":
+    elif tag == "hr":
         page.block(1)
-        page.verbatim("---")
+        if page.shown:
+            page.verbatim("---")
         page.block(1)
-        return
-    if tag == "img":
+    elif tag == "img":
         if alt := attributes(node).get("alt"):
             page.text(alt)
-        return
+    else:
+        yield _inside(page, node, kind)
+    page.shown = outside
+
+
+def _inside(page: _Page, node: Node, kind: str) -> Generator:
+    tag = node.tag
     if tag in BLOCK:
         page.block(2 if tag in SPACED and not (tag in ("ul", "ol") and kind) else 1)
     before, mark = page.indent, page.mark
     if tag == "table":
-        _table(page, node)
+        yield _table(page, node)
     elif tag == "pre":
-        page.verbatim("".join(_strings(node)).removeprefix("\n"))
+        page.verbatim("".join(_strings(node, page.shown)).removeprefix("\n"))
     else:
         number = 1
         if tag == "ol":
             start = attributes(node).get("start", "")
             number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
         if tag == "blockquote":
-            page.indent += "  "
+            page.indent = page.deeper(page.indent, 2)
         shut = tag == "details" and "open" not in attributes(node)
         inner = tag if tag in ("ul", "ol", "menu") else kind if tag not in ("li", "td", "th", "div") else ""
         for child in node.children:
@@ -284,12 +373,12 @@ def _walk(page: _Page, node: Node, kind: str) -> None:
                     page.block(1)
                     outer = page.indent
                     page.mark = f"{number}. " if tag == "ol" else "- "
-                    page.indent = outer + " " * len(page.mark)
+                    page.indent = page.deeper(outer, len(page.mark))
                     number += 1
-                    _walk(page, child, "li")
+                    yield _walk(page, child, "li")
                     page.indent, page.mark = outer, ""
                 else:
-                    _walk(page, child, kind if tag == "li" else inner)
+                    yield _walk(page, child, kind if tag == "li" else inner)
     page.indent = before
     if mark != page.mark and mark:
         page.mark = page.mark and mark
@@ -299,23 +388,29 @@ def _walk(page: _Page, node: Node, kind: str) -> None:
         page.space = True
 
 
-def _strings(node: Node) -> Iterator[str]:
-    for child in node.children:
-        if isinstance(child, str):
-            yield child
+def _strings(node: Node, shown: bool) -> Iterator[str]:
+    todo = [(iter(node.children), shown)]
+    while todo:
+        children, shown = todo[-1]
+        child = next(children, None)
+        if child is None:
+            todo.pop()
+        elif isinstance(child, str):
+            if shown:
+                yield child
         elif child.tag == "br":
             yield "\n"
         elif seen(child):
-            yield from _strings(child)
+            todo.append((iter(child.children), visible(child, shown)))
 
 
-def render_node(node: Node) -> str:
-    page = _Page()
+def _render(node: Node, shown: bool, nested: int) -> Generator:
+    page = _Page(shown, nested)
     for child in node.children:
         if isinstance(child, str):
             page.text(child)
         elif seen(child):
-            _walk(page, child, "")
+            yield _walk(page, child, "")
     page.flush()
     return "\n".join(page.lines)
 
@@ -323,7 +418,7 @@ def render_node(node: Node) -> str:
 def render(page: str) -> str:
     """All visible text of a page, laid out."""
     root = tree(page)
-    return render_node(root) if seen(root) else ""
+    return _run(_render(root, visible(root, True), 0)) if seen(root) else ""
 
 
 def extract(pages: DataFrame, source: str = "html", column: str = "text") -> DataFrame:

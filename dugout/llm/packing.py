@@ -1,9 +1,8 @@
 """Length buckets of least padding, and token-budget batches inside each bucket.
 
-Lengths are counted over all rows into a histogram of cells (exact up to ``FINE``, then ``STEPS`` cells an
-octave, so it has a few thousand cells however long the texts and however many the rows). A dynamic programme
-over the cells chooses the bucket boundaries that minimise padding: every text of a bucket is padded to the
-longest length of its bucket. Batches then take ``budget // boundary`` texts of a bucket, in an order that is
+Rows are counted by exact length over the whole table. A dynamic programme over the distinct lengths chooses the
+bucket boundaries that minimise padding: every text of a bucket is padded to the longest length of its bucket. n
+distinct lengths need at least n * n / 2 words, so even 100 TB have a few million of them. Batches then take ``budget // boundary`` texts of a bucket, in an order that is
 random but fixed (md5 of the id).
 """
 
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from dugout.llm.common import stored
 
 BUCKETS, BUDGET = 8, 16384
-FINE, STEPS = 1024, 256
 #: Rows that one window partition numbers, about.
 PART_ROWS = 50_000
 
@@ -26,38 +24,47 @@ def word_count(text):
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+")))
 
 
-def cell(length):
-    """Histogram cell of a length, as the longest length that falls in it."""
-    width = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(FINE)).cast("double"))) - int(np.log2(STEPS)))
-    return F.when(length <= FINE, length).otherwise((F.ceil(length / width) * width)).cast("bigint")
+def boundaries(lengths: np.ndarray, rows: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+    """Bucket boundaries (longest lengths) of least total padding, for distinct ``lengths`` and the ``rows`` of each.
 
-
-def boundaries(cells: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
-    """Bucket boundaries (longest lengths) of least total padding; ``cells``: (longest length, rows, summed lengths).
-
-    best[k][j]: least padding of the first j cells in k buckets. Of equal choices the one with fewer buckets and
-    then the longer last bucket is taken.
+    Bucket by bucket the least padded length of the first j lengths is the least of i -> best[i] + top[j] * (rows[j] - rows[i]):
+    lines in top[j] whose slopes fall with i, asked in ascending order, so their lower hull answers each in constant
+    time. Whole numbers, no rounding. Of equal choices the one with fewer buckets and then the longer last bucket is taken.
     """
-    cells = sorted(cells)
-    n = len(cells)
+    order = np.argsort(lengths)
+    top = np.asarray(lengths)[order].tolist()
+    upto = [0, *np.cumsum(np.asarray(rows)[order], dtype=np.int64).tolist()]
+    n = len(top)
     if not n:
         return []
-    top = np.array([c[0] for c in cells], np.float64)
-    rows = np.concatenate(([0], np.cumsum([c[1] for c in cells], dtype=np.float64)))
-    best, choice = np.full(n + 1, np.inf), []
-    best[0] = 0
-    finals = []
+    best: list[int | None] = [0] + [None] * n
+    choice, finals = [], []
     for _ in range(min(buckets, n)):
-        after, pick = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        after: list[int | None] = [None] * (n + 1)
+        pick = np.zeros(n + 1, np.int32)
+        hull: list[int] = []
+        at = 0
         for j in range(1, n + 1):
-            # The summed lengths are the same for every choice, so padded length is minimised.
-            cost = best[:j] + top[j - 1] * (rows[j] - rows[:j])
-            pick[j] = int(cost.argmin())
-            after[j] = cost[pick[j]]
+            if best[j - 1] is not None:
+                new = j - 1
+                while len(hull) - at > 1:
+                    # The last line goes when it is above the crossing of its neighbours, and only then: ties stay.
+                    a, b = hull[-2], hull[-1]
+                    if (best[b] - best[a]) * (upto[new] - upto[b]) <= (best[new] - best[b]) * (upto[b] - upto[a]):
+                        break
+                    hull.pop()
+                hull.append(new)
+            if len(hull) == at:
+                continue
+            x = top[j - 1]
+            while at + 1 < len(hull) and best[hull[at + 1]] - x * upto[hull[at + 1]] < best[hull[at]] - x * upto[hull[at]]:
+                at += 1
+            pick[j] = hull[at]
+            after[j] = best[hull[at]] + x * (upto[j] - upto[hull[at]])
         best = after
         choice.append(pick)
         finals.append(best[n])
-    k, j, out = int(np.argmin(finals)), n, []
+    k, j, out = finals.index(min(finals)), n, []
     while j:
         out.append(int(top[j - 1]))
         j = int(choice[k][j])
@@ -75,12 +82,11 @@ def pack(docs: DataFrame, length, doc_id: str = "doc_id", buckets: int = BUCKETS
     counts as the text "null". An empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(length, F.lit(0)).cast("bigint").alias("n_tokens"))
-    rows = stored(rows.withColumn("cell", cell(F.col("n_tokens"))), "lengths")
-    histogram = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("top"))
-    # A few thousand cells at most: see the module's note.
-    cells = [(r["top"], r["rows"], r["total"]) for r in histogram.collect()]
-    total = sum(c[1] for c in cells)
-    edges = boundaries(cells, buckets) or [0]
+    rows = stored(rows, "lengths")
+    # One row a distinct length: see the module's note.
+    histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows")).toPandas()
+    total = int(histogram["rows"].sum())
+    edges = boundaries(histogram["n_tokens"].to_numpy(), histogram["rows"].to_numpy(), buckets) or [0]
     digits = 1
     while total / (16**digits * len(edges)) > PART_ROWS / 2 and digits < 6:
         digits += 1
@@ -88,7 +94,7 @@ def pack(docs: DataFrame, length, doc_id: str = "doc_id", buckets: int = BUCKETS
     for edge in edges[:-1]:
         bucket = bucket + F.when(F.col("n_tokens") > edge, 1).otherwise(0)
     tops = F.array(*[F.lit(e).cast("bigint") for e in edges])
-    rows = rows.drop("cell").withColumn("bucket", bucket).withColumn("boundary", F.element_at(tops, F.col("bucket") + 1))
+    rows = rows.withColumn("bucket", bucket).withColumn("boundary", F.element_at(tops, F.col("bucket") + 1))
     rows = rows.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = rows.withColumn("part", F.substring("place", 1, digits))
     parts = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("rows"))

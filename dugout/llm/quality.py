@@ -161,16 +161,22 @@ def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in slices(batches, "text"):
         x = statistics(*text_bytes(batch.column("text")))
         values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), values], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), values, batch.column("place")], ["label", "x", "place"])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """A model of ``labels`` (doc_id, 0/1); a null label or id teaches nothing, repeated labels count by their majority (a tie: 1)."""
+    """A model of ``labels`` (doc_id, 0/1); a null label or id teaches nothing, repeated labels count by their majority (a tie: 1).
+
+    At most ``sample_rows`` labelled ids are looked for, and at most so many of their rows teach, chosen by hashes: an id
+    that many rows share sends no more. Without any row to learn from, every text scores 0.5.
+    """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id"))
     rows = rows.agg(F.round(F.avg(label)).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     # At most ``sample_rows`` ids.
-    taught = docs.join(F.broadcast(rows), docs[doc_id] == rows["_id"]).select(F.col(text).alias("text"), "label")
-    found = taught.mapInArrow(_with_statistics, "label int, x array<double>").toPandas()
+    taught = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(rows), F.col("_doc") == F.col("_id"))
+    taught = taught.select("text", "label", F.xxhash64("_id", "text").alias("place"))
+    taught = taught.mapInArrow(_with_statistics, "label int, x array<double>, place bigint")
+    found = taught.orderBy("place", "label").limit(sample_rows).toPandas()
     x = np.array(found["x"].tolist(), np.float64).reshape(len(found), len(STATISTICS))
     order = np.lexsort(x.T)
     return fit(x[order], found["label"].to_numpy(np.float64)[order])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dugout.llm import ann, bpe, chat, exact, langid, layout, lm, packing, quality, setjoin
 from dugout.llm.common import text_bytes
-from dugout.llm.queries import OP4_SQL, tokenizer_ranks
+from dugout.llm.queries import tokenizer_ranks
 from dugout.llm.words import shingle_sets
 
 LONG = " ".join(f"w{i % 97}" for i in range(30_000))
@@ -193,10 +193,37 @@ def test_boundaries_are_best():
     r = random.Random(1)
     for _ in range(20):
         lengths = sorted(r.sample(range(1, 60), 8))
-        cells = [(n, r.randint(1, 9), 0) for n in lengths]
-        cost = lambda edges: sum(c * min(e for e in edges if e >= n) for n, c, _ in cells)
+        counts = [r.randint(1, 9) for _ in lengths]
+        cost = lambda edges: sum(c * min(e for e in edges if e >= n) for n, c in zip(lengths, counts, strict=True))
         best = min(cost((*some, lengths[-1])) for some in combinations(lengths[:-1], 2))
-        assert cost(packing.boundaries(cells, 3)) == best
+        assert cost(packing.boundaries(np.array(lengths), np.array(counts), 3)) == best
+
+
+def _every_boundary(lengths, counts, buckets):
+    """Least padded length and its boundaries by trying every predecessor; the first of equal ones, fewest buckets first."""
+    n, upto = len(lengths), np.concatenate(([0], np.cumsum(counts))).tolist()
+    best, found = {0: (0, [])}, []
+    for _ in range(min(buckets, n)):
+        best = {
+            j: min(((best[i][0] + lengths[j - 1] * (upto[j] - upto[i]), i) for i in range(j) if i in best), default=None) and
+            (lambda c, i: (c, best[i][1] + [lengths[j - 1]]))(*min((best[i][0] + lengths[j - 1] * (upto[j] - upto[i]), i) for i in range(j) if i in best))
+            for j in range(1, n + 1) if any(i in best for i in range(j))}
+        if n in best:
+            found.append(best[n])
+    return min(found, key=lambda f: f[0])[1]
+
+
+@pytest.mark.parametrize("most", [9, 60, 20_000, 10**9])
+def test_boundaries_of_any_length(most):
+    r = random.Random(most)
+    for buckets in (1, 2, 5, 8):
+        for kinds in (1, 3, 40, 160):
+            lengths = sorted(r.sample(range(most + 1), min(kinds, most)))
+            counts = [r.choice((1, 1, 2, 5, 1000)) for _ in lengths]
+            mixed = list(zip(lengths, counts, strict=True))
+            r.shuffle(mixed)
+            got = packing.boundaries(np.array([m[0] for m in mixed]), np.array([m[1] for m in mixed]), buckets)
+            assert got == _every_boundary(lengths, counts, buckets)
 
 
 def test_quality(spark, edge, none):
@@ -215,6 +242,15 @@ def test_quality(spark, edge, none):
     assert quality.predict(quality.fit(np.zeros((0, 3)), np.zeros(0)), np.zeros((2, 3))) == pytest.approx([0.5, 0.5])
 
 
+def test_quality_takes_a_bounded_number_of_rows(spark, monkeypatch):
+    docs = spark.range(500).select(F.lit(1).alias("doc_id"), F.concat(F.lit("row "), "id").alias("text"), F.lit(None).cast("long").alias("place"))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(x.shape))
+    quality.train(docs, docs.limit(1).select("doc_id", F.lit(1).alias("label")), sample_rows=40)
+    quality.train(docs.limit(0), docs.limit(1).select("doc_id", F.lit(1).alias("label")), sample_rows=40)
+    assert [n for n, _ in seen] == [40, 0]
+
+
 def test_language_model_is_a_distribution():
     hashes = np.arange(1, 3000, dtype=np.uint64)
     v = lm.Vocabulary(hashes, np.arange(len(hashes), 0, -1, dtype=np.int64), 50, int(sum(range(len(hashes) + 1))) + 50, len(hashes) + 1)
@@ -367,6 +403,23 @@ def test_layout_keeps_text_outside_cells():
     assert layout.render("<div>" * 300 + "<svg/>deep<table><tr><td>cell") == "deep\n\ncell"
 
 
+def test_layout_visibility_depth_and_spans():
+    assert layout.render("İ" * 20 + "<script>x</script>abc<b>def</b> ghi") == "İ" * 20 + "abcdef ghi"
+    assert layout.render("İ<STYLE>p{}</ſtyle>no</Style><p>next</p>") == "İ\n\nnext"
+    assert layout.render("<div style='visibility:hidden'>a<b style='visibility: visible'>B</b>c<hr><img alt=no></div>d") == "B\nd"
+    assert layout.render("<div style='display:none'>a<b style='visibility:visible;display:block'>B</b></div>d") == "d"
+    assert layout.render("<pre style='visibility:hidden'>a<i style='visibility:visible'>b</i>c</pre>") == "b"
+    assert layout.render("<table><tr><td style='visibility:hidden'>wide<td>x<tr style='visibility:hidden'><td>no<td style='visibility:visible'>y</table>") == "  x\n  y"
+    inside = "<p hidden>secret</p><noscript>nos</noscript><span style='display:none'>x</span>shown"
+    assert layout.render("<div>" * 250 + inside) == layout.render("<b><div>" * 50_000 + inside) == "shown"
+    assert layout.render("<table><tr><th colspan=2>ab<th>c<tr><td>1<td>2222<td>3</table>") == "ab       c\n1  2222  3"
+    assert layout.render("<table><tr><td rowspan=2>r<td>x<td>y<tr><td>p<td>q<tr><td>s</table>") == "r  x  y\n   p  q\ns"
+    assert layout.render("<table><tr><td rowspan=0>r<td>x<tr><td colspan=x>p<tr><td>q</table>") == "r  x\n   p\n   q"
+    # However deep tables, lists and quotes are nested, all their text shows.
+    for page in ("<table><tr><td>t ", "<ul><li>t ", "<blockquote>t ", "<ol><li><table><td>t<td>t "):
+        assert layout.render(page * 300).split().count("t") == 300 * page.count("t<") + 300 * page.count("t ")
+
+
 def test_chat_trees(spark):
     rows = [("t", 1, None, 0.0, "user", "hi"), ("t", 2, 1, 1.0, "assistant", "a<b\\l"), ("t", 3, 1, 5.0, "assistant", "best"), ("t", 4, 3, 0.0, "user", None),
             ("t", 5, 2, 0.5, "user", "x"), ("t", 9, 77, None, None, "orphan"), ("c", 1, 2, 0.0, "user", "cycle"), ("c", 2, 1, 0.0, "user", "cycle"), ("t", None, 1, 0.0, "user", "no id")]
@@ -407,4 +460,8 @@ def test_neighbours(spark):
     same = [v for v in near if 100 < v < 140]
     assert same == list(range(101, 101 + len(same))) and len(same) >= 8
     assert ann.nearest(table.limit(0), 10, 20).count() == 0
+    # Products of long vectors are summed in another order for the floor than for the result; none may fall below it.
+    rows = [(i, (v * 1e4).tolist()) for i, v in enumerate(rng.normal(0, 1, (400, 64)))]
+    long = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 20)
+    assert long.groupBy("query_id").count().where("count = 10").count() == 20
     assert ann.nearest(table.where("vec_id in (0, 7)"), 10, 20).count() == 1
