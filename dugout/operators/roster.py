@@ -4,6 +4,9 @@ Players are first reduced to the few best per (day, pool, cost), which is at mos
 ``budget * picks`` rows however many players a day has. What is left of a day fits one row of
 arrays indexed by cost, and the knapsack steps are array expressions on that row: no pairs of
 players are ever joined.
+
+A cell of a step is one whole number: the points so far, the cost spent before the step, and which
+of two ways led here. A pass back over the cells of the winner alone names its players.
 """
 
 from __future__ import annotations
@@ -17,9 +20,15 @@ from dugout.model import DH, RELIEVER, ROSTER_FIELD_SLOTS, STARTER
 DEFAULT_BUDGET = 40
 LARGEST_BUDGET = 999
 STARTERS, RELIEVERS = 2, 3
+#: Field slots come first, in their order.
+POOLS = (*ROSTER_FIELD_SLOTS, DH, STARTER, RELIEVER)
 PICK = "STRUCT<slot: STRING, player: STRING, lp: INT, cost: INT>"
-CELL = f"STRUCT<lp: INT, picks: ARRAY<{PICK}>>"
-ROW = f"ARRAY<{CELL}>"
+#: Best points of some picks of one pool, and the places of those picks in its list, 12 bits each and counted from 1.
+CHOICE = "STRUCT<lp: INT, code: BIGINT>"
+CODE_BITS = 12
+#: points << 11 | cost spent before << 1 | way.
+CELLS = "ARRAY<BIGINT>"
+CELL_BITS = 11
 
 
 def candidates(batters: DataFrame, pitchers: DataFrame, day: str = "game_date") -> DataFrame:
@@ -74,92 +83,80 @@ def best_per_cost(pool: DataFrame, budget: int) -> DataFrame:
     )
 
 
-def _plus(a: Column, b: Column) -> Column:
-    both = a.isNotNull() & b.isNotNull()
-    return F.when(
-        both,
-        F.struct(
-            (a["lp"] + b["lp"]).alias("lp"), F.concat(a["picks"], b["picks"]).alias("picks")
-        ),
-    ).cast(CELL)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _combine(a: Column, b: Column, budget: int) -> Column:
-    """Best sum of one cell of ``a`` and one of ``b`` for every total cost."""
-    return F.transform(
+def _choose(items: Column, most: int, budget: int) -> Column:
+    """Array of rows: best choice per cost of exactly 0, 1, .. ``most`` of ``items``."""
+    free = F.transform(
         F.sequence(F.lit(0), F.lit(budget)),
-        lambda c: F.array_max(
-            F.transform(F.sequence(F.lit(0), c), lambda i: _plus(F.get(a, i), F.get(b, c - i)))
-        ),
+        lambda c: F.when(c == 0, F.struct(F.lit(0).alias("lp"), F.lit(0).cast("bigint").alias("code"))).cast(CHOICE),
     )
+    zero = F.array(free, *[F.array_repeat(F.lit(None).cast(CHOICE), budget + 1)] * most).cast(f"ARRAY<ARRAY<{CHOICE}>>")
 
+    def take(rows: Column, item: Column) -> Column:
+        def row(n: int) -> Column:
+            kept = F.get(rows, F.lit(n))
+            if n == 0:
+                return kept
+            before = F.get(rows, F.lit(n - 1))
 
-def _either(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+            def better(x: Column, c: Column) -> Column:
+                old = F.get(before, c - item["cost"])
+                return F.greatest(x, F.when(
+                    (c >= item["cost"]) & old.isNotNull(),
+                    F.struct(
+                        (old["lp"] + item["lp"]).alias("lp"),
+                        (F.shiftleft(old["code"], CODE_BITS) + item["place"]).alias("code"),
+                    ),
+                ).cast(CHOICE))
 
+            return F.transform(kept, better)
 
-def _nothing(budget: int) -> Column:
-    """No pick: free, worth nothing."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(budget)),
-        lambda c: F.when(
-            c == 0, F.struct(F.lit(0).alias("lp"), F.array().cast(f"ARRAY<{PICK}>").alias("picks"))
-        ).cast(CELL),
-    )
+        return F.array(*[row(n) for n in range(most + 1)]).cast(f"ARRAY<ARRAY<{CHOICE}>>")
 
+    placed = F.transform(items, lambda x, i: F.struct(x["lp"].alias("lp"), x["cost"].alias("cost"), (i + 1).cast("bigint").alias("place")))
+    return F.aggregate(placed, zero, take)
 
-def _impossible(budget: int) -> Column:
-    return F.array_repeat(F.lit(None).cast(CELL), budget + 1)
 
+def _points(row: Column) -> Column:
+    """Points of a row of choices in the bits of a cell, dearest first."""
+    return F.reverse(F.transform(row, lambda x: F.shiftleft(x["lp"].cast("bigint"), CELL_BITS)))
 
-def _choose(items: Column, most: int, budget: int) -> Column:
-    """Array of rows: best value per cost with exactly 0, 1, .. ``most`` of ``items``."""
-    zero = F.array(_nothing(budget), *[_impossible(budget)] * most).cast(f"ARRAY<{ROW}>")
 
-    def take(rows: Column, item: Column) -> Column:
-        single = F.struct(
-            item["lp"].alias("lp"), F.array(item).cast(f"ARRAY<{PICK}>").alias("picks")
-        ).cast(CELL)
+def _spent(cells: Column, way: int) -> Column:
+    """Cells as what a next step starts from: the points, the cost as spent before, the way."""
+    return F.transform(
+        cells, lambda x, c: F.shiftleft(F.shiftright(x, CELL_BITS), CELL_BITS) + (c * 2 + way).cast("bigint")
+    )
 
-        def row(n: int) -> Column:
-            kept = F.get(rows, F.lit(n))
-            if n == 0:
-                return kept
-            before = F.get(rows, F.lit(n - 1))
-            return F.transform(
-                kept,
-                lambda x, c: F.greatest(
-                    x, F.when(c >= item["cost"], _plus(F.get(before, c - item["cost"]), single))
-                ),
-            )
 
-        return F.array(*[row(n) for n in range(most + 1)]).cast(f"ARRAY<{ROW}>")
+def _combine(cells: Column, way: int, points: Column, budget: int) -> Column:
+    """Best cell for every total cost: one of ``cells`` and one choice, whose ``points`` stand dearest first."""
+    def best(start: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(budget)),
+            lambda c: F.array_max(F.zip_with(
+                F.slice(start, F.lit(1), c + 1), F.slice(points, F.lit(budget + 1) - c, c + 1), lambda x, y: x + y
+            )),
+        )
 
-    return F.aggregate(items, zero, take)
+    return _bound(_spent(cells, way), best)
 
 
-def _as_slot(row: Column, index_to_slot) -> Column:
-    """Name the slot of each pick by its place in the list."""
-    return F.transform(
-        row,
-        lambda cell: F.when(
-            cell.isNotNull(),
-            F.struct(
-                cell["lp"].alias("lp"),
-                F.transform(
-                    cell["picks"],
-                    lambda p, i: F.struct(
-                        index_to_slot(p, i).alias("slot"), p["player"].alias("player"),
-                        p["lp"].alias("lp"), p["cost"].alias("cost"),
-                    ),
-                ).cast(f"ARRAY<{PICK}>").alias("picks"),
-            ),
-        ).cast(CELL),
-    )
+def _either(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
 
 
-def cost_rows(pool: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """Per day, the best roster for every exact total cost: (day, layer ARRAY<cell>)."""
+def cost_tables(pool: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """Per day with a player for every place: what each pool offers and the cells of each step.
+
+    day, lists (items of each pool), chosen (rows of choices of each pool), steps (cells after each field slot,
+    with no hitter chosen yet and with one of the slot's two players as hitter), hit, start, relief (cells after the
+    hitter, the starters and the relievers).
+    """
     best = best_per_cost(pool, budget)
     # The array work is heavy for its bytes: keep the days spread over all tasks, since adaptive
     # execution would merge such small partitions into one.
@@ -168,7 +165,7 @@ def cost_rows(pool: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     lists = best.groupBy("day", "pool").agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("pool").alias("slot"), "player", "lp", "cost"))
-        ).alias("items")
+        ).cast(f"ARRAY<{PICK}>").alias("items")
     )
     choices = lists.repartition(tasks, "day", "pool").withColumn(
         "rows",
@@ -178,57 +175,79 @@ def cost_rows(pool: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     )
     days = choices.groupBy("day").agg(
         *[
-            F.first(F.when(F.col("pool") == s, F.col("rows")), ignorenulls=True).alias(f"slot_{i}")
-            for i, s in enumerate((*ROSTER_FIELD_SLOTS, DH, STARTER, RELIEVER))
+            F.first(F.when(F.col("pool") == s, F.struct("items", "rows")), ignorenulls=True).alias(f"pool_{i}")
+            for i, s in enumerate(POOLS)
         ]
     )
     count = len(ROSTER_FIELD_SLOTS)
-    field = [F.col(f"slot_{i}") for i in range(count)]
-    ready = days.repartition(tasks, "day").filter(
-        F.concat(*[F.array(f.isNotNull()) for f in [*field, F.col(f"slot_{count + 1}"), F.col(f"slot_{count + 2}")]])
-        .eqNullSafe(F.array_repeat(F.lit(True), count + 2))
+    pools = [F.col(f"pool_{i}") for i in range(len(POOLS))]
+    ready = days.repartition(tasks, "day")
+    for i in (*range(count), count + 1, count + 2):
+        ready = ready.filter(pools[i].isNotNull())
+    nobody = F.array_repeat(F.lit(None).cast(CHOICE), budget + 1)
+    lists = F.array(*[p["items"] for p in pools])
+    chosen = F.array(*[
+        F.coalesce(p["rows"], F.array(nobody)) if i == count else p["rows"] for i, p in enumerate(pools)
+    ])
+    ready = ready.select("day", lists.alias("lists"), chosen.alias("chosen"))
+    free = F.transform(F.sequence(F.lit(0), F.lit(budget)), lambda c: F.when(c == 0, F.lit(0)).cast("bigint"))
+    none = F.array_repeat(F.lit(None).cast("bigint"), budget + 1)
+    step = f"STRUCT<free: {CELLS}, taken: {CELLS}>"
+    state = f"STRUCT<free: {CELLS}, taken: {CELLS}, steps: ARRAY<{step}>>"
+    start = F.struct(free.alias("free"), none.alias("taken"), F.array().cast(f"ARRAY<{step}>").alias("steps")).cast(state)
+    offers = F.transform(
+        F.slice("chosen", 1, count),
+        lambda rows: F.struct(_points(F.get(rows, F.lit(0))).alias("one"), _points(F.get(rows, F.lit(1))).alias("two")),
     )
-    # state[0]: no hitter chosen yet; state[1]: the hitter is one of the fielding slots so far.
-    start = F.array(_nothing(budget), _impossible(budget)).cast(f"ARRAY<{ROW}>")
 
-    def add_slot(state: Column, rows: Column) -> Column:
-        one = F.get(rows, F.lit(0))
-        two = _as_slot(
-            F.get(rows, F.lit(1)), lambda p, i: F.when(i == 1, F.lit(DH)).otherwise(p["slot"])
-        )
-        free, taken = F.get(state, F.lit(0)), F.get(state, F.lit(1))
-        return F.array(
-            _combine(free, one, budget),
-            _either(_combine(taken, one, budget), _combine(free, two, budget)),
-        ).cast(f"ARRAY<{ROW}>")
-
-    only_hitter = F.coalesce(
-        F.get(F.col(f"slot_{count}"), F.lit(0)), _impossible(budget)
-    )
-    batting = ready.select(
-        "day",
-        F.aggregate(F.array(*field), start, add_slot).alias("state"), only_hitter.alias("hitters"),
-        F.get(F.col(f"slot_{count + 1}"), F.lit(0)).alias("starters"),
-        F.get(F.col(f"slot_{count + 2}"), F.lit(0)).alias("relievers"),
-    )
-    # aggregate() binds each intermediate row to a name, so none is evaluated more than once.
-    steps = F.array(F.col("hitters"), F.col("starters"), F.col("relievers")).cast(f"ARRAY<{ROW}>")
-
-    def add_rest(state: Column, row: Column) -> Column:
-        free, taken, step = F.get(state["rows"], F.lit(0)), F.get(state["rows"], F.lit(1)), state["step"]
-        hit = _either(taken, _combine(free, row, budget))
-        return F.struct(
-            F.array(
-                _nothing(budget),
-                F.when(step == 0, hit).otherwise(_combine(taken, row, budget)),
-            ).cast(f"ARRAY<{ROW}>").alias("rows"),
-            (step + 1).alias("step"),
+    def add_slot(so_far: Column, offer: Column) -> Column:
+        new = F.struct(
+            _combine(so_far["free"], 0, offer["one"], budget).alias("free"),
+            _either(
+                _combine(so_far["taken"], 0, offer["one"], budget), _combine(so_far["free"], 1, offer["two"], budget)
+            ).alias("taken"),
         )
+        return _bound(new, lambda n: F.struct(
+            n["free"].alias("free"), n["taken"].alias("taken"), F.array_append(so_far["steps"], n).alias("steps")
+        )).cast(state)
+
+    batting = ready.select("day", "lists", "chosen", F.aggregate(offers, start, add_slot).alias("field"))
+
+    def offered(place: int) -> Column:
+        return _points(F.get(F.get(F.col("chosen"), F.lit(place)), F.lit(0)))
+
+    def with_pool(name: str, cells: str, place: int, df: DataFrame) -> DataFrame:
+        return df.withColumn(name, _bound(offered(place), lambda points: _combine(F.col(cells), 0, points, budget)))
+
+    hit = _bound(offered(count), lambda points: _either(_spent(F.col("field.taken"), 0), _combine(F.col("field.free"), 1, points, budget)))
+    out = batting.withColumn("hit", hit).withColumn("steps", F.col("field.steps")).drop("field")
+    out = with_pool("start", "hit", count + 1, out)
+    return with_pool("relief", "start", count + 2, out)
+
 
-    final = F.aggregate(
-        steps, F.struct(F.col("state").alias("rows"), F.lit(0).alias("step")), add_rest
+def _before(cell: Column) -> Column:
+    return F.shiftright(cell, 1).bitwiseAND(F.lit((1 << CELL_BITS - 1) - 1).cast("bigint")).cast("int")
+
+
+def _way(cell: Column) -> Column:
+    return cell.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def _named(place: Column, number: Column, cost: Column, hitter: Column) -> Column:
+    """The players of one choice; ``hitter``: the second of them is the designated hitter."""
+    code = F.get(F.get(F.get(F.col("chosen"), place), number), cost)["code"]
+    items = F.get(F.col("lists"), place)
+    places = F.filter(
+        F.transform(
+            F.array(*[F.lit(k * CODE_BITS) for k in range(RELIEVERS)]),
+            lambda by: F.call_function("shiftright", code, by).bitwiseAND(F.lit((1 << CODE_BITS) - 1).cast("bigint")).cast("int"),
+        ),
+        lambda at: at > 0,
     )
-    return batting.select("day", F.get(final["rows"], F.lit(1)).alias("layer"))
+    return F.transform(places, lambda at, i: _bound(F.get(items, at - 1), lambda p: F.struct(
+        F.when(hitter & (i == 1), F.lit(DH)).otherwise(p["slot"]).alias("slot"),
+        p["player"].alias("player"), p["lp"].alias("lp"), p["cost"].alias("cost"),
+    ).cast(PICK)))
 
 
 def best_rosters(
@@ -238,33 +257,56 @@ def best_rosters(
     budgets = [int(b) for b in budgets]
     if not budgets or min(budgets) < 1 or max(budgets) > LARGEST_BUDGET:
         raise ValueError(f"budgets must be 1..{LARGEST_BUDGET}: {budgets}")
-    layer = cost_rows(pool, max(budgets))
-    cells = layer.select("day", F.posexplode("layer").alias("total_cost", "cell")).filter(
-        F.col("cell").isNotNull()
-    )
+    tables = cost_tables(pool, max(budgets))
     limit = F.explode(F.array(*[F.lit(b) for b in sorted(set(budgets))])).alias("budget")
-    return (
-        cells.select("day", "total_cost", "cell", limit)
-        .filter(F.col("total_cost") <= F.col("budget"))
-        .groupBy("day", "budget")
-        .agg(
-            F.max_by(
-                F.struct("total_cost", "cell"),
-                F.struct(F.col("cell.lp"), (-F.col("total_cost")).alias("cheap")),
-            ).alias("b")
-        )
-        .select(
-            "day", "budget", F.col("b.cell.lp").alias("total_lp"),
-            F.col("b.total_cost").alias("total_cost"), F.col("b.cell.picks").alias("roster"),
-        )
+    totals = F.transform(
+        F.slice("relief", F.lit(1), F.col("budget") + 1),
+        lambda x, c: F.when(x.isNotNull(), F.struct(F.shiftright(x, CELL_BITS).cast("int").alias("lp"), (-c).alias("cheap"))),
+    )
+    won = tables.select("*", limit).withColumn("best", F.array_max(totals)).filter(F.col("best").isNotNull())
+    # Back from the last step to the first: what each place cost, and what was spent before it.
+    count = len(ROSTER_FIELD_SLOTS)
+    won = won.withColumn("at_relief", -F.col("best.cheap"))
+    for cells, at, before in (("relief", "at_relief", "at_start"), ("start", "at_start", "at_hit")):
+        won = won.withColumn(before, _before(F.get(F.col(cells), F.col(at))))
+    won = won.withColumn("hit_cell", F.get(F.col("hit"), F.col("at_hit")))
+    won = won.withColumn("at_field", _before(F.col("hit_cell"))).withColumn("own_hitter", _way(F.col("hit_cell")))
+    one = "STRUCT<place: INT, cost: INT, two: BOOLEAN>"
+    state = f"STRUCT<at: INT, taken: BOOLEAN, picks: ARRAY<{one}>>"
+    start = F.struct(
+        F.col("at_field").alias("at"), (~F.col("own_hitter")).alias("taken"), F.array().cast(f"ARRAY<{one}>").alias("picks")
+    ).cast(state)
+
+    def back(so_far: Column, place: Column) -> Column:
+        step = F.get(F.col("steps"), place)
+        cell = F.when(so_far["taken"], F.get(step["taken"], so_far["at"])).otherwise(F.get(step["free"], so_far["at"]))
+
+        def earlier(c: Column) -> Column:
+            two = so_far["taken"] & _way(c)
+            pick = F.struct(place.alias("place"), (so_far["at"] - _before(c)).alias("cost"), two.alias("two"))
+            return F.struct(
+                _before(c).alias("at"), (so_far["taken"] & ~two).alias("taken"),
+                F.array_prepend(so_far["picks"], pick.cast(one)).alias("picks"),
+            )
+
+        return _bound(cell, earlier).cast(state)
+
+    won = won.withColumn("field", F.aggregate(F.sequence(F.lit(count - 1), F.lit(0), F.lit(-1)), start, back)["picks"])
+    no = F.lit(False)
+    roster = F.concat(
+        F.flatten(F.transform("field", lambda p: _named(p["place"], p["two"].cast("int"), p["cost"], p["two"]))),
+        F.when(F.col("own_hitter"), _named(F.lit(count), F.lit(0), F.col("at_hit") - F.col("at_field"), no))
+        .otherwise(F.array().cast(f"ARRAY<{PICK}>")),
+        _named(F.lit(count + 1), F.lit(0), F.col("at_start") - F.col("at_hit"), no),
+        _named(F.lit(count + 2), F.lit(0), F.col("at_relief") - F.col("at_start"), no),
     )
+    return won.select("day", "budget", F.col("best.lp").alias("total_lp"), F.col("at_relief").alias("total_cost"), roster.alias("roster"))
 
 
 def roster_rows(rosters: DataFrame) -> DataFrame:
     """One row per pick, in slot order."""
-    order = (*ROSTER_FIELD_SLOTS, DH, STARTER, RELIEVER)
     place = None
-    for i, slot in enumerate(order):
+    for i, slot in enumerate(POOLS):
         place = F.when(F.col("slot") == slot, i) if place is None else place.when(F.col("slot") == slot, i)
     picks = rosters.select("day", "budget", F.posexplode("roster").alias("pick", "p")).select(
         "day", "budget", "pick", "p.*"
