@@ -187,6 +187,40 @@ def pitcher_category_items(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     return rows.select(*keep, item).select(*keep, "i.*")
 
 
+def _category_points(categories, weights: dict[str, int]) -> Column:
+    """One entry per category: the points of its items in this row."""
+    def points(item: Column) -> Column:
+        return F.coalesce(item["points"], F.lit(0)).cast("bigint")
+
+    cells: dict[str, Column] = {}
+    for entry in categories:
+        group, item = entry[0], F.get(_items((entry,), weights), F.lit(0))
+        cells[group] = cells[group] + points(item) if group in cells else points(item)
+    return F.array(*[F.struct(F.lit(g).alias("category"), p.alias("points")) for g, p in cells.items()])
+
+
+def category_cube(batters: DataFrame, pitchers: DataFrame, sides: Sequence[str]) -> DataFrame:
+    """side, key, category, rows, points: category totals of every value of each of ``sides``, all in one pass.
+
+    A row's items are added up by category before anything is shuffled, so a row is ``len(sides)`` times its
+    categories, and partial sums leave each task once per key. A null key is told from the total of another side.
+    """
+    keep = list(sides)
+    starter = _category_points(PITCHER_CATEGORIES_SHARED + PITCHER_CATEGORIES_STARTER, PITCHER_WEIGHTS)
+    reliever = _category_points(PITCHER_CATEGORIES_SHARED + PITCHER_CATEGORIES_RELIEVER, PITCHER_WEIGHTS)
+    rows = batters.select(*keep, F.explode(_category_points(BATTER_CATEGORIES, BATTER_WEIGHTS)).alias("i")).unionByName(
+        pitchers.select(*keep, F.explode(F.when(F.col("role") == STARTER, starter).otherwise(reliever)).alias("i"))
+    ).select(*[F.col(k).cast("string").alias(k) for k in keep], F.col("i.category").alias("category"), F.col("i.points").alias("points"))
+    category = F.col("category")
+    cube = rows.groupingSets([[F.col(k), category] for k in keep], *[F.col(k) for k in keep], category).agg(
+        *[F.grouping(k).alias(f"without_{k}") for k in keep],
+        F.count(F.lit(1)).alias("rows"), F.sum("points").alias("points"),
+    )
+    side = F.coalesce(*[F.when(F.col(f"without_{k}") == 0, F.lit(k)) for k in keep])
+    key = F.coalesce(*[F.when(F.col(f"without_{k}") == 0, F.col(k)) for k in keep])
+    return cube.select(side.alias("side"), key.alias("key"), "category", "rows", "points")
+
+
 def category_totals(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Points per category. Outs repeat two running items, so totals may exceed the score."""
     return items.groupBy(*keys, "category").agg(F.sum("points").alias("points"))

@@ -802,6 +802,23 @@ def oracle_sql() -> dict[str, str]:
     sql["pitcher_export"] = f"""WITH {a},{ORDER_GAMES} SELECT strftime(og.game_date,'%Y-%m-%d') game_date, CASE WHEN side='home' THEN home_name ELSE away_name END team,
       CASE WHEN side='home' THEN away_name ELSE home_name END opponent, "role", count(*) AS "rows", CAST(sum({PIT_LP}) AS BIGINT) lp, CAST(max({PIT_LP}) AS BIGINT) best
       FROM pit JOIN og USING (game_id) GROUP BY ALL"""
+    team = """CASE WHEN side='home' THEN home_name ELSE away_name END team"""
+    pitched = f"""pg AS (SELECT pit.*, {PIT_LP} lp, og.game_date gd, {team}, CASE WHEN side='home' THEN away_name ELSE home_name END opponent FROM pit JOIN og USING (game_id))"""
+    p_export = ("H", "ER", "BB", "HBP", "K", "WP", "BK", "HOLD", "SAVE", "BLOWN", "QSPLUS", "QS", "CG", "SHO", "NOHIT", "PERFECT")
+    sql["pitcher_ranked_export"] = f"""WITH {a},{ORDER_GAMES},{pitched}
+      SELECT row_number() OVER (PARTITION BY gd ORDER BY lp DESC, right(game_id, 2), game_id, side, pos_idx, name, inn) AS "rank", name, "role", team, opponent,
+        strftime(gd,'%Y-%m-%d') game_date, lp, inn, {", ".join(q(c) for c in p_export)} FROM pg"""
+    cells = " UNION ALL ".join(
+        items_sql(rows, kinds, weights, "''").replace("SELECT game_id, name,", "SELECT rid, gd, team, name,")
+        for rows, kinds, weights in (
+            ("(SELECT * FROM nb)", BATTER_CATEGORIES, BW),
+            ("(SELECT * FROM pr WHERE \"role\"='선발')", PITCHER_CATEGORIES_SHARED + PITCHER_CATEGORIES_STARTER, PW),
+            ("(SELECT * FROM pr WHERE \"role\"='구원')", PITCHER_CATEGORIES_SHARED + PITCHER_CATEGORIES_RELIEVER, PW),
+        )
+    ).replace("SELECT rid,", "SELECT CAST(rid AS VARCHAR) rid,")
+    sql["category_cube"] = f"""WITH {named},{a},{pitched},pr AS MATERIALIZED (SELECT *, row_number() OVER () rid FROM pg),ce AS (SELECT rid, gd, team, name, category, sum(points) points FROM ({cells}) GROUP BY ALL)
+      SELECT CASE WHEN grouping(name)=0 THEN 'name' WHEN grouping(team)=0 THEN 'team' ELSE 'game_date' END side, coalesce(name, team, strftime(gd,'%Y-%m-%d')) "key",
+        category, count(*) AS "rows", CAST(sum(points) AS BIGINT) points FROM ce GROUP BY GROUPING SETS ((name, category), (team, category), (gd, category))"""
     sql["date_index"] = f"""WITH {named} SELECT 'kbo' league, strftime(gd,'%Y-%m-%d') game_date, count(*)//2 games FROM (SELECT DISTINCT gd, team, opponent FROM nb) GROUP BY ALL"""
     sql["date_labels"] = f"""WITH {ORDER_GAMES} SELECT strftime(game_date,'%Y-%m-%d') game_date, count(*) games, strftime(game_date,'%m월 %d일') AS label,
       strftime(game_date,'%Y-%m') AS "month", day(last_day(game_date)) days_in_month FROM og GROUP BY og.game_date"""

@@ -567,6 +567,19 @@ def pitcher_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(totals)
 
 
+def pitcher_ranked_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pitchers of each day in the order and columns of the export."""
+    rows = box.attach_game(_line_pitcher_rows(spark, sf_dir, "kbo"), b.order_games(spark, sf_dir))
+    ranked = boards.leaderboard(rows, ["game_date"], ["game_id", "side", "pos_idx", "name", "inn"], F.substring("game_id", -2, 2))
+    return tidy(boards.export(ranked, boards.PITCHER_EXPORT).drop("stadium"))
+
+
+def category_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category totals by player, by team and by day."""
+    pitchers = box.attach_game(_line_pitcher_rows(spark, sf_dir, "kbo"), b.order_games(spark, sf_dir))
+    return boards.category_cube(_named_batters(spark, sf_dir), pitchers, ["name", "team", "game_date"])
+
+
 def date_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(sinks.date_index(_named_batters(spark, sf_dir)))
 
@@ -750,7 +763,7 @@ ALL: dict[str, Query] = {
         second_league_batters, second_league_pitchers, split_lines,
         leaderboard, kth_threshold, player_history, history_scale, daily_tiles, text_search, position_filter,
         role_filter, month_and_cost_filter, hidden_columns, group_board, date_facts,
-        batter_export, pitcher_export, date_index, date_labels,
+        batter_export, pitcher_export, pitcher_ranked_export, category_cube, date_index, date_labels,
         roster_feasibility, optimal_roster_value, optimal_roster_check,
         calendar_days, calendar_rounds, todo_dates, games_of_days, active_window, status_gate,
         pregame_batters, pregame_pitchers, roster_pages, live_refresh,
