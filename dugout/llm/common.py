@@ -19,6 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as set it apart from the columns of ``df``, however they are cased."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lowered(text):
     """``text`` with A-Z (and nothing else) in lower case; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

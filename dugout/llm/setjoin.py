@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from dugout.llm.common import slices, stored, text_bytes
+from dugout.llm.common import free_name, slices, stored, text_bytes
 from dugout.llm.components import components
 from dugout.llm.words import mix, shingle_sets
 
@@ -339,5 +339,6 @@ def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     found = similar_sets(docs.select(key.alias("doc_id"), F.col(text).alias("text")))
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id.id").alias("_gone"), F.col("doc_id.sha").alias("_gone_sha"))
     gone = stored(gone.distinct(), "gone")
-    rows = docs.withColumn("_sha", sha)
-    return rows.join(gone, rows[doc_id].eqNullSafe(gone["_gone"]) & (rows["_sha"] == gone["_gone_sha"]), "left_anti").drop("_sha")
+    own = free_name(docs, "sha")
+    rows = docs.withColumn(own, sha)
+    return rows.join(gone, rows[doc_id].eqNullSafe(gone["_gone"]) & (rows[own] == gone["_gone_sha"]), "left_anti").drop(own)

@@ -142,6 +142,23 @@ def test_stages_decide_by_id_and_text(spark, monkeypatch):
     assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(((x[0], x[1]) for x in rows if x[1] != junk), key=str)
 
 
+def test_stages_keep_columns_of_any_name(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(quality, "train", lambda *a: quality.fit(np.zeros((0, len(quality.STATISTICS))), np.zeros(0)))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: spark.createDataFrame([], "doc_id long, quality int"))
+    names = ["_score", "score", "_key", "KEY", "_gone", "gone", "_sha", "sha", "__hash", "__norm", "n_tokens", "bucket", "place"]
+    docs = spark.createDataFrame([(1, "one text of some words here", "en", "s"), (2, None, "en", None), (None, "", "en", "s")], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for rows in (docs, docs.limit(0)):
+            kept = stage(spark, rows, "")
+            assert kept.columns == docs.columns
+            assert all(r[n] == n for r in kept.collect() for n in names)
+    sizes = corpus_pipeline.packed(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in sizes) == [("1", 6), ("2", 0), ("None", 0)]
+
+
 def test_shingles_of_chunks():
     texts = [LONG, "a b c", "", "A  B\tc d\x0be", "x" * 3_000_000 + " y z u v w"]
     got = shingle_sets(*text_bytes(pa.array(texts)))
