@@ -806,7 +806,7 @@ def oracle_sql() -> dict[str, str]:
     pitched = f"""pg AS (SELECT pit.*, {PIT_LP} lp, og.game_date gd, {team}, CASE WHEN side='home' THEN away_name ELSE home_name END opponent FROM pit JOIN og USING (game_id))"""
     p_export = ("H", "ER", "BB", "HBP", "K", "WP", "BK", "HOLD", "SAVE", "BLOWN", "QSPLUS", "QS", "CG", "SHO", "NOHIT", "PERFECT")
     sql["pitcher_ranked_export"] = f"""WITH {a},{ORDER_GAMES},{pitched}
-      SELECT row_number() OVER (PARTITION BY gd ORDER BY lp DESC, right(game_id, 2), game_id, side, pos_idx, name, inn) AS "rank", name, "role", team, opponent,
+      SELECT row_number() OVER (PARTITION BY gd ORDER BY lp DESC, CAST(right(game_id, 2) AS BIGINT), game_id, side, pos_idx, name, inn) AS "rank", name, "role", team, opponent,
         strftime(gd,'%Y-%m-%d') game_date, lp, inn, {", ".join(q(c) for c in p_export)} FROM pg"""
     cells = " UNION ALL ".join(
         items_sql(rows, kinds, weights, "''").replace("SELECT game_id, name,", "SELECT rid, gd, team, name,")

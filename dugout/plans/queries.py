@@ -570,7 +570,7 @@ def pitcher_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pitcher_ranked_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pitchers of each day in the order and columns of the export."""
     rows = box.attach_game(_line_pitcher_rows(spark, sf_dir, "kbo"), b.order_games(spark, sf_dir))
-    ranked = boards.leaderboard(rows, ["game_date"], ["game_id", "side", "pos_idx", "name", "inn"], F.substring("game_id", -2, 2))
+    ranked = boards.leaderboard(rows, ["game_date"], ["game_id", "side", "pos_idx", "name", "inn"], F.substring("game_id", -2, 2).cast("bigint"))
     return tidy(boards.export(ranked, boards.PITCHER_EXPORT).drop("stadium"))
 
 
