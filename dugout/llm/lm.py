@@ -3,10 +3,12 @@
 *Counts* come from every training row. *Vocabulary*: it grows with the counted words. A word seen ``OWN`` times has
 an entry of its own (``HEAD`` words at most); all others share entries by their hash, one for each ``SHARED`` tokens
 of theirs or up to twice as many, and are scored as that entry times their smoothed share of its words. So every word is context for its
-neighbours and is scored in context. Classes and words per class are the square root of the entries. *Network*:
-gated recurrent units; the output is a softmax over classes times a softmax inside the class of the word. It
-starts from the counted word shares. *Training*: truncated backpropagation through windows of ``WINDOW`` tokens,
-in rounds; in each, every task of the scan trains a copy on its rows and the copies are averaged, weighted by
+neighbours and is scored in context. Entries lie by frequency in cells, whose number and width grow with the square
+root of the entries. Each of the ``BROAD`` most frequent cells is a class; the others make up ``PLAIN`` classes. *Network*:
+word vectors projected to gated recurrent units; the output is a softmax over classes times a softmax inside the class of the word,
+which in the plain classes is its counted share (a rare word is told from its like by counts alone, its class by context). It
+starts from the counted word shares. *Training*: truncated backpropagation through windows of ``WINDOW`` tokens, over one stream
+of texts cut into equal lanes, in rounds; in each, every task of the scan trains a copy on its rows and the copies are averaged, weighted by
 tokens. Each round takes one of ``SHARES`` = ``ROUNDS`` equal shares of the training rows by a hash of the id, so
 the gradient sees every training row once. *Scoring*: texts lie end to end in lanes; windows of a lane hand
 the state on, and it is cleared only where a text begins, so a whole text is scored however long it is.
@@ -25,20 +27,28 @@ from pyspark.sql import DataFrame, functions as F
 from dugout.llm.common import crc_rest, slices, stored, text_bytes
 from dugout.llm.words import word_hashes
 
-#: The least classes and words per class; more words have more of both.
+#: The least cells and words in a cell; more words have more of both.
 CLASSES, PER_CLASS, HIDDEN = 32, 32, 32
+#: Components of a word's own vector; they are projected to the gates.
+INPUT = 24
+#: Cells of the most frequent words (the last ones) are classes with a softmax of their own; the cells of the others make
+#: up at most ``PLAIN`` classes, inside which a word has its counted share.
+BROAD, PLAIN = 64, 32
 #: Times a word is seen that has an entry of its own beyond the least ones; tokens for each entry of the other words.
 OWN, SHARED = 32, 128
 #: Words whose counts every task holds (16 bytes each); counts of the others are joined.
 HEAD = 1 << 18
 SMOOTH = 0.1
-WINDOW, LANES, SCORE_LANES = 24, 64, 128
+#: Lanes while learning: as many as leave ``WINDOWS`` updates for a slice, within these bounds.
+WINDOW, LANES, WINDOWS, SCORE_LANES = 24, (16, 256), 150, 128
 #: As many shares as rounds: together they take every training row.
 ROUNDS, STEP = 4, 8e-3
 SHARES = ROUNDS
 #: The end mark, and the first of the entries that words without one of their own share.
 END, OTHER = 0, 1
 _MOST_COUNTS = 1 << 22
+#: Tokens whose class probabilities are worked out at once: they stay in the cache.
+_BLOCK = 1024
 _LANE_BYTES = 16 << 20
 #: Far above what the network gives; keeps exp() finite without a pass for the largest.
 _MOST_LOGIT = np.float32(40)
@@ -99,15 +109,16 @@ class Vocabulary:
         inside, first = order[:own], OTHER + len(shared)
         tokens = shared[:, 0] - np.bincount(self.bits(words[inside]), counts[inside], len(shared))
         kinds = shared[:, 1] - np.bincount(self.bits(words[inside]), minlength=len(shared))
-        entries[inside] = np.arange(first, first + len(inside))
+        # The most frequent word has the last entry, so that the last classes are the frequent ones.
+        entries[inside] = np.arange(first + len(inside) - 1, first - 1, -1)
         sort = np.argsort(words)
         self.words, self.counts, self.entries, self.first = words[sort], counts[sort], entries[sort].astype(np.int32), first
         self.ends, self.total, self.distinct = ends, total, distinct
-        side = int(np.ceil(np.sqrt(first + len(inside))))
-        self.shape = max(CLASSES, side), max(PER_CLASS, side)
+        per_cell = max(PER_CLASS, int(np.ceil(np.sqrt(first + len(inside)) / 2)))
+        self.shape = max(CLASSES, -(-(first + len(inside)) // per_cell)), per_cell
         share = np.zeros(self.shape[0] * self.shape[1])
         share[END] = ends
-        share[first : first + len(inside)] = counts[inside]
+        share[first : first + len(inside)] = counts[inside][::-1]
         share[OTHER:first] = np.maximum(tokens, 0)
         self.outside = np.log10(np.maximum(tokens, 0) + SMOOTH * np.maximum(kinds, 0) + SMOOTH)
         share += SMOOTH
@@ -126,16 +137,27 @@ class Vocabulary:
         return at, self.words[at] == hashes
 
 
+def tops(cells: int, broad: int) -> np.ndarray:
+    """The class of each cell."""
+    plain = max(cells - broad, 0)
+    classes = min(PLAIN, plain)
+    return np.concatenate([np.arange(plain) * classes // max(plain, 1), classes + np.arange(cells - plain)])
+
+
 def start(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     """A network that gives every word its counted share."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    classes, per_class = vocabulary.shape
-    share = vocabulary.share.reshape(classes, per_class)
+    cells, per_cell = vocabulary.shape
+    share = vocabulary.share.reshape(cells, per_cell)
+    top = tops(cells, BROAD)
+    classes = int(top[-1]) + 1
+    broad = min(BROAD, cells)
+    whole = np.bincount(top, share.sum(axis=1), classes)
     f = np.float32
     return {
-        "E": rng.normal(0, 0.3, (classes * per_class, 3 * HIDDEN)).astype(f), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(f),
-        "C": np.zeros((HIDDEN, classes), f), "c": np.log(share.sum(axis=1)).astype(f),
-        "W": np.zeros((classes, HIDDEN, per_class), f), "w": np.log(share / share.sum(axis=1, keepdims=True)).astype(f),
+        "E": rng.normal(0, 1, (cells * per_cell, INPUT)).astype(f), "V": rng.normal(0, 0.3 * INPUT**-0.5, (INPUT, 3 * HIDDEN)).astype(f), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(f),
+        "C": np.zeros((HIDDEN, classes), f), "c": np.log(whole).astype(f),
+        "W": np.zeros((broad, HIDDEN, per_cell), f), "w": np.log(share / whole[top][:, None]).astype(f),
     }
 
 
@@ -169,6 +191,22 @@ def lanes_of(entries: np.ndarray, bounds: np.ndarray, most: int) -> tuple[np.nda
     return x, y, text, np.sort(length)[::-1]
 
 
+def stream_of(entries: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end as one stream cut into equal lanes, for learning: (input, target, whether a text begins, whether a token) by step and lane.
+
+    A text that goes on in the next lane is learned there from an empty state; no lane waits for the longest text.
+    """
+    n = len(entries)
+    lanes = min(max(n // (WINDOW * WINDOWS), LANES[0]), LANES[1])
+    steps = -(-n // lanes)
+    out = np.full((3, lanes * steps), END, np.int32)
+    out[0, 1:n], out[1, :n], out[2, bounds[:-1]] = entries[:-1], entries, 1
+    out[0, bounds[:-1]] = END
+    x, y, fresh = (np.ascontiguousarray(a.reshape(lanes, steps).T) for a in out)
+    live = np.ascontiguousarray((np.arange(lanes * steps) < n).reshape(lanes, steps).T)
+    return x, y, fresh.astype(bool), live
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.minimum(x, _MOST_LOGIT, out=x)
@@ -181,7 +219,7 @@ def _forward(m, x, fresh, h, keep: bool):
     """States after each step of a window; with ``keep`` also what the way back needs."""
     steps, wide = x.shape
     H = HIDDEN
-    given = m["E"][x]
+    given = (m["E"][x.ravel()] @ m["V"]).reshape(steps, wide, 3 * H)
     out = np.empty((steps, wide, H), np.float32)
     saved = [np.empty((steps, wide, k * H), np.float32) for k in (2, 1, 1, 1)] if keep else None
     for t in range(steps):
@@ -202,42 +240,71 @@ def _forward(m, x, fresh, h, keep: bool):
 def _output(m, h, y, grad: bool, each=None):
     """Natural log probability of each target given its state; with ``grad`` also the gradients of their negative sum.
 
-    ``each``, if given, gets (class, its W gradient, its w gradient) as they come, for the classes that have targets.
+    ``each``, if given, gets (cell, its W gradient, its w gradient) as they come, for the broad cells that have targets.
     """
-    classes, _, per_class = m["W"].shape
-    group, inner = y // per_class, y % per_class
-    logits = np.minimum(h @ m["C"] + m["c"], _MOST_LOGIT)
-    p = np.exp(logits)
-    total = p @ np.ones(classes, np.float32)
-    row = np.arange(len(y))
-    found = logits[row, group] - np.log(total)
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(classes + 1))
+    cells, per_cell = m["w"].shape
+    broad, classes = len(m["W"]), len(m["c"])
+    cell, inner = y // per_cell, y % per_cell
+    group = tops(cells, broad)[cell]
+    found = np.empty(len(y), np.float32)
+    ones = np.ones(max(classes, per_cell, _BLOCK), np.float32)
     if grad:
-        p /= total[:, None]
-        p[row, group] -= 1
-        back = p @ m["C"].T
-        g = {"C": h.T @ p, "c": p.sum(axis=0)}
+        back, CT = np.empty_like(h), np.ascontiguousarray(m["C"].T)
+        g = {"C": np.zeros_like(m["C"]), "c": np.zeros_like(m["c"])}
         if each is None:
-            g |= {"W": np.zeros_like(m["W"]), "w": np.zeros_like(m["w"])}
-    ones = np.ones(per_class, np.float32)
-    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        at = order[cuts[k] : cuts[k + 1]]
-        hk, target = h[at], inner[at]
-        logits = np.minimum(hk @ m["W"][k] + m["w"][k], _MOST_LOGIT)
-        q = np.exp(logits)
-        total = q @ ones
-        pick = np.arange(len(at))
-        found[at] += logits[pick, target] - np.log(total)
+            g |= {k: np.zeros_like(m[k]) for k in ("W", "w")}
+    for start in range(0, len(y), _BLOCK):
+        part = slice(start, start + _BLOCK)
+        target = group[part]
+        row = np.arange(len(target))
+        p = h[part] @ m["C"]
+        p += m["c"]
+        np.minimum(p, _MOST_LOGIT, out=p)
+        hit = p[row, target]
+        np.exp(p, out=p)
+        total = p @ ones[:classes]
+        found[part] = hit - np.log(total)
+        if grad:
+            p *= np.reciprocal(total)[:, None]
+            p[row, target] -= 1
+            back[part] = p @ CT
+            g["C"] += h[part].T @ p
+            g["c"] += ones[: len(target)] @ p
+    plain = cells - broad
+    fixed = cell < plain
+    found[fixed] += m["w"][cell[fixed], inner[fixed]]
+    order = np.argsort(cell, kind="stable")[int(fixed.sum()) :]
+    cuts = np.searchsorted(cell[order], np.arange(plain, cells + 1)).tolist()
+    states, inner = h[order], inner[order]
+    more = np.empty(len(order), np.float32)
+    if grad:
+        pull = np.zeros_like(states)
+    for k in range(broad):
+        a, b = cuts[k], cuts[k + 1]
+        if a == b:
+            continue
+        q = states[a:b] @ m["W"][k]
+        q += m["w"][plain + k]
+        np.minimum(q, _MOST_LOGIT, out=q)
+        pick = np.arange(b - a)
+        hit = q[pick, inner[a:b]]
+        np.exp(q, out=q)
+        total = q @ ones[:per_cell]
+        more[a:b] = hit - np.log(total)
         if grad:
-            q /= total[:, None]
-            q[pick, target] -= 1
-            back[at] += q @ m["W"][k].T
-            if each is None:
-                g["W"][k], g["w"][k] = hk.T @ q, q.sum(axis=0)
+            q *= np.reciprocal(total)[:, None]
+            q[pick, inner[a:b]] -= 1
+            np.matmul(q, m["W"][k].T, out=pull[a:b])
+            found_here = states[a:b].T @ q, ones[: b - a] @ q if b - a <= len(ones) else q.sum(axis=0)
+            if each is not None:
+                each(k, *found_here)
             else:
-                each(k, hk.T @ q, q.sum(axis=0))
-    return (found, back, g) if grad else found
+                g["W"][k], g["w"][plain + k] = found_here
+    found[order] += more
+    if not grad:
+        return found
+    back[order] += pull
+    return found, back, g
 
 
 def _backward(m, x, fresh, saved, dout):
@@ -260,11 +327,13 @@ def _backward(m, x, fresh, saved, dout):
         dh = dh * z + d @ UT
         if fresh[t].any():
             dh *= ~fresh[t][:, None]
-    flat = da.reshape(-1, 3 * H)
+    flat, given = da.reshape(-1, 3 * H), dgiven.reshape(-1, 3 * H)
     ids = x.ravel()
     order = np.argsort(ids, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-    return before.reshape(-1, H).T @ flat, ids[order][at], np.add.reduceat(dgiven.reshape(-1, 3 * H)[order], at, axis=0)
+    sorted_ids = ids[order]
+    at = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+    dwords = (given @ m["V"].T)[order]
+    return before.reshape(-1, H).T @ flat, m["E"][ids].T @ given, sorted_ids[at], np.add.reduceat(dwords, at, axis=0)
 
 
 def _entries(vocabulary: Vocabulary, batch: pa.RecordBatch):
@@ -280,45 +349,61 @@ def _entries(vocabulary: Vocabulary, batch: pa.RecordBatch):
 
 
 def train_on(m, vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch], rate: float) -> int:
-    """Train ``m`` in place on the texts, in the order they come; returns the number of tokens."""
-    first = {k: np.zeros_like(v) for k, v in m.items()}
-    second = {k: np.zeros_like(v) for k, v in m.items()}
+    """Train ``m`` in place on the texts, in the order they come; returns the number of tokens.
+
+    The few dense arrays have two moments for each number. What belongs to one word (its vector, its weights inside a
+    class) is divided by the running root mean square of that word's gradients: one number a word, kept from the
+    updates that touched it.
+    """
+    small = ("V", "U", "C", "c")
+    first = {k: np.zeros_like(m[k]) for k in small}
+    second = {k: np.zeros_like(m[k]) for k in small}
+    broad, _, per_cell = m["W"].shape
+    plain = len(m["w"]) - broad
+    size = {"E": np.zeros(len(m["E"]), np.float32), "W": np.zeros((broad, per_cell), np.float32), "w": np.zeros((broad, per_cell), np.float32)}
+    times = {"E": np.zeros(len(m["E"]), np.float32), "W": np.zeros(broad, np.float32)}
     tokens = step = 0
 
-    def update(name, grad, rows=slice(None)):
+    def dense(name, grad):
         a, b = first[name], second[name]
-        grad = np.clip(grad, -1, 1)
-        a[rows] = 0.9 * a[rows] + 0.1 * grad
-        b[rows] = 0.99 * b[rows] + 0.01 * grad**2
-        m[name][rows] -= rate * min(1.0, (step + 1) / 20) * (a[rows] / (1 - 0.9 ** (step + 1))) / (np.sqrt(b[rows] / (1 - 0.99 ** (step + 1))) + 1e-6)
+        a += 0.1 * (grad - a)
+        b += 0.01 * (grad**2 - b)
+        m[name] -= warm * (a / (1 - 0.9 ** (step + 1))) / (np.sqrt(b / (1 - 0.99 ** (step + 1))) + 1e-6)
+
+    def inside(k, grad, bias):
+        times["W"][k] += 1
+        keep = max(0.01, 1 / times["W"][k])
+        b = size["W"][k]
+        b += keep * (np.einsum("hp,hp->p", grad, grad) / len(grad) - b)
+        grad *= -warm / (np.sqrt(b) + 1e-4)
+        m["W"][k] += grad
+        b = size["w"][k]
+        b += keep * (bias**2 - b)
+        m["w"][plain + k] -= warm * bias / (np.sqrt(b) + 1e-4)
 
     for batch in slices(batches, "text", _LANE_BYTES):
         entries, bounds, *_ = _entries(vocabulary, batch)
-        x, y, text, length = lanes_of(entries, bounds, LANES)
+        x, y, fresh, live = stream_of(entries, bounds)
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for t in range(0, len(x), WINDOW):
-            wide = int((length > t).sum())
             part = slice(t, t + WINDOW)
-            xs, ys, who = x[part, :wide], y[part, :wide], text[part, :wide]
-            new = np.ones(who.shape, bool)
-            new[1:] = who[1:] != who[:-1]
-            new[0] = who[0] != text[t - 1, :wide] if t else True
-            out, h, saved = _forward(m, xs, new, h[:wide], True)
-            live = who >= 0
-            n = int(live.sum())
-            scale = np.float32(8 / n)
-
-            def inside(k, dW, dw, scale=scale):
-                update("W", dW * scale, k)
-                update("w", dw * scale, k)
-
-            _, back, grads = _output(m, out[live], ys[live], True, inside)
+            warm = np.float32(rate * min(1.0, (step + 1) / 20))
+            out, h, saved = _forward(m, x[part], fresh[part], h, True)
+            there = live[part]
+            n = int(there.sum())
+            if not n:
+                break
+            _, back, grads = _output(m, out[there], y[part][there], True, inside)
             dout = np.zeros_like(out)
-            dout[live] = back
-            dU, rows, dE = _backward(m, xs, new, saved, dout)
-            for name, grad in (*grads.items(), ("U", dU)):
-                update(name, grad * scale)
-            update("E", dE * scale, rows)
+            dout[there] = back
+            dU, dV, rows, dE = _backward(m, x[part], fresh[part], saved, dout)
+            for name, grad in (*grads.items(), ("U", dU), ("V", dV)):
+                dense(name, grad / np.float32(n))
+            times["E"][rows] += 1
+            b = size["E"][rows]
+            b += np.maximum(0.01, 1 / times["E"][rows]) * (np.einsum("rd,rd->r", dE, dE) / INPUT - b)
+            size["E"][rows] = b
+            m["E"][rows] -= (warm / (np.sqrt(b) + 1e-4))[:, None] * dE
             tokens += n
             step += 1
     return tokens
@@ -329,9 +414,11 @@ def log10_of(m, entries: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     x, y, text, length = lanes_of(entries, bounds, SCORE_LANES)
     total = np.zeros(len(bounds) - 1)
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
-    window = 64
-    for t in range(0, len(x), window):
+    t = 0
+    while t < len(x):
         wide = int((length > t).sum())
+        # The few lanes of very long texts go on in longer windows.
+        window = max(64, SCORE_LANES * 64 // wide)
         xs, ys, who = x[t : t + window, :wide], y[t : t + window, :wide], text[t : t + window, :wide]
         new = np.ones(who.shape, bool)
         new[1:] = who[1:] != who[:-1]
@@ -340,6 +427,7 @@ def log10_of(m, entries: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         live = who >= 0
         found = _output(m, out[live], ys[live], False)
         total += np.bincount(who[live], found.astype(np.float64), len(total))
+        t += window
     return total / np.log(10)
 
 

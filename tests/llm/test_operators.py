@@ -297,10 +297,10 @@ def test_language_model_gradients(monkeypatch):
     loss = lambda: -lm._output(f32(), lm._forward(f32(), x, fresh, np.zeros((3, lm.HIDDEN), np.float32), False)[0].reshape(-1, lm.HIDDEN), y.ravel(), False).astype(float).sum()
     out, _, saved = lm._forward(f32(), x, fresh, np.zeros((3, lm.HIDDEN), np.float32), True)
     _, back, grads = lm._output(f32(), out.reshape(-1, lm.HIDDEN), y.ravel(), True)
-    dU, rows, dE = lm._backward(f32(), x, fresh, saved, back.reshape(out.shape))
+    dU, dV, rows, dE = lm._backward(f32(), x, fresh, saved, back.reshape(out.shape))
     dense = np.zeros_like(m["E"])
     dense[rows] = dE
-    for name, grad in (("U", dU), ("E", dense), ("C", grads["C"]), ("W", grads["W"])):
+    for name, grad in (("U", dU), ("V", dV), ("E", dense), ("C", grads["C"]), ("c", grads["c"]), ("W", grads["W"]), ("w", grads["w"])):
         at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
         old = m[name][at]
         m[name][at] = old + 1e-2
@@ -311,6 +311,40 @@ def test_language_model_gradients(monkeypatch):
         assert (up - down) / 2e-2 == pytest.approx(float(grad[at]), rel=0.03)
 
 
+def test_language_model_plain_classes():
+    # More cells than have a softmax of their own: the others share classes, and all words still add up to one.
+    words = 9000
+    counts = 40 + np.arange(words, 0, -1, dtype=np.int64)
+    v = lm.Vocabulary(np.arange(1, words + 1, dtype=np.uint64), counts, 50, int(counts.sum()) + 50, words + 1, words)
+    m = lm.start(v)
+    top = lm.tops(v.shape[0], lm.BROAD)
+    assert v.shape[0] > lm.BROAD + lm.PLAIN and len(m["c"]) == lm.BROAD + lm.PLAIN and (np.diff(top) >= 0).all()
+    rng = np.random.default_rng(2)
+    m = {k: x if k == "w" else x + rng.normal(0, 0.3, x.shape).astype(np.float32) for k, x in m.items()}
+    h = np.repeat(rng.normal(0, 1, (1, lm.HIDDEN)).astype(np.float32), v.shape[0] * v.shape[1], axis=0)
+    assert np.exp(lm._output(m, h, np.arange(len(h)), False).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    # Inside a plain class, context leaves the ratio of two words as counted.
+    a, b = v.entries[-1], v.entries[-2]
+    assert a // v.shape[1] < v.shape[0] - lm.BROAD
+    p = np.exp(lm._output(m, h[:2], np.array([a, b]), False).astype(float))
+    assert p[0] / p[1] == pytest.approx((counts[-1] + lm.SMOOTH) / (counts[-2] + lm.SMOOTH), rel=1e-3)
+
+
+def test_language_model_stream():
+    sizes = np.array([3, 1, 4000, 2, 700, 1])
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    entries = np.arange(1, bounds[-1] + 1).astype(np.int32)
+    entries[bounds[1:] - 1] = lm.END
+    x, y, fresh, live = lm.stream_of(entries, bounds)
+    back = lambda a: a.T.ravel()[: len(entries)]
+    assert live.sum() == len(entries) and back(live).all()
+    assert (back(y) == entries).all()
+    assert (np.flatnonzero(back(fresh)) == bounds[:-1]).all()
+    assert (back(x)[bounds[:-1]] == lm.END).all()
+    rest = np.setdiff1d(np.arange(len(entries)), bounds[:-1])
+    assert (back(x)[rest] == entries[rest - 1]).all()
+
+
 def test_language_model_counts(spark, edge, none):
     rows = lm.lm_scores(edge).collect()
     import zlib
