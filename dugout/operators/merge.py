@@ -243,9 +243,11 @@ def batter_box_lines(batters: DataFrame, log: DataFrame, mentions: DataFrame | N
     )
     if mentions is None:
         return bonuses
+    # Records are numbered without an end, so their place is a BIGINT.
+    place = F.col("idx").cast("bigint") * 1000 + F.col("item")
     errors = mentions.filter(F.col("counter") == "E").join(clear.select(*PLAYER), PLAYER).select(
         "game_id", "name", F.lit("bat").alias("role"), F.lit(END_OF_GAME).alias("no"),
-        F.lit(1).alias("sub"), (F.col("idx") * 1000 + F.col("item")).cast("int").alias("ord"), "inn",
+        F.lit(1).alias("sub"), place.alias("ord"), "inn",
         F.lit("실책").alias("text"), F.lit("E").alias("tag"), F.lit(1).alias("n"),
         F.lit(BW["E"]).alias("points"), F.lit(None).cast("string").alias("pos"),
     )

@@ -188,7 +188,9 @@ def write_scored(days: ScoredDays, gaps: DataFrame, mart: str, version: str) ->
     published.write(days.pitchers, mart, "pitchers", version, best)
     if days.ledger is not None:
         line = ("game_id", "name", "no", "sub")
-        published.write(days.ledger, mart, "ledger", version, (*line, "ord"))
+        # Landed records are numbered inside their game, so the mart keeps its INT.
+        ledger = days.ledger.withColumn("ord", F.col("ord").cast("int"))
+        published.write(ledger, mart, "ledger", version, (*line, "ord"))
         published.write(days.position_events.withColumnRenamed("tag", "type"), mart, "position_events", version, line)
     published.write(days.quarantine, mart, "quarantine", version)
     published.write(gaps, mart, "gaps", version)
