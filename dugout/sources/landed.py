@@ -109,11 +109,12 @@ def records_of(docs: DataFrame) -> DataFrame:
 
 
 def game_info(records: DataFrame) -> DataFrame:
+    """One row a game. Spark takes these few columns for a sliver of the documents, so it would broadcast any number of games."""
     info = F.col("record.gameInfo")
     return records.select(
         "game_id", rules.compact_date(info["gdate"]).alias("info_date"), info["stadium"].alias("stadium"),
         info["hName"].alias("info_home"), info["aName"].alias("info_away"),
-    )
+    ).hint("merge")
 
 
 def _sides(records: DataFrame, home: Column, away: Column) -> DataFrame:
