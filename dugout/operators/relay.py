@@ -41,10 +41,12 @@ class RelayFacts:
 def by_chunk(events: DataFrame, groups_per_chunk: int = GROUPS_PER_CHUNK) -> DataFrame:
     """Lines placed by game and chunk: the one placement everything below keeps.
 
-    The raw lines move, which are smaller than the parsed ones; parsing follows the shuffle.
+    The raw lines move, which are smaller than the parsed ones; parsing follows the shuffle. The number of parts is
+    given, as adaptive execution would merge parts by the size of the raw lines, and a task would hold very many parsed ones.
     """
     chunk = F.floor(F.col("no") / groups_per_chunk).cast("int")
-    return events.withColumn("chunk", chunk).repartition("game_id", "chunk")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.withColumn("chunk", chunk).repartition(parts, "game_id", "chunk")
 
 
 def parse_lines(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dugout.operators import merge
+from dugout.operators import differ, merge, positions as pos, relay
 from dugout.sources import landed
 
 
@@ -28,3 +28,34 @@ def test_game_info_is_not_broadcast(spark, tmp_path):
     joined = landed.etc_records(records).join(landed.game_info(records), "game_id")
     assert joined.count() == 40
     assert "Broadcast" not in plan(joined)
+
+
+def test_parts_of_the_relay_are_not_merged(spark):
+    events = spark.range(4000).select(F.col("id").cast("string").alias("game_id"), F.lit(1).alias("no"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert relay.by_chunk(events).rdd.getNumPartitions() == parts
+
+
+def test_difference_moves_rows_by_key_alone(spark):
+    frames = [spark.createDataFrame([("kbo", day, "g", lp) for day in range(3)], "league STRING, day INT, game STRING, lp INT") for lp in (1, 2)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = differ.mart_difference(*frames, ("league", "day"), ("game",), ("lp",))
+        assert found.count() == 3
+        assert "LeftSemi" not in plan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_digests_tell_nulls_apart(spark):
+    schema = "league STRING, game STRING, a STRING, b STRING, c ARRAY<INT>"
+    values = [("x", None, [1, None]), (None, "x", [1, None]), ("x", "", [1, None]), ("x", None, [None, 1]), ("x", None, None)]
+    found = {tuple(differ.bucket_digests(spark.createDataFrame([("kbo", "g", *v)], schema), ["league"], ["game"], ["a", "b", "c"]).first()) for v in values}
+    assert len(found) == len(values)
+
+
+def test_days_that_no_window_holds(spark):
+    games = spark.createDataFrame([(f"2026-05-{d:02}", f"g{d}") for d in range(1, 32)], "day STRING, game_id STRING").withColumn("game_date", F.to_date("day"))
+    ends = games.select(F.last_day("game_date").alias("end_date"))
+    assert sorted(r.game_id for r in pos.reached(games, ends).collect()) == [f"g{d}" for d in range(18, 32)]
