@@ -103,6 +103,15 @@ def day_partials(rows: DataFrame) -> DataFrame:
     return _per_position(rows, ["game_date"])
 
 
+def reached(games: DataFrame, ends: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """Games of the days that a window up to some ``end_date`` of ``ends`` holds; no other day adds to a window.
+
+    The days are those of a calendar, so they go to the games.
+    """
+    near = F.explode(F.sequence(F.date_sub("end_date", days - 1), "end_date")).alias("game_date")
+    return games.join(F.broadcast(ends.select(near).distinct()), "game_date", "left_semi")
+
+
 def rolling_table(partials: DataFrame, ends: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """:func:`position_table` for the ``days`` up to each ``end_date`` of ``ends``, from day partials alone.
 

@@ -140,8 +140,8 @@ def rescored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered positions over the 14 days up to every month's end, from one partial a day."""
     games = b.order_games(spark, sf_dir)
-    rows = pos.fielding_rows(b.line_batters(spark, sf_dir), b.line_team_pitching(spark, sf_dir), games)
     ends = games.select(F.last_day("game_date").alias("end_date"))
+    rows = pos.fielding_rows(b.line_batters(spark, sf_dir), b.line_team_pitching(spark, sf_dir), pos.reached(games, ends))
     table = pos.rolling_table(pos.day_partials(rows), ends)
     return tidy(table.select(
         "end_date", "player_code", "name", "team", "games", "dh_games", "auto_position", F.size("innings_by_position").alias("positions")))
