@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Buckets of one place; only those whose digests differ are compared row by row.
 BUCKETS = 256
+#: Sums of the quarters of the rows' digests.
+SUMS = ("__sum0", "__sum1", "__sum2", "__sum3")
 
 
-def _digest(columns: Sequence[str]) -> Column:
-    """128 bits of the values, nulls apart from empty texts."""
-    return F.md5(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}))
+def _digest(rows: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """128 bits of the values as four whole numbers, whose sums are exact; nulls apart from empty texts.
 
-
-def _part(half: int) -> Column:
-    return F.conv(F.substring("digest", 1 + 15 * half, 15), 16, 10).cast("decimal(38,0)")
+    A hash passes over a null, so what is null is hashed as well; nested values go as JSON, where inner nulls show.
+    """
+    plain = {f.name: not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for f in rows.schema.fields}
+    values = [F.col(c) if plain[c] else F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) for c in columns]
+    hashes = [F.xxhash64(F.lit(half), *[F.isnull(c) for c in columns], *values) for half in (1, 2)]
+    return [part for h in hashes for part in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(2**32 - 1)))]
 
 
 def bucket_digests(rows: DataFrame, place: Sequence[str], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(place, bucket, rows, sums): a digest that any order of the rows gives, one row for each bucket of a place."""
-    digest = rows.select(*place, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__bucket"), _digest([*keys, *columns]).alias("digest"))
-    return digest.groupBy(*place, "__bucket").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(_part(0)).alias("low"), F.sum(_part(1)).alias("high"))
+    parts = [part.alias(name) for name, part in zip(SUMS, _digest(rows, [*keys, *columns]), strict=True)]
+    digest = rows.select(*place, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__bucket"), *parts)
+    return digest.groupBy(*place, "__bucket").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(name).alias(name) for name in SUMS])
 
 
 def mart_difference(before: DataFrame, after: DataFrame, place: Sequence[str], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -36,14 +41,16 @@ def mart_difference(before: DataFrame, after: DataFrame, place: Sequence[str], k
     place, keys, columns = list(place), list(keys), list(columns)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__bucket")
     sides = [bucket_digests(x, place, keys, columns) for x in (before, after)]
-    other = sides[1].select(*place, "__bucket", *[F.col(c).alias(f"o_{c}") for c in ("rows", "low", "high")])
+    other = sides[1].select(*place, "__bucket", *[F.col(c).alias(f"o_{c}") for c in ("rows", *SUMS)])
     both = sides[0].join(other, [*place, "__bucket"], "full")
-    same = F.col("rows").eqNullSafe(F.col("o_rows")) & F.col("low").eqNullSafe(F.col("o_low")) & F.col("high").eqNullSafe(F.col("o_high"))
-    open_ = both.where(~same).select(*place, "__bucket")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in ("rows", *SUMS)])
+    # One row a place, so it goes to the rows; a join by bucket would move every row of both sides.
+    open_ = F.broadcast(both.where(~same).groupBy(*place).agg(F.collect_set("__bucket").alias("__open")))
 
     def opened(rows: DataFrame, mark: int) -> DataFrame:
         values = [F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)]
-        return rows.select(*place, *keys, bucket, *values, F.lit(mark).alias("__mark")).join(open_, [*place, "__bucket"], "left_semi")
+        placed = rows.select(*place, *keys, bucket, *values, F.lit(mark).alias("__mark")).join(open_, place)
+        return placed.where(F.array_contains("__open", F.col("__bucket"))).drop("__open", "__bucket")
 
     rows = opened(before, 1).unionByName(opened(after, -1))
     # Equal rows of the two sides cancel out; what is left stands on one side only.
@@ -51,6 +58,8 @@ def mart_difference(before: DataFrame, after: DataFrame, place: Sequence[str], k
     left = rows.groupBy(*place, *keys, *names).agg(F.sum("__mark").alias("__net")).where("__net <> 0")
     times = F.explode(F.sequence(F.lit(1), F.abs(F.col("__net")).cast("int")))
     left = left.select(*place, *keys, F.struct(*names).alias("__v"), (F.col("__net") > 0).alias("__was"), times.alias("__time"))
+    # Placed by key once, which both the numbering and the pairing keep.
+    left = left.repartition(*place, *keys)
     number = F.row_number().over(Window.partitionBy(*place, *keys, "__was").orderBy("__v", "__time"))
     numbered = left.withColumn("__number", number)
     found = numbered.groupBy(*place, *keys, "__number").agg(

@@ -167,7 +167,7 @@ def mart_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quick": F.col("bb") + F.col("hit") == 0})
 
     def read(outs: Column) -> DataFrame:
-        read = rows.withColumn("OUT", F.coalesce(outs, F.lit(0))).withColumn("LONG", F.col("OUT") >= 18)
+        read = rows.select("*", b.computed(F.coalesce(outs, F.lit(0)), "OUT")).withColumn("LONG", F.col("OUT") >= 18)
         return read.where((F.col("OUT") > 0) | ~F.col("quick"))
 
     before, after = (read(f(F.col("inn"))) for f in (innings.outs_from_fraction, innings.outs_from_decimal))
