@@ -115,10 +115,11 @@ def reached(games: DataFrame, ends: DataFrame, days: int = WINDOW_DAYS) -> DataF
 def rolling_table(partials: DataFrame, ends: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """:func:`position_table` for the ``days`` up to each ``end_date`` of ``ends``, from day partials alone.
 
-    A day reaches ``days`` windows, so a partial is at most as many rows here, however many boxes it stands for.
+    A day reaches ``days`` windows, so a partial is at most as many rows here, however many boxes it stands for. The ends
+    are days of a calendar and go to the partials; a merge would move every partial ``days`` times.
     """
     reach = F.explode(F.sequence("game_date", F.date_add("game_date", days - 1))).alias("end_date")
-    near = partials.select("*", reach).join(ends.select("end_date").distinct(), "end_date")
+    near = partials.select("*", reach).join(F.broadcast(ends.select("end_date").distinct()), "end_date")
     back = F.datediff("end_date", "game_date").alias("back")
 
     def placed(name: str):

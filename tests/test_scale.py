@@ -59,3 +59,19 @@ def test_days_that_no_window_holds(spark):
     games = spark.createDataFrame([(f"2026-05-{d:02}", f"g{d}") for d in range(1, 32)], "day STRING, game_id STRING").withColumn("game_date", F.to_date("day"))
     ends = games.select(F.last_day("game_date").alias("end_date"))
     assert sorted(r.game_id for r in pos.reached(games, ends).collect()) == [f"g{d}" for d in range(18, 32)]
+
+
+def test_partials_stay_where_they_are_for_the_ends(spark):
+    partials = spark.createDataFrame(
+        [("2026-05-20", "p1", "포수", 3.0, 1, 1, 1, 1, "n", "t")],
+        "day STRING, player_code STRING, position STRING, innings DOUBLE, seen INT, rows INT, first_place INT, last_place INT, name STRING, team STRING",
+    ).withColumn("game_date", F.to_date("day"))
+    ends = spark.sql("select date '2026-05-31' as end_date")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = pos.rolling_table(partials, ends)
+        assert [(r.player_code, r.auto_position) for r in table.collect()] == [("p1", "포수")]
+        assert "SortMergeJoin" not in plan(table)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
