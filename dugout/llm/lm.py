@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dugout.llm.common import crc_rest, slices, stored, text_bytes
+from dugout.llm.common import crc_rest, short_shuffles, slices, stored, text_bytes
 from dugout.llm.words import word_hashes
 
 #: The least cells and words in a cell; more words have more of both.
@@ -53,8 +53,6 @@ _LANE_BYTES = 16 << 20
 #: Far above what the network gives; keeps exp() finite without a pass for the largest.
 _MOST_LOGIT = np.float32(40)
 _SHARES_OF_MODEL = 16
-#: Shuffle files go when their query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -462,12 +460,8 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shares:
     context = rows.sparkSession.sparkContext
     copies = max(1, min(rows.rdd.getNumPartitions(), 2 * context.defaultParallelism))
     rows = rows.coalesce(copies)
-    before = rows.sparkSession.conf.get(_CLEANUP, "false")
-    rows.sparkSession.conf.set(_CLEANUP, "true")
-    try:
+    with short_shuffles(rows.sparkSession):
         return _taught(rows, vocabulary, m, copies, rounds, shares)
-    finally:
-        rows.sparkSession.conf.set(_CLEANUP, before)
 
 
 def _taught(rows: DataFrame, vocabulary: Vocabulary, m: dict, copies: int, rounds: int, shares: int) -> dict[str, np.ndarray]:

@@ -13,7 +13,9 @@ Every step is exact: what is set aside cannot have a link. Sets are worked on on
    forest of them is kept, not the pairs.
 4. *Token-group matrix*: rows (token, group) over the first tokens of the members, those that the fewest components
    hold first. A token that leads from one component to another makes two groups meet; the sets of one go to the other as
-   queries if it holds a component larger than theirs. A group holds the union of its members' tokens; a
+   queries if it holds a component larger than theirs. For this the components of one family (by the largest component
+   that they share a token with) stand in few groups; a family of more than ``FAMILY`` groups first meets one group a token,
+   so that the copies of one text are one component before any two groups meet. A group holds the union of its members' tokens; a
    query whose overlap with the union is too small for any link stops there, and only qualifying groups are
    opened and compared member by member. Sets of one component need no further link between them.
 """
@@ -28,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from dugout.llm.common import free_name, slices, stored, text_bytes
+from dugout.llm.common import free_name, short_shuffles, slices, stored, text_bytes
 from dugout.llm.components import components
 from dugout.llm.words import mix, shingle_sets
 
@@ -36,6 +38,8 @@ from dugout.llm.words import mix, shingle_sets
 SHARE, WHOLE = 80, 100
 #: Most sets in one group, leaders aside, and most queries that meet a group in one task.
 GROUP, QUERIES = 256, 2048
+#: Groups of one family beyond which its sets first ask one group a token.
+FAMILY = 32
 _SALT = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -251,7 +255,11 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     repeated rows and ids change nothing. A null id takes part and is never the smallest unless all are null. An
     empty table gives an empty result; other columns are not looked at.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with short_shuffles(docs.sparkSession):
+        return _similar_sets(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+
+
+def _similar_sets(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = stored(docs.mapInArrow(_first_pass, f"doc_id {kind}, {_SIEVE}"), "sets")
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
@@ -271,14 +279,13 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     alone = near.select("digest", "key2").join(found, "digest", "left_anti")
     links = links.unionByName(stored(_group_forest(near, _homes(alone, "key2"), "key2"), "links"))
 
-    labels = components(links)
-    label = F.coalesce("root", "digest").alias("component")
-    known = near.join(labels, near["digest"] == labels["node"], "left").select("digest", "n", "tokens", label)
-    known = known.join(homes.select("digest", "home"), "digest").dropDuplicates(["digest"])
-    links = links.unionByName(_cross_links(known.withColumn("component", F.xxhash64("component")), near))
+    more, whole = _cross_links(_labelled(near, homes, links), near, False)
+    links = links.unionByName(more)
+    if not whole:
+        links = links.unionByName(_cross_links(_labelled(near, homes, links), near, True)[0])
 
     labels = components(links)
-    each = ids.join(labels, ids["digest"] == labels["node"], "left").select("digest", "doc_id", label)
+    each = ids.join(labels, ids["digest"] == labels["node"], "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("component"))
     least = each.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     each = each.join(least, "component").select("digest", "component_id")
     rows = sets.select("doc_id", "digest", "n").join(each, "digest", "left")
@@ -286,8 +293,39 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
 
 
-def _cross_links(known: DataFrame, near: DataFrame) -> DataFrame:
-    """Links between sets of different components, through the token-group matrix.
+def _labelled(near: DataFrame, homes: DataFrame, links: DataFrame) -> DataFrame:
+    """Every set with its home and the component that ``links`` put it in."""
+    labels = components(links)
+    known = near.join(labels, near["digest"] == labels["node"], "left")
+    known = known.select("digest", "n", "tokens", F.xxhash64(F.coalesce("root", "digest")).alias("component"))
+    return known.join(homes.select("digest", "home"), "digest").dropDuplicates(["digest"])
+
+
+def _hub_meets(matrix: DataFrame) -> DataFrame:
+    """Of the groups that hold a token, all ask one, which holds the largest component: at most a row a (token, group)."""
+    hub = matrix.groupBy("token").agg(F.max(F.struct("top", "home", "smallest", "largest")).alias("hub"))
+    meets = matrix.select("token", F.col("home").alias("asking"), "low").join(hub, "token")
+    return meets.select(*(f"hub.{c}" for c in ("home", "top", "smallest", "largest")), "asking", "low").where("low < top")
+
+
+def _all_meets(matrix: DataFrame) -> DataFrame:
+    """Any two groups that hold a token, and each with itself."""
+    other = matrix.select("token", *(F.col(c).alias(f"o_{c}") for c in matrix.columns[1:]))
+    meets = matrix.join(other, "token").where(
+        f"home <= o_home and (low < o_top or o_low < top) and {WHOLE} * largest >= {SHARE} * o_smallest and {WHOLE} * o_largest >= {SHARE} * smallest")
+
+    def way(home: str, asking: str):
+        """What an asking group has to know of a home: its largest component and the sizes of its sets."""
+        parts = [F.col(f"{home}{c}").alias(c) for c in ("home", "top", "smallest", "largest")]
+        return F.struct(*parts, F.col(f"{asking}home").alias("asking"), F.col(f"{asking}low").alias("low"))
+
+    return meets.select(F.inline(F.array(way("", "o_"), way("o_", "")))).where("low < top")
+
+
+def _cross_links(known: DataFrame, near: DataFrame, again: bool) -> tuple[DataFrame, bool]:
+    """(links between sets of different components, whether these are all), through the token-group matrix.
+
+    They are not all where a family has many groups: then those to one group a token, unless this is done ``again``.
 
     Tokens go by the number of components that hold them, fewest first; two linked sets share one of the first
     ``n - least_overlap(n) + 1`` of each. A token of one component leads nowhere and only takes up a place.
@@ -301,31 +339,31 @@ def _cross_links(known: DataFrame, near: DataFrame) -> DataFrame:
     rows = rows.join(spread, "token").withColumn("place", F.row_number().over(own.orderBy("spread", "token")))
     rows = rows.withColumn("crossing", F.count(F.lit(1)).over(own))
     rows = stored(rows.where(f"place <= crossing - int(ceil({SHARE} * n / {WHOLE}D)) + 1").select("digest", "n", "rank", "home", "token"), "crossing")
-    matrix = rows.groupBy("token", "home").agg(
+    # Components go together by the largest one that they share a token with: the copies of one text, told apart by
+    # their smallest tokens, then stand in few groups.
+    tops = rows.groupBy("token").agg(F.max("rank").alias("family"))
+    family = rows.join(tops, "token").groupBy("rank").agg(F.max("family").alias("family"))
+    placed = rows.select("digest", "n", "rank", "home").distinct().join(family, "rank")
+    cuts = placed.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / (GROUP // 2)).alias("cuts"))
+    placed = placed.join(cuts, "family").withColumn("home", F.xxhash64("family.component", F.expr("pmod(xxhash64(home), cuts)")))
+    placed = stored(placed.select("digest", "n", "rank", "home", "cuts"), "homes")
+    whole = again or (placed.agg(F.max("cuts")).first()[0] or 0) <= FAMILY
+    placed = placed.drop("cuts")
+    matrix = rows.select("token", "digest").join(placed, "digest").groupBy("token", "home").agg(
         F.min("n").alias("smallest"), F.max("n").alias("largest"), F.min("rank").alias("low"), F.max("rank").alias("top"))
-    # Groups meet groups: sets of one home were compared when its forest was made.
-    other = matrix.select("token", *(F.col(c).alias(f"o_{c}") for c in matrix.columns[1:]))
-    meets = matrix.join(other, "token").where(
-        f"home < o_home and (low < o_top or o_low < top) and {WHOLE} * largest >= {SHARE} * o_smallest and {WHOLE} * o_largest >= {SHARE} * smallest")
-
-    def way(home: str, asking: str):
-        """What an asking group has to know of a home: its largest component and the sizes of its sets."""
-        parts = [F.col(f"{home}{c}").alias(c) for c in ("home", "top", "smallest", "largest")]
-        return F.struct(*parts, F.col(f"{asking}home").alias("asking"), F.col(f"{asking}low").alias("low"))
-
-    meets = meets.select(F.inline(F.array(way("", "o_"), way("o_", "")))).where("low < top")
+    meets = _all_meets(matrix) if whole else _hub_meets(matrix)
     meets = meets.groupBy("home", "asking").agg(F.max("top").alias("top"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
     meets = stored(meets, "meets")
-    queries = rows.select(F.col("home").alias("asking"), "digest", "rank", "n").distinct()
-    meets = meets.join(queries, "asking").where(f"rank < top and {WHOLE} * largest >= {SHARE} * n and {WHOLE} * n >= {SHARE} * smallest")
-    meets = meets.select("home", "digest")
+    meets = meets.join(placed.withColumnRenamed("home", "asking"), "asking")
+    meets = meets.where(f"rank < top and {WHOLE} * largest >= {SHARE} * n and {WHOLE} * n >= {SHARE} * smallest").select("home", "digest")
     busy = meets.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
     asks = meets.join(busy, "home").select("home", F.expr("cast(pmod(xxhash64(digest, 3), blocks) as int)").alias("block"), "digest")
     asks = asks.join(near.select("digest", "tokens"), "digest")
-    members = known.select("home", F.col("digest").alias("member"), "component", F.col("tokens").alias("held")).join(busy, "home")
+    members = placed.select("home", "digest", F.col("rank.component").alias("component")).join(busy, "home")
+    members = members.join(known.select(F.col("digest").alias("member"), F.col("tokens").alias("held")), F.col("digest") == F.col("member"))
     members = members.select(F.col("home").alias("at"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), "member", "component", "held")
-    return stored(
-        members.groupBy("at", "part").cogroup(asks.groupBy("home", "block")).applyInPandas(_open, "src binary, dst binary"), "links")
+    opened = members.groupBy("at", "part").cogroup(asks.groupBy("home", "block")).applyInPandas(_open, "src binary, dst binary")
+    return stored(opened, "links"), whole
 
 
 def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dugout.llm import ann, bpe, chat, exact, langid, layout, lm, packing, quality, setjoin
-from dugout.llm.common import text_bytes
+from dugout.llm.common import stored, text_bytes
 from dugout.llm.queries import tokenizer_ranks
 from dugout.llm.words import shingle_sets
 
@@ -117,6 +117,25 @@ def test_set_join(spark, none, monkeypatch):
     assert setjoin.drop_similar(none).columns == none.columns
 
 
+def test_groups_of_one_text_do_not_all_meet(spark, monkeypatch):
+    """Copies of one text, few of them linked and spread over many groups, meet in a number in proportion to them."""
+    r = random.Random(8)
+    base = [[f"w{i}{v}" for v in ("", "x", "y")] for i in range(60)]
+    rows = sorted({" ".join(r.choice(base[i]) if i % 7 == 3 else base[i][0] for i in range(60)) for _ in range(240)})
+    rows = list(enumerate(rows))
+    seen = []
+
+    def counted(df, name):
+        out = stored(df, name)
+        seen.extend([out.count()] * (name == "meets"))
+        return out
+
+    monkeypatch.setattr(setjoin, "stored", counted)
+    docs = documents(spark, [(*x, None, None) for x in rows]).repartition(5)
+    assert sorted(map(tuple, setjoin.similar_sets(docs).collect()), key=str) == brute(rows)
+    assert max(seen) <= len(rows) // 8
+
+
 def test_stages_decide_by_id_and_text(spark, monkeypatch):
     import corpus_pipeline
 
