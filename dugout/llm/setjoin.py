@@ -271,7 +271,7 @@ def _similar_sets(docs: DataFrame) -> DataFrame:
 
     left = _survivors(full.select("digest", "tokens").mapInArrow(_second_sieve, _SIEVE), True)
     near = full.withColumn("key", F.xxhash64("digest")).join(left, "key", "left_semi").drop("key")
-    near = stored(near.withColumn("key1", F.element_at("tokens", 1)), "sets")
+    near = stored(near.dropDuplicates(["digest"]).withColumn("key1", F.element_at("tokens", 1)), "sets")
 
     homes = stored(_homes(near, "key1"), "homes")
     links = stored(_group_forest(near, homes, "key1"), "links")
@@ -298,7 +298,7 @@ def _labelled(near: DataFrame, homes: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links)
     known = near.join(labels, near["digest"] == labels["node"], "left")
     known = known.select("digest", "n", "tokens", F.xxhash64(F.coalesce("root", "digest")).alias("component"))
-    return known.join(homes.select("digest", "home"), "digest").dropDuplicates(["digest"])
+    return known.join(homes.select("digest", "home"), "digest")
 
 
 def _hub_meets(matrix: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def _cross_links(known: DataFrame, near: DataFrame, again: bool) -> tuple[DataFr
     asks = meets.join(busy, "home").select("home", F.expr("cast(pmod(xxhash64(digest, 3), blocks) as int)").alias("block"), "digest")
     asks = asks.join(near.select("digest", "tokens"), "digest")
     members = placed.select("home", "digest", F.col("rank.component").alias("component")).join(busy, "home")
-    members = members.join(known.select(F.col("digest").alias("member"), F.col("tokens").alias("held")), F.col("digest") == F.col("member"))
+    members = members.join(near.select(F.col("digest").alias("member"), F.col("tokens").alias("held")), F.col("digest") == F.col("member"))
     members = members.select(F.col("home").alias("at"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("part"), "member", "component", "held")
     opened = members.groupBy("at", "part").cogroup(asks.groupBy("home", "block")).applyInPandas(_open, "src binary, dst binary")
     return stored(opened, "links"), whole
