@@ -155,9 +155,12 @@ def pitcher_counters(
     rows = pitchers.withColumn("OUT", outs)
     if league == "kbo":
         rows = rows.filter(pitcher_appeared(F.col("OUT")))
+    # Joined by the game alone, as the joins before and after it: rows are moved once. The two bounds say that the sides are equal.
+    outs_of = team_outs.select(F.col("game_id").alias("of_game"), F.col("side").alias("of_side"), "team_outs")
+    same_game = (F.col("game_id") == F.col("of_game")) & (F.col("side") >= F.col("of_side")) & (F.col("side") <= F.col("of_side"))
     rows = (
         _attach_specials(rows, specials)
-        .join(team_outs.select("game_id", "side", "team_outs"), ["game_id", "side"], "left")
+        .join(outs_of, same_game, "left").drop("of_game", "of_side")
         .join(status.select("game_id", "status_code"), "game_id", "left")
     )
     box = {n: F.coalesce(F.col(n), zero) for n in ("hit", "r", "er", "hr", "bb", "bbhp", "kk")}

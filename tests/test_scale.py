@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dugout.operators import differ, merge, positions as pos, relay
+from dugout.operators import box, differ, merge, positions as pos, relay
 from dugout.sources import landed
 
 
@@ -75,3 +75,22 @@ def test_partials_stay_where_they_are_for_the_ends(spark):
         assert "SortMergeJoin" not in plan(table)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_team_outs_move_no_row_again(spark):
+    """Pitchers are moved by the game alone; a side that is null or has no outs finds none, and repeated outs repeat rows."""
+    text = "game_id string, side string, pos_idx int, name string, inn string, hit int, r int, er int, hr int, bb int, bbhp int, kk int, wls string"
+    rows = [("1", side, 0, "a", "9", *[0] * 7, "") for side in ("home", "away", None)] + [(None, "home", 0, "b", "9", *[0] * 7, "")]
+    pitchers = spark.createDataFrame(rows, text)
+    outs = spark.createDataFrame([("1", "home", 27), ("1", "home", 27), ("1", None, 27), (None, "home", 27)], "game_id string, side string, team_outs int")
+    status = spark.createDataFrame([("1", "RESULT")], "game_id string, status_code string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counted = box.pitcher_counters(pitchers, outs, status, None)
+        moved = plan(counted).count("Exchange hashpartitioning")
+        found = sorted((tuple(r) for r in counted.select("game_id", "side", "CG").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved == 3
+    assert found == sorted([("1", "home", True)] * 2 + [("1", "away", False), ("1", None, False), (None, "home", False)], key=str)
