@@ -19,6 +19,9 @@ def is_blank(text: Column) -> Column:
 
 
 def counter(value: Column) -> Column:
-    """Box-score number: absent or blank is zero, junk is NULL (the game is then quarantined)."""
+    """Box-score number: absent or blank is zero, junk is NULL (the game is then quarantined).
+
+    What is a number as it stands needs no look at its blanks.
+    """
     text = value.cast("string")
-    return F.when(is_blank(text), F.lit(0)).otherwise(strip(text).try_cast("int"))
+    return F.coalesce(text.try_cast("int"), F.when(is_blank(text), F.lit(0)).otherwise(strip(text).try_cast("int")))

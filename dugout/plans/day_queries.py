@@ -39,7 +39,7 @@ def _day(number: Column) -> Column:
 
 def _in_order(entry: Column, which: Column) -> Column:
     """The p of each entry (at, p) of one side, in the order of at. A game has a handful of entries."""
-    return F.transform(F.array_sort(F.collect_list(F.when(which, entry))), lambda x: x["p"])
+    return F.sort_array(F.collect_list(F.when(which, entry)))["p"]
 
 
 def _record_docs(games: DataFrame, parts: dict[str, Column]) -> DataFrame:

@@ -119,18 +119,18 @@ def game_info(records: DataFrame) -> DataFrame:
 
 def _sides(records: DataFrame, home: Column, away: Column) -> DataFrame:
     """Both sides' rows from one pass over the records."""
-    def one(side: str, rows: Column) -> Column:
-        kept = F.coalesce(rows, F.array())
-        return F.transform(kept, lambda p, i: F.struct(F.lit(side).alias("side"), i.alias("pos_idx"), p.alias("p")))
-
-    return records.select("game_id", F.inline(F.concat(one("home", home), one("away", away))))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), rows.alias("rows")) for side, rows in (("home", home), ("away", away))])
+    return records.select("game_id", F.inline(sides)).select("game_id", "side", F.posexplode("rows").alias("pos_idx", "p"))
 
 
 def _plate_slots(player: Column) -> Column:
-    """Slot texts of a batter in the order of their numbers, however many there are."""
+    """Slot texts of a batter in the order of their numbers, however many there are.
+
+    The literal is looked for before the pattern, and the pairs are sorted without a comparator: both run for every batter.
+    """
     number = lambda key: F.substring(key, 4, 9).try_cast("int")
-    keys = F.filter(F.map_keys(player), lambda key: key.rlike("^inn[1-9][0-9]{0,8}$"))
-    ordered = F.array_sort(F.transform(keys, lambda key: F.struct(number(key).alias("at"), key.alias("key"))))
+    keys = F.filter(F.map_keys(player), lambda key: key.startswith("inn") & key.rlike("^inn[1-9][0-9]{0,8}$"))
+    ordered = F.sort_array(F.transform(keys, lambda key: F.struct(number(key).alias("at"), key.alias("key"))))
     return F.transform(ordered, lambda slot: player[slot["key"]])
 
 

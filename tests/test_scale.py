@@ -94,3 +94,16 @@ def test_team_outs_move_no_row_again(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert moved == 3
     assert found == sorted([("1", "home", True)] * 2 + [("1", "away", False), ("1", None, False), (None, "home", False)], key=str)
+
+
+def test_batter_rows_are_read_without_comparators(spark):
+    """Slots go by number, counters that are blank or junk are told apart, and no row is sorted by an interpreted comparison."""
+    man = {"name": "a", "inn10": "c", "inn2": "b", "inn1": "a", "inn0": "x", "innX": "x", "ab": " 3　", "hit": "", "run": "2", "rbi": "x", "hr": " 1", "bb": None}
+    sides = {"home": [man, {"name": "b"}], "away": None}
+    records = spark.createDataFrame([("1", {"battersBoxscore": sides})], "game_id string, record struct<battersBoxscore: struct<home: array<map<string,string>>, away: array<map<string,string>>>>")
+    rows = landed.batters(records)
+    assert "array_sort" not in plan(rows) and "lambda p" not in plan(rows)
+    first, second = sorted(rows.collect(), key=lambda r: r.pos_idx)
+    assert (first.side, first.pos_idx, first.pa_codes) == ("home", 0, ["a", "b", "c"])
+    assert (first.ab, first.hit, first.run, first.rbi, first.hr, first.bb, first.kk) == (3, 0, 2, None, 1, 0, 0)
+    assert (second.side, second.pos_idx, second.pa_codes) == ("home", 1, [])
