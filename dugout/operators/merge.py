@@ -63,6 +63,12 @@ def field_counts(events: DataFrame, registered: DataFrame, mode: Column, dh: Col
     return counted.groupBy(*PLAYER, *extra).agg(*[total(t) for t in FIELD_COUNTERS])
 
 
+def _one_row(found: list[DataFrame]) -> DataFrame:
+    """What several frames of one row a player know of a player, in one row: wide box rows are then joined once, not with each."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    return rows.groupBy(*PLAYER).agg(*[F.max(c).alias(c) for c in rows.columns if c not in PLAYER])
+
+
 def merge_batters(
     batters: DataFrame, facts: RelayFacts, mode: int = DEFAULT_MODE, dh: bool = DEFAULT_DH
 ) -> DataFrame:
@@ -77,10 +83,7 @@ def merge_batters(
         facts.credits.filter(F.col("tag") == "PLAY:BUNT_OUT")
         .groupBy(*PLAYER).agg(F.count(F.lit(1)).cast("int").alias("__bunts"))
     )
-    joined = (
-        rows.join(fields, PLAYER, "left").join(bunts, PLAYER, "left")
-        .join(facts.advances, PLAYER, "left")
-    )
+    joined = rows.join(_one_row([fields, bunts, facts.advances]), PLAYER, "left")
     zero = F.lit(0)
     changed = {c: F.when(clear, F.coalesce(f"__{c}", zero)).otherwise(zero) for c in FIELD_COUNTERS}
     changed["GO"] = F.when(
@@ -102,7 +105,7 @@ def merge_pitchers(pitchers: DataFrame, facts: RelayFacts) -> DataFrame:
         .agg(*[F.count_if(tag == c).cast("int").alias(f"__{c}") for c in PITCHER_RELAY])
     )
     joined = (
-        rows.join(extra, PLAYER, "left").join(facts.margins, PLAYER, "left")
+        rows.join(_one_row([extra, facts.margins]), PLAYER, "left")
         .join(facts.finals.select("game_id", "home_score", "away_score"), "game_id", "left")
     )
     won = F.when(F.col("side") == "home", F.col("home_score") > F.col("away_score")).otherwise(

@@ -175,16 +175,18 @@ def _line(
     name: Column, role: str, text: Column | str, tag: Column | str, points: Column | int,
     when: Column | None = None, n: Column | int = 1, pos: Column | None = None,
 ) -> Column:
+    """One ledger line, or NULL where it does not apply or nobody is named."""
     def column(value, kind):
         return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
 
-    who = name if when is None else F.when(when, name)
-    return F.struct(
-        who.cast("string").alias("name"), F.lit(role).alias("role"), column(text, "string").alias("text"),
+    line = F.struct(
+        name.cast("string").alias("name"), F.lit(role).alias("role"), column(text, "string").alias("text"),
         column(tag, "string").alias("tag"), column(n, "int").alias("n"),
         column(points, "int").alias("points"),
         (pos if pos is not None else F.lit(None)).cast("string").alias("pos"),
     )
+    # Most lines of an event do not apply; those are not spelled out.
+    return F.when(name.isNotNull() if when is None else when & name.isNotNull(), line)
 
 
 def _named(before: str, who: Column, after: str) -> Column:
@@ -320,7 +322,7 @@ def line_credits(state: DataFrame) -> DataFrame:
         state.filter(kind.isin("play", "steal", "run", "caught", "pickoff", "runner_out"))
         .select(
             "game_id", "no", "sub", "inn",
-            F.posexplode(F.filter(entries, lambda e: e["name"].isNotNull())).alias("ord", "e"),
+            F.posexplode(F.filter(entries, lambda e: e.isNotNull())).alias("ord", "e"),
         )
         .select("game_id", "no", "sub", "inn", "ord", "e.*")
         .select(*CREDIT_COLUMNS)

@@ -262,8 +262,9 @@ def relay_box_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = None
     for number, value in SENTENCE_CODES.items():
         code = F.when(t == number, value) if code is None else code.when(t == number, value)
-    plays = event_fields(spark, sf_dir).withColumns(
-        {"n": (F.col("k") % 9).cast("int"), "class": plate.plate_class(code)}
+    # The class names its code in every branch, so the code is stored first: spelled out there it makes a method too long to compile.
+    plays = event_fields(spark, sf_dir).select("*", computed(code, "code")).withColumns(
+        {"n": (F.col("k") % 9).cast("int"), "class": plate.plate_class(F.col("code"))}
     )
 
     def count(condition: Column) -> Column:
@@ -271,7 +272,7 @@ def relay_box_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kind = F.col("class")
     rows = plays.groupBy("game_id", "half", "bat_side", "n").agg(
-        count(code.isNotNull()).alias("ab"), count(t.between(16, 19)).alias("hit"),
+        count(F.col("code").isNotNull()).alias("ab"), count(t.between(16, 19)).alias("hit"),
         count(t == 7).alias("run"), count(t == 36).alias("rbi"), count(t == 19).alias("hr"),
         count(t.isin(20, 21)).alias("bb"), count(t.isin(23, 24)).alias("kk"), count(t == 5).alias("sb"),
         *[count(kind == c).alias(f"pa_{c}") for c in plate.PLATE_CLASSES],

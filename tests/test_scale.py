@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from dugout.model import BATTER_COUNTERS
 from dugout.operators import box, differ, merge, positions as pos, relay
+from dugout.plans import bindings
 from dugout.sources import landed
 
 
@@ -107,3 +109,28 @@ def test_batter_rows_are_read_without_comparators(spark):
     assert (first.side, first.pos_idx, first.pa_codes) == ("home", 0, ["a", "b", "c"])
     assert (first.ab, first.hit, first.run, first.rbi, first.hr, first.bb, first.kk) == (3, 0, 2, None, 1, 0, 0)
     assert (second.side, second.pos_idx, second.pa_codes) == ("home", 1, [])
+
+
+def test_lines_that_do_not_apply_are_null(spark):
+    state = spark.createDataFrame([("r", "p", None, None)], "name string, pitcher string, from_base int, at_1 string")
+    state = state.withColumns({c: F.lit(None).cast("string") for c in relay.DEFENSE.values()})
+    lines = state.select(relay._steal_lines().alias("lines")).first().lines
+    assert [line and line.tag for line in lines] == ["SB", None, "SB_ALLOWED", None]
+
+
+def test_box_rows_are_joined_once_with_what_the_relay_knows(spark):
+    credits = spark.createDataFrame(
+        [("1", "a", "bat", 1, 1, 0, 1, "t", "ASSIST", 1, 1, "유격수"), ("1", "b", "bat", 1, 1, 0, 1, "t", "PLAY:BUNT_OUT", 1, 0, None)],
+        "game_id string, name string, role string, no int, sub int, ord int, inn int, text string, tag string, n int, points int, pos string")
+    advances = spark.createDataFrame([("1", "a", 2), ("1", "c", 1)], "game_id string, name string, advance int")
+    facts = relay.RelayFacts(credits, None, None, None, advances)
+    batters = spark.createDataFrame([("1", n, "유격수") for n in ("a", "b", "c", "d", None)], "game_id string, name string, position string")
+    batters = batters.select("*", *[F.lit(1).alias(c) for c in BATTER_COUNTERS])
+    found = merge.merge_batters(batters, facts)
+    assert plan(found).count("LeftOuter") == 3  # twice whether a name is told apart, once this
+    assert {r.name: (r.ASSIST, r.GO, r.ADVANCE_OUT) for r in found.collect()} == {"a": (1, 1, 2), "b": (0, 0, 0), "c": (0, 1, 1), "d": (0, 1, 0), None: (0, 1, 0)}
+
+
+def test_plate_code_is_stored_before_its_class(spark, tmp_path):
+    spark.createDataFrame([(1, 1, None, '{"k": 3}')], "event_id bigint, user_id bigint, ts timestamp, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert plan(bindings.relay_box_batters(spark, str(tmp_path))).count("= 33)") <= 2
