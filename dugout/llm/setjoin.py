@@ -265,11 +265,12 @@ def _similar_sets(docs: DataFrame) -> DataFrame:
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
 
     wanted = ids.withColumn("key", F.xxhash64("digest")).join(_survivors(sets, False), "key", "left_semi")
-    wanted = wanted.select(F.col("doc_id").alias("wanted")).distinct()
+    # Stored before the texts move, so that the sieve's shuffles are gone by then; the texts are as much to move as its tokens.
+    wanted = stored(wanted.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
     full = stored(texts.mapInArrow(_whole_sets, "digest binary, n int, tokens array<bigint>, key2 bigint"), "sets")
 
-    left = _survivors(full.select("digest", "tokens").mapInArrow(_second_sieve, _SIEVE), True)
+    left = stored(_survivors(full.select("digest", "tokens").mapInArrow(_second_sieve, _SIEVE), True), "left")
     near = full.withColumn("key", F.xxhash64("digest")).join(left, "key", "left_semi").drop("key")
     near = stored(near.dropDuplicates(["digest"]).withColumn("key1", F.element_at("tokens", 1)), "sets")
 

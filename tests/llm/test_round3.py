@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from dugout.llm import hardneg, importance, outliers, queries
+from dugout.llm import hardneg, importance, outliers, queries, setjoin
 
 from test_operators import EDGE, LONG, documents, fold
 
@@ -242,3 +242,19 @@ def test_query_equals_sql(spark, name):
     assert columns == sorted(theirs.columns)
     got = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()
     assert Counter(map(str, map(tuple, ours.select(columns).collect()))) == Counter(map(str, got))
+
+
+def test_texts_move_after_the_sieve(spark, monkeypatch):
+    """No query holds both the shuffles of a sieve and those of the texts, or of the sets."""
+    plans, real = [], setjoin.stored
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(setjoin, "stored", noted)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:39])), (3, "a b c d e f g")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in setjoin.similar_sets(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    sieves = [p for p in plans if "Window" in p and "told" in p]
+    assert len(sieves) == 2 and not any("_whole_sets" in p or "key1" in p for p in sieves)
