@@ -115,12 +115,18 @@ def _sieve_columns(sets: list[np.ndarray], keys: list[bytes], whole: bool) -> li
     return [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(known, pa.int32()), _lists(lone), _lists(told)]
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every text's digest and size, with its part of the first sieve."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row's id with the digest and the size of its set."""
     for batch in slices(batches, "text", _BYTES):
         sets = shingle_sets(*text_bytes(batch.column("text")))
-        columns = _sieve_columns(sets, [_digest(s) for s in sets], False)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *_SIEVE_FIELDS])
+        columns = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "digest", "n"])
+
+
+def _first_sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", _BYTES):
+        sets = shingle_sets(*text_bytes(batch.column("text")))
+        yield pa.RecordBatch.from_arrays(_sieve_columns(sets, [_digest(s) for s in sets], False), list(_SIEVE_FIELDS))
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,22 +156,23 @@ def _survivors(sieved: DataFrame, whole: bool) -> DataFrame:
     """Digests (by their first eight bytes: two sets that share these only make the sieve wider) that may have a link.
 
     A token's rows are one for each task where it is lone and one for each where it is shared, so the window over
-    a token holds as many rows as there are tasks' slices, not as many as there are documents.
+    a token holds as many rows as there are tasks' slices, not as many as there are documents. ``sieved`` is read
+    once and its tokens are moved, never stored: a set's own row (``n``, ``known``) goes with them, its key as the token.
     """
-    rows = sieved.select(F.xxhash64("digest").alias("key"), "n", "known", "lone", "told")
-    lone = rows.select("key", F.explode("lone").alias("token"))
-    told = rows.select(F.lit(None).cast("bigint").alias("key"), F.explode("told").alias("token"))
+    key = F.xxhash64("digest")
+    tokens = F.posexplode(F.concat(F.array(key), "lone", "told")).alias("at", "token")
+    rows = sieved.where("n > 0").select(key.alias("key"), "n", "known", F.size("lone").alias("lone"), tokens)
+    own = F.col("at") == 0
+    rows = rows.select(F.when(F.col("at") <= F.col("lone"), F.col("key")).alias("key"), "token", F.when(own, F.col("n")).alias("n"), F.when(own, F.col("known")).alias("known"))
     token = Window.partitionBy("token")
     several = F.min("key").over(token) < F.max("key").over(token)
     announced = F.count(F.lit(1)).over(token) > F.count("key").over(token)
-    seen = lone.unionByName(told).select("key", (F.coalesce(several, F.lit(False)) | announced).alias("shared"))
-    far = seen.where("shared and key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("known"))
-    near = rows.where("n > 0").groupBy("key").agg(F.sum("known").alias("known"))
-    total = near.unionByName(far).groupBy("key").agg(F.sum("known").alias("known"))
-    sizes = rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"))
+    seen = rows.select("key", "n", "known", (F.coalesce(several, F.lit(False)) | announced).alias("shared"))
+    seen = seen.where("key is not null and (shared or n is not null)")
+    total = seen.groupBy("key").agg(F.sum(F.coalesce("known", F.lit(1))).alias("known"), F.min("n").alias("n"))
     part = F.floor((F.lit(SHARE) * F.col("n") + WHOLE - 1) / WHOLE)
     least = part if whole else F.greatest(F.lit(1), F.floor(part / 10))
-    return total.join(sizes, "key").where(F.col("known") >= least).select("key")
+    return total.where(F.col("known") >= least).select("key")
 
 
 def _links_of(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -261,10 +268,10 @@ def similar_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def _similar_sets(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = stored(docs.mapInArrow(_first_pass, f"doc_id {kind}, {_SIEVE}"), "sets")
+    sets = stored(docs.mapInArrow(_digests, f"doc_id {kind}, digest binary, n int"), "sets")
     ids = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
 
-    wanted = ids.withColumn("key", F.xxhash64("digest")).join(_survivors(sets, False), "key", "left_semi")
+    wanted = ids.withColumn("key", F.xxhash64("digest")).join(_survivors(docs.select("text").mapInArrow(_first_sieve, _SIEVE), False), "key", "left_semi")
     # Stored before the texts move, so that the sieve's shuffles are gone by then; the texts are as much to move as its tokens.
     wanted = stored(wanted.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
@@ -295,10 +302,10 @@ def _similar_sets(docs: DataFrame) -> DataFrame:
 
 
 def _labelled(near: DataFrame, homes: DataFrame, links: DataFrame) -> DataFrame:
-    """Every set with its home and the component that ``links`` put it in."""
+    """Every set, without its tokens, with its home and the component that ``links`` put it in."""
     labels = components(links)
-    known = near.join(labels, near["digest"] == labels["node"], "left")
-    known = known.select("digest", "n", "tokens", F.xxhash64(F.coalesce("root", "digest")).alias("component"))
+    known = near.select("digest", "n").join(labels, near["digest"] == labels["node"], "left")
+    known = known.select("digest", "n", F.xxhash64(F.coalesce("root", "digest")).alias("component"))
     return known.join(homes.select("digest", "home"), "digest")
 
 
@@ -333,13 +340,16 @@ def _cross_links(known: DataFrame, near: DataFrame, again: bool) -> tuple[DataFr
     """
     # Of two components the smaller asks, so a large one that many groups hold is asked and does not ask back.
     sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("sets"))
-    ranked = known.join(sizes, "component").withColumn("rank", F.struct("sets", "component"))
-    rows = ranked.select("digest", "n", "component", "rank", "home", F.explode("tokens").alias("token"))
-    spread = rows.select("token", "component").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
+    ranked = stored(known.join(sizes, "component").withColumn("rank", F.struct("sets", "component")).select("digest", "n", "component", "rank", "home"), "ranked")
+    # A token moves with its digest alone; what else is known of a set joins the few tokens that are left.
+    held = near.select("digest", "tokens")
+    spread = held.join(ranked.select("digest", "component"), "digest").select("component", F.explode("tokens").alias("token"))
+    spread = spread.distinct().groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
     own = Window.partitionBy("digest")
-    rows = rows.join(spread, "token").withColumn("place", F.row_number().over(own.orderBy("spread", "token")))
-    rows = rows.withColumn("crossing", F.count(F.lit(1)).over(own))
-    rows = stored(rows.where(f"place <= crossing - int(ceil({SHARE} * n / {WHOLE}D)) + 1").select("digest", "n", "rank", "home", "token"), "crossing")
+    rows = held.select("digest", F.explode("tokens").alias("token")).join(stored(spread, "spread"), "token")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("spread", "token"))).withColumn("crossing", F.count(F.lit(1)).over(own))
+    rows = rows.join(ranked.drop("component"), "digest").where(f"place <= crossing - int(ceil({SHARE} * n / {WHOLE}D)) + 1")
+    rows = stored(rows.select("digest", "n", "rank", "home", "token"), "crossing")
     # Components go together by the largest one that they share a token with: the copies of one text, told apart by
     # their smallest tokens, then stand in few groups.
     tops = rows.groupBy("token").agg(F.max("rank").alias("family"))

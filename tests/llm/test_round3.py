@@ -258,3 +258,22 @@ def test_texts_move_after_the_sieve(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in setjoin.similar_sets(docs).collect()} == {1: 1, 2: 1, 3: 3}
     sieves = [p for p in plans if "Window" in p and "told" in p]
     assert len(sieves) == 2 and not any("_whole_sets" in p or "key1" in p for p in sieves)
+
+
+def test_sieve_tokens_are_never_stored(spark, monkeypatch):
+    """Each sieve reads its sets once and moves their tokens straight away; what is crossing moves with its digest alone."""
+    plans, columns, real = [], [], setjoin.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        columns.extend(df.columns)
+        return real(df, name)
+
+    monkeypatch.setattr(setjoin, "stored", noted)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:39])), (3, "a b c d e f g"), (4, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in setjoin.similar_sets(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert not {"lone", "told"} & set(columns)
+    assert [p.count("_sieve(") for _, p in plans if "told" in p] == [1, 1]
+    exploded = [line for name, p in plans if name == "crossing" for line in p.split("\n") if "Generate explode(tokens" in line]
+    assert exploded and not any("rank" in line or "home" in line for line in exploded)
