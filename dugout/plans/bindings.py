@@ -101,8 +101,12 @@ def computed(value: Column, name: str) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
-def line_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One box-score batter line per lineitem row."""
+def line_batters(spark: SparkSession, sf_dir: str, by_game: bool = False) -> DataFrame:
+    """One box-score batter line per lineitem row.
+
+    With ``by_game`` also order, the number of the game, by which the lines are dealt out and sorted: as the few columns
+    they are made of, so that the many made of them are neither moved nor sorted.
+    """
     part, supp, line, order = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey"))
     live = (part % 9 != 0)
 
@@ -110,7 +114,12 @@ def line_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(live, _int(value)).otherwise(0)
 
     code = pick(PLATE_CODES, part)
-    return table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem")
+    if by_game:
+        rows = rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus", "l_returnflag")
+        rows = rows.repartition("l_orderkey").sortWithinPartitions("l_orderkey")
+    return rows.select(
+        *([order.alias("order")] if by_game else []),
         order.cast("string").alias("game_id"), part.alias("part"), line.alias("line"),
         F.when(F.col("l_linestatus") == "F", "home").otherwise("away").alias("side"),
         (part * 8 + line).alias("pos_idx"), supp.cast("string").alias("player_code"),

@@ -17,19 +17,24 @@ from dugout.operators import boards, differ, positions as pos
 from dugout.plans import bindings as b
 from dugout.plans import oracles as o
 from dugout.plans.queries import tidy
-from dugout.session import shared_folder
+from dugout.session import OPEN_FILES, SHORT_SHUFFLES, SORTED_GROUPS, settings, shared_folder
 from dugout.sources import landed, published, staging
 
 #: Days that documents are landed under.
 DAYS = 14
+#: Most documents in a landed file.
+FILE_DOCS = 100_000
 
 
 def _staged(docs: DataFrame, kind: str, league: str = "kbo") -> DataFrame:
     """``docs`` (game_date, key, doc) landed as packed JSON, staged, and read back."""
     spark = docs.sparkSession
     root = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
-    docs.write.partitionBy("game_date").json(f"{root}/{league}/{kind}")
-    staging.refresh(spark, root, f"{root}/staged", league, packed=True)
+    with settings(spark, SHORT_SHUFFLES | OPEN_FILES | SORTED_GROUPS):
+        # A compressed file cannot be split, so it ends after some documents.
+        landing = docs.write.partitionBy("game_date").option("maxRecordsPerFile", FILE_DOCS)
+        landing.json(f"{root}/{league}/{kind}", compression="gzip")
+        staging.refresh(spark, root, f"{root}/staged", league, packed=True)
     return staging.documents(spark, f"{root}/staged", league, kind)
 
 
@@ -60,8 +65,8 @@ def landed_batters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ab", "hit", "run", "rbi", "hr", "bb", "kk", "sb", *slots)
     codes = F.array_join(F.filter("pa_codes", lambda x: x != ""), "|").alias("codes")
     entry = F.struct(F.struct("pos_idx", "player_code", "ab", "substitute_in", codes).alias("at"), man.alias("p"))
-    games = b.line_batters(spark, sf_dir).groupBy("game_id").agg(
-        *[_in_order(entry, F.col("side") == side).alias(side) for side in ("home", "away")])
+    games = b.line_batters(spark, sf_dir, by_game=True).groupBy("order").agg(
+        F.first("game_id").alias("game_id"), *[_in_order(entry, F.col("side") == side).alias(side) for side in ("home", "away")])
     docs = _staged(_record_docs(games, {"battersBoxscore": F.struct("home", "away")}), "record")
     rows = landed.batters(landed.records_of(docs))
     return tidy(rows.select(*[c for c in rows.columns if c != "pa_codes"], codes))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,13 @@ SETTINGS = {
     "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
+#: Shuffle files of a query go when it has ended, not when the driver's memory is cleaned.
+SHORT_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: A task holds that many files of a partitioned write open, so its rows are not sorted by folder (and spilled) first.
+OPEN_FILES = {"spark.sql.maxConcurrentOutputFileWriters": "16"}
+#: Rows that come sorted by their key are grouped as they pass; no groups are kept, sorted or spilled.
+SORTED_GROUPS = {"spark.sql.execution.replaceHashWithSortAgg": "true"}
+
 
 def build_session(app: str = "dugout", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -27,6 +36,19 @@ def build_session(app: str = "dugout", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the queries run inside; afterwards they are as before."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dugout.session import OPEN_FILES, settings
 from dugout.sources import landed
 
 KINDS = {"schedule": landed.SCHEDULE, "record": landed.RECORD, "relay": landed.RELAY, "preview": landed.PREVIEW}
@@ -41,10 +42,11 @@ def read_days(spark: SparkSession, base: str, schema: str, days: Sequence[str] |
         return spark.createDataFrame([], schema)
 
 
-def landed_files(spark: SparkSession, base: str, days: Sequence[str] | None) -> DataFrame:
-    """(doc, path, length, modified, game_date) of every landed file; no content is read."""
+def landed_files(spark: SparkSession, base: str, days: Sequence[str] | None, packed: bool = False) -> DataFrame:
+    """(doc, path, length, modified, game_date) of every landed file; no content is read. Packed files may be compressed."""
+    names = "{*.json,*.json.gz}" if packed else "*.json"
     try:
-        files = spark.read.format("binaryFile").option("basePath", base).option("pathGlobFilter", "*.json").load(day_folders(base, days))
+        files = spark.read.format("binaryFile").option("basePath", base).option("pathGlobFilter", names).load(day_folders(base, days))
     except AnalysisException:
         return spark.createDataFrame([], _FILES)
     return files.select(
@@ -71,7 +73,7 @@ def refresh(
     entries, touched = None, {}
     for kind, schema in KINDS.items():
         base = f"{root}/{league}/{kind}"
-        here = landed_files(spark, base, days)
+        here = landed_files(spark, base, days, packed)
         before = known.where(F.col("kind") == kind).where("not gone")
         old = before.select("doc", F.col("length").alias("was_length"), F.col("modified").alias("was_modified"))
         fresh = here.join(old, "doc", "left").where("was_length is null or length <> was_length or modified <> was_modified").select(*here.columns)
@@ -84,8 +86,11 @@ def refresh(
         if paths:
             docs = landed.read_documents(spark, paths, schema, packed, base=base)
             docs = docs.withColumn("batch", F.lit(batch))
-            # Rebalanced by day: a few large files a day, and more than one for a day that is too large for one task.
-            docs.hint("rebalance", "game_date").write.mode("append").partitionBy("game_date", "batch").parquet(f"{stage}/{league}/{kind}")
+            # Packed files are large and of one day each: a task stores what it read, and no parsed document moves.
+            # Others are rebalanced by day: a few large files a day, and more than one for a day that is too large for one task.
+            with settings(spark, OPEN_FILES if packed else {}):
+                docs = docs if packed else docs.hint("rebalance", "game_date")
+                docs.write.mode("append").partitionBy("game_date", "batch").parquet(f"{stage}/{league}/{kind}")
         rows = [(kind, r["doc"], r["path"], r["length"], r["modified"], r["gone"], batch, r["game_date"]) for r in changes]
         entries = (entries or []) + rows
     if entries:

@@ -1,11 +1,17 @@
-"""What held on small tables only: large numbers, estimates and rows a task."""
+"""What held on small tables only: large numbers, estimates, rows a task and disk."""
+
+import glob
+import gzip
+import json
+import os
 
 from pyspark.sql import functions as F
 
 from dugout.model import BATTER_COUNTERS
 from dugout.operators import box, differ, merge, positions as pos, relay
-from dugout.plans import bindings
-from dugout.sources import landed
+from dugout.plans import bindings, day_queries
+from dugout.session import OPEN_FILES, SHORT_SHUFFLES, SORTED_GROUPS, settings
+from dugout.sources import landed, staging
 
 
 def plan(df):
@@ -134,3 +140,44 @@ def test_box_rows_are_joined_once_with_what_the_relay_knows(spark):
 def test_plate_code_is_stored_before_its_class(spark, tmp_path):
     spark.createDataFrame([(1, 1, None, '{"k": 3}')], "event_id bigint, user_id bigint, ts timestamp, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert plan(bindings.relay_box_batters(spark, str(tmp_path))).count("= 33)") <= 2
+
+
+def test_landed_batters_leave_little_on_disk(spark, tmp_path, monkeypatch):
+    """Lines move once, as the columns they are made of; documents are landed compressed, and parsed ones do not move."""
+    schema = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_linestatus string, l_returnflag string, l_comment string"
+    lines = [(1, 20, 3, 1, 5.0, "F", "R", "x"), (1, 20, 3, 1, 5.0, "F", "R", "x"), (1, 10, 4, 2, 41.0, "F", "A", "x"), (1, 7, 5, 3, 7.0, "O", "N", "x"),
+             (2, 18, 6, 1, None, None, None, "x"), (2, None, 6, 2, 8.0, "O", "A", "x"), (15, 11, 7, 1, 9.0, "F", "N", "x")]
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(day_queries, "shared_folder", lambda spark: str(tmp_path))
+    names, hints, kind = SHORT_SHUFFLES | OPEN_FILES | SORTED_GROUPS, [], type(spark.range(0))
+    before, hint = {name: spark.conf.get(name, None) for name in names}, kind.hint
+    monkeypatch.setattr(kind, "hint", lambda self, name, *a: hints.append(name) or hint(self, name, *a))
+    with settings(spark, SORTED_GROUPS):
+        games = bindings.line_batters(spark, str(tmp_path), by_game=True).groupBy("order").agg(F.collect_list(F.struct("name", "pa_codes")).alias("l"))
+        steps = plan(games)
+    assert steps.count("Exchange") == steps.count("Sort [") == steps.count("SortAggregate(") == 1
+    assert "HashAggregate" not in steps and "pa_codes" not in steps[steps.index("Exchange"):]
+    found = day_queries.landed_batters(spark, str(tmp_path))
+    rows = sorted((r.game_id, r.side, r.pos_idx, r.name, r.ab, r.substitute_in) for r in found.collect())
+    assert rows == [
+        ("1", "away", 0, "P5", 2, 0), ("1", "home", 0, "P4", 1, 0), ("1", "home", 1, "P3", 0, 1), ("1", "home", 2, "P3", 0, 1),
+        ("15", "home", 0, "P7", 4, 0), ("2", "away", 0, "P6", 0, 0), ("2", "away", 1, "P6", 0, 0)]
+    files = glob.glob(f"{tmp_path}/landing-*/kbo/record/game_date=*/part-*")
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert "rebalance" not in hints
+    assert {name: spark.conf.get(name, None) for name in names} == before
+
+
+def test_packed_files_may_be_compressed(spark, tmp_path):
+    """Plain and compressed packed files of a day are staged; a compressed file that is no packed one is left where it is."""
+    doc = lambda n: json.dumps({"key": f"g{n}", "doc": {"result": {"recordData": {"gameInfo": {"stadium": str(n)}}}}}).encode()
+    day = f"{tmp_path}/land/kbo/record/game_date=2026-05-05"
+    os.makedirs(day)
+    with open(f"{day}/a.json", "wb") as plain, gzip.open(f"{day}/b.json.gz", "wb") as compressed:
+        plain.write(doc(1))
+        compressed.write(doc(2) + b"\n" + doc(3))
+    assert staging.landed_files(spark, f"{tmp_path}/land/kbo/record", None).count() == 1
+    assert staging.refresh(spark, f"{tmp_path}/land", f"{tmp_path}/stage", "kbo", packed=True) == {"record": ["2026-05-05"]}
+    docs = staging.documents(spark, f"{tmp_path}/stage", "kbo", "record")
+    assert sorted((r.key, r.result.recordData.gameInfo.stadium, str(r.game_date)) for r in docs.collect()) == [(f"g{n}", str(n), "2026-05-05") for n in (1, 2, 3)]
+    assert staging.refresh(spark, f"{tmp_path}/land", f"{tmp_path}/stage", "kbo", packed=True) == {}
