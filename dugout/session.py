@@ -26,6 +26,9 @@ OPEN_FILES = {"spark.sql.maxConcurrentOutputFileWriters": "16"}
 #: Rows that come sorted by their key are grouped as they pass; no groups are kept, sorted or spilled.
 SORTED_GROUPS = {"spark.sql.execution.replaceHashWithSortAgg": "true"}
 
+#: A compressed file holds several times as much as its size tells, so a task takes fewer of them.
+COMPRESSED_FILES = {"spark.sql.files.maxPartitionBytes": "16m"}
+
 
 def build_session(app: str = "dugout", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dugout.session import OPEN_FILES, settings
+from dugout.session import COMPRESSED_FILES, OPEN_FILES, settings
 from dugout.sources import landed
 
 KINDS = {"schedule": landed.SCHEDULE, "record": landed.RECORD, "relay": landed.RELAY, "preview": landed.PREVIEW}
@@ -88,7 +88,8 @@ def refresh(
             docs = docs.withColumn("batch", F.lit(batch))
             # Packed files are large and of one day each: a task stores what it read, and no parsed document moves.
             # Others are rebalanced by day: a few large files a day, and more than one for a day that is too large for one task.
-            with settings(spark, OPEN_FILES if packed else {}):
+            compressed = any(path.endswith(".gz") for path in paths)
+            with settings(spark, (OPEN_FILES if packed else {}) | (COMPRESSED_FILES if compressed else {})):
                 docs = docs if packed else docs.hint("rebalance", "game_date")
                 docs.write.mode("append").partitionBy("game_date", "batch").parquet(f"{stage}/{league}/{kind}")
         rows = [(kind, r["doc"], r["path"], r["length"], r["modified"], r["gone"], batch, r["game_date"]) for r in changes]
